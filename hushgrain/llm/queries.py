@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgrain.llm import arrow_store, langid, packing, pii, quality, simhash
+from hushgrain.llm import arrow_store, knn, langid, packing, pieces, pii, quality, simhash, token_counts, url_rules
 from hushgrain.llm.runtime import new_path, read
 
 #: Tokenizer files and what each needs to know; the path is looked up when a query runs.
 WORD_BPE = {"name": "word_bpe_49k.json", "end_id": 2, "drops_space": True}
+PIECES = "piece_bpe_32k.model"
 BYTE_BPE = {"name": "byte_bpe_50k.json", "end_id": 0, "drops_space": False}
 
 
@@ -19,6 +20,21 @@ def tokenizer(spec: dict) -> dict:
     return {"tokenizer": public_tokenizers.path(spec["name"]), "end_id": spec["end_id"], "drops_space": spec["drops_space"]}
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.counts(F.col("text"), tokenizer(BYTE_BPE)["tokenizer"])
+    return read(spark, sf_dir, "documents").select("doc_id", counted.alias("c")).select("doc_id", "c.n_words", "c.n_tokens")
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    mined = url_rules.mine(url_rules.labelled(pages, read(spark, sf_dir, "labels")))
+    return url_rules.judge(pages, mined).drop("mined_bad")
+
+
+def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(read(spark, sf_dir, "documents"), **tokenizer(WORD_BPE))
     return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -44,6 +60,16 @@ def op7_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(PIECES)
+    found = read(spark, sf_dir, "documents").select("doc_id", "text", pieces.encoded(F.col("text"), path).alias("e"))
+    found = found.select("*", pieces.decoded(F.col("e.ids"), path).alias("back"))
+    scores = F.array_join(F.transform("e.nbest", lambda x: F.concat_ws(":", x["score"].cast("long").cast("string"), x["n_pieces"].cast("string"))), ",")
+    return found.select("doc_id", F.col("e.nbest")[0]["n_pieces"].alias("n_pieces"), F.crc32("e.ids").alias("ids_crc32"), scores.alias("nbest"), (F.col("back") == F.col("text")).alias("round_trip"))
+
+
 def op9_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = arrow_store.write(read(spark, sf_dir, "documents"), new_path(spark, "sequences"), **tokenizer(BYTE_BPE))
     return arrow_store.read_documents(spark, parts, checksum=True)
@@ -60,5 +86,48 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-QUERIES = {f.__name__: f for f in (op4_sum_of_squares_packing, op5_simhash_trie, op6_personal_data, op7_robust_quality, op9_arrow_sequences, op10_ppm_language)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_rules, op3_voronoi_knn, op4_sum_of_squares_packing, op5_simhash_trie, op6_personal_data, op7_robust_quality, op8_nbest_pieces, op9_arrow_sequences, op10_ppm_language)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_rules": """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) AS query FROM cut),
+tokened AS (
+  SELECT page_id, host, path, list_sort(list_distinct(list_concat(list_concat(
+    ['h:' || x FOR x IN string_split(host, '.') IF x <> ''],
+    ['p:' || regexp_replace(x, '[0-9]+', '#', 'g') FOR x IN string_split(path, '/') IF x <> '']),
+    ['q:' || string_split(x, '=')[1] FOR x IN string_split(query, '&') IF string_split(x, '=')[1] <> '']))) AS tokens
+  FROM parts),
+bad AS (
+  SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+examples AS (
+  SELECT row_number() OVER () AS id, tokens, bad FROM tokened JOIN bad ON page_id = doc_id),
+needed AS (SELECT greatest(20, ceil(0.002 * count(*) - 1e-9)) AS least, count(*) AS n FROM examples),
+one AS (SELECT id, bad, unnest(tokens) AS t FROM examples),
+sets AS (
+  SELECT [t] AS s, bad FROM one
+  UNION ALL SELECT [a.t, b.t], a.bad FROM one a JOIN one b ON a.id = b.id AND a.t < b.t
+  UNION ALL SELECT [a.t, b.t, c.t], a.bad FROM one a JOIN one b ON a.id = b.id AND a.t < b.t JOIN one c ON a.id = c.id AND b.t < c.t),
+mined AS (
+  SELECT s FROM sets, needed GROUP BY s, least, n HAVING n >= 20 AND sum(bad) >= least AND sum(bad) >= 0.8 * count(*)),
+hit AS (SELECT DISTINCT page_id FROM tokened JOIN mined ON list_has_all(tokens, s)),
+stated(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
+fits AS (
+  SELECT page_id, host, path, tokens, (
+    SELECT rule FROM stated WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+      AND starts_with(path, substr(rule, strpos(rule, '/'))) ORDER BY length(rule) DESC, rule LIMIT 1) AS rule FROM tokened)
+SELECT f.page_id, host, path, f.rule,
+  coalesce(verdict, CASE WHEN h.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits f LEFT JOIN stated ON stated.rule = f.rule LEFT JOIN hit h ON h.page_id = f.page_id""",
+    "op3_voronoi_knn": """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
