@@ -15,6 +15,10 @@ import numpy as np
 
 #: Before a line feed or single space that stands between two other characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Longer chunks aren't kept.
+_LONGEST = 64
+#: Chunks encoded at once.
+_JOINED = 128
 _MIXED = re.compile(r"[ \n]\s|[^\S \n]")
 
 
@@ -32,6 +36,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # Many chunks are encoded as one text, a special token between each two, as each call costs
+        # more than a chunk's own work. Chunks in which such a token might stand go alone.
+        special = [i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special]
+        self.between = self.tokenizer.id_to_token(special[0]) if special else None
+        self.between_id = special[0] if special else -1
+        self.joined = Tokenizer.from_file(path)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.drops_space, self.cached, self.known = drops_space, cached, {}
 
@@ -71,17 +81,30 @@ class ChunkEncoder:
                 holes += [(parts, i, keys[i]) for i, p in enumerate(parts) if p is None]
             whole.append(parts)
         if holes:
-            names, new = list({k for _, _, k in holes}), {}
-            for i in range(0, len(names), 4096):
-                found = self.tokenizer.encode_batch_fast([self.chunk(k) for k in names[i : i + 4096]], add_special_tokens=False)
-                new.update(zip(names[i : i + 4096], [array(self.code, e.ids).tobytes() for e in found]))
+            new = self._new(list({k for _, _, k in holes}))
             for parts, i, k in holes:
                 parts[i] = new[k]
             room = self.cached - len(self.known)
             if room > 0:
-                self.known.update(list(new.items())[:room])
+                self.known.update([x for x in new.items() if len(x[0]) <= _LONGEST][:room])
         return [b"".join(x) for x in whole]
 
+    def _new(self, names: list[str]) -> dict[str, bytes]:
+        alone = [k for k in names if self.between is None or self.between[:2] in k]
+        out = {k: array(self.code, self.tokenizer.encode(self.chunk(k), add_special_tokens=False).ids).tobytes() for k in alone}
+        if alone:
+            names = [k for k in names if k not in out]
+        width = self.dtype.itemsize
+        for i in range(0, len(names), _JOINED):
+            part = names[i : i + _JOINED]
+            (found,) = self.joined.encode_batch_fast([self.between.join(map(self.chunk, part))], add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            raw, at = ids.tobytes(), 0
+            for k, end in zip(part, [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]):
+                out[k] = raw[at * width : end * width]
+                at = end + 1
+        return out
+
 
 _encoders: dict = {}
 
