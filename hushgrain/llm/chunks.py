@@ -8,18 +8,22 @@ last saves most of the work.
 from __future__ import annotations
 
 import gc
+import os
 import re
 from array import array
 
 import numpy as np
 
+from hushgrain.llm.worker import held
+
 #: Before a line feed or single space that stands between two other characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# White space other than space and line feed.
+_OTHER = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Longer chunks aren't kept.
 _LONGEST = 64
 #: Chunks encoded at once.
 _JOINED = 128
-_MIXED = re.compile(r"[ \n]\s|[^\S \n]")
 
 
 class ChunkEncoder:
@@ -30,7 +34,7 @@ class ChunkEncoder:
     is full, chunks that it lacks are encoded for the batch at hand only.
     """
 
-    def __init__(self, path: str, drops_space: bool, cached: int = 600_000):
+    def __init__(self, path: str, drops_space: bool, cached: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,7 +45,6 @@ class ChunkEncoder:
         special = [i for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special]
         self.between = self.tokenizer.id_to_token(special[0]) if special else None
         self.between_id = special[0] if special else -1
-        self.joined = Tokenizer.from_file(path)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.drops_space, self.cached, self.known = drops_space, cached, {}
 
@@ -52,11 +55,12 @@ class ChunkEncoder:
             return []
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
-        if _MIXED.search(text) or text[0] in " \n" or text[-1] in " \n":
-            return ["\n\n" + x for x in _CUT.split(text)]
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\n\n" + keys[0]
-        return keys
+        if text[0] not in " \n" and text[-1] not in " \n" and not any(c in text for c in _OTHER):
+            keys = text.replace("\n", " \n").split(" ")
+            if "" not in keys and "\n" not in keys:  # no two of them side by side
+                keys[0] = "\n\n" + keys[0]
+                return keys
+        return ["\n\n" + x for x in _CUT.split(text)]
 
     def chunk(self, key: str) -> str:
         if self.drops_space:
@@ -77,8 +81,10 @@ class ChunkEncoder:
         for x in texts:
             keys = self.keys(x)
             parts = list(map(get, keys))
-            if None in parts:
-                holes += [(parts, i, keys[i]) for i, p in enumerate(parts) if p is None]
+            at = -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                holes.append((parts, at, keys[at]))
             whole.append(parts)
         if holes:
             new = self._new(list({k for _, _, k in holes}))
@@ -95,31 +101,30 @@ class ChunkEncoder:
         if alone:
             names = [k for k in names if k not in out]
         width = self.dtype.itemsize
+        self.tokenizer.encode_special_tokens = False
         for i in range(0, len(names), _JOINED):
             part = names[i : i + _JOINED]
-            (found,) = self.joined.encode_batch_fast([self.between.join(map(self.chunk, part))], add_special_tokens=False)
+            (found,) = self.tokenizer.encode_batch_fast([self.between.join(map(self.chunk, part))], add_special_tokens=False)
             ids = np.array(found.ids, self.dtype)
             raw, at = ids.tobytes(), 0
             for k, end in zip(part, [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]):
                 out[k] = raw[at * width : end * width]
                 at = end + 1
+        self.tokenizer.encode_special_tokens = True
         return out
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str, drops_space: bool) -> ChunkEncoder:
     """One for each Python worker and file."""
-    if path not in _encoders:
-        import os
 
+    def make() -> ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = ChunkEncoder(path, drops_space)
-    return _encoders[path]
+        return ChunkEncoder(path, drops_space)
+
+    return held(("chunks", path, drops_space), make)
 
 
-def in_portions(lengths: list[int], limit: int = 4_000_000):
+def in_portions(lengths: list[int], limit: int = 1_500_000):
     """Index ranges whose lengths add up to about limit: bounds what is held at once."""
     start = total = 0
     for i, n in enumerate(lengths):
