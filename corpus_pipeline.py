@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hushgrain.llm import langid, packing, pii, quality, simhash
 from hushgrain.llm.queries import WORD_BPE, tokenizer
-from hushgrain.llm.runtime import read, small_or_not, table
+from hushgrain.llm.runtime import bounded, read, small_or_not, table
 
 #: Least posterior of a document's language.
 MIN_LANGUAGE_SCORE = 0.5
@@ -41,11 +41,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
+    bounded(spark)
     return docs.withColumn("text", pii.redacted(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in token sequences, ids and their checksum."""
+    bounded(spark)
     placed = packing.pack(docs, **tokenizer(WORD_BPE))
     return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

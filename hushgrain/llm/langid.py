@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from hushgrain.llm.worker import each, release
+
 UNKNOWN = "und"
 _PAD = b"\n\n\n"
 _PORTION = 1 << 20
@@ -87,7 +89,7 @@ def count_grams(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for label, text in zip(batch.column(0).to_pylist(), each(batch.column(1))):
                 if text:
                     held.setdefault(label, []).append(grams(text))
                     size += len(text)
@@ -182,7 +184,8 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> Column
 
     @arrow_udf("struct<lang_pred:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
-        cols = list(zip(*map(shared.value.predict, texts.to_pylist()))) or [(), ()]
+        release()
+        cols = list(zip(*map(shared.value.predict, each(texts)))) or [(), ()]
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64())], fields=kind)
 
     return run(F.col(text_col))

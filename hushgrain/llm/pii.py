@@ -20,6 +20,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from hushgrain.llm.worker import each, release
+
 # Patterns and bounds of the base kinds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "local_phone", "national_id", "secret")
@@ -158,7 +160,8 @@ def spans(text: Column, threshold: float = 0.6) -> Column:
 
     @arrow_udf(SPANS)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"kind": k, "start": a, "end": b, "text": x[a:b], "score": s} for k, a, b, s in find_spans(x, threshold)] for x in texts.to_pylist()], _SPANS)
+        release()
+        return pa.array([[{"kind": k, "start": a, "end": b, "text": x[a:b], "score": s} for k, a, b, s in find_spans(x, threshold)] for x in each(texts)], _SPANS)
 
     return run(text)
 
@@ -180,7 +183,8 @@ def redact_text(text: str | None, threshold: float = 0.6) -> str | None:
 def redacted(text: Column, threshold: float = 0.6) -> Column:
     @arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([redact_text(x, threshold) for x in texts.to_pylist()], pa.string())
+        release()
+        return pa.array([redact_text(x, threshold) for x in each(texts)], pa.string())
 
     return run(text)
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from hushgrain.llm.runtime import small_or_not, table
+from hushgrain.llm.worker import each, release
 
 # Fixed values of the base limits.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -89,7 +90,8 @@ def stats(text: Column) -> Column:
 
     @arrow_udf("struct<" + ",".join(f"{n}:long" for n in STATS) + ">")
     def run(texts: pa.Array) -> pa.Array:
-        cols = list(zip(*map(text_stats, texts.to_pylist()))) or [()] * len(STATS)
+        release()
+        cols = list(zip(*map(text_stats, each(texts)))) or [()] * len(STATS)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=list(kind))
 
     return run(text)

@@ -14,6 +14,10 @@ LOCAL_SHARED = "/tmp/checkpoints"
 #: A side of a join with at most so many rows of a few numbers (16 MB or so) may be broadcast.
 BROADCAST_ROWS = 500_000
 
+#: Rows in an Arrow batch, unless the session names another number: a batch of Spark's 10,000 whole
+#: texts takes memory in the executor twice and in its Python worker.
+ARROW_ROWS = 1000
+
 _written: list = []
 
 
@@ -23,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SHARED).rstrip("/")
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+    return spark
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/hushgrain-{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
@@ -48,6 +59,7 @@ def table(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and returns a read of it: lineage ends there, and lost
     executors cost nothing but the tasks that were running."""
     path = new_path(df.sparkSession, label)
+    bounded(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,4 +71,4 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")

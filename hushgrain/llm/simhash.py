@@ -24,6 +24,7 @@ from pyspark.sql.functions import arrow_udf
 
 from hushgrain.llm.components import components
 from hushgrain.llm.runtime import small_or_not, table
+from hushgrain.llm.worker import each, release
 
 _PORTION = 1 << 18
 
@@ -52,7 +53,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(text: Column, shingle: int = 3) -> Column:
     @arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(x, shingle) for x in texts.to_pylist()], pa.int64())
+        release()
+        return pa.array([fingerprint(x, shingle) for x in each(texts)], pa.int64())
 
     return run(text)
 
