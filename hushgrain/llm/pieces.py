@@ -20,10 +20,15 @@ import heapq
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
+from hushgrain.llm.chunks import in_portions
+from hushgrain.llm.worker import each, held
+
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*\n?[^{SPACE}\n]+|{SPACE}+|\n")
 #: What a character outside the vocabulary costs beyond the least score.
@@ -31,6 +36,10 @@ _UNKNOWN_PENALTY = 10
 #: Low bits of a weight, which count pieces (those of one chunk).
 _BITS = 24
 _INF = 1 << 200
+#: Beyond every sum of weights of a short chunk; no single weight is beyond _MOST.
+_FAR, _MOST = 1 << 62, 1 << 56
+#: Chunks of at most so many characters are solved side by side.
+_SHORT = 32
 #: Longer chunks aren't kept.
 _LONGEST = 64
 
@@ -68,6 +77,39 @@ class Pieces:
             raise ValueError("a piece reaches over the start of a word or a line")
         self.known: dict[str, tuple] = {}
         self.cached = cached
+        self._tables()
+
+    def _tables(self) -> None:
+        """The vocabulary as a dense automaton over Latin-1, for many short chunks at once. The space
+        mark stands as 0."""
+        child: list[dict[int, int]] = [{}]
+        piece = [-1]
+        for p, i in self.ids.items():
+            try:
+                codes = p.replace(SPACE, "\0").encode("latin-1")
+            except UnicodeEncodeError:
+                continue
+            at = 0
+            for c in codes:
+                if c not in child[at]:
+                    child[at][c] = len(child)
+                    child.append({})
+                    piece.append(-1)
+                at = child[at][c]
+            piece[at] = i
+        inner = [v for v, x in enumerate(child) if x]
+        row = {v: r + 1 for r, v in enumerate(inner)}  # row 0: nothing follows
+        self.follow = np.zeros((len(inner) + 1, 256), np.int32)
+        for v in inner:
+            for c, w in child[v].items():
+                self.follow[row[v], c] = w
+        self.row = np.array([row.get(v, 0) for v in range(len(child))], np.int32)
+        self.piece = np.array(piece, np.int32)
+        self.root, self.row[0] = row[0], 0  # no child is node 0
+        singles = [SPACE if c == 0 else chr(c) for c in range(256)]
+        self.single = np.array([self.ids.get(x, -1) for x in singles], np.int64)
+        self.single_weight = np.array([self.weight[self.ids[x]] if x in self.ids else self.unknown + len(x.encode()) for x in singles], np.int64)
+        self.weights = np.array([min(w, _MOST) for w in self.weight], np.int64)
 
     # Chunks
 
@@ -152,6 +194,84 @@ class Pieces:
                 second = through
         return array("I", ids[::-1]).tobytes(), total, second - total if second < _INF else _INF
 
+    def best_many(self, keys: list[str]) -> dict[str, tuple[bytes, int, int]]:
+        """best() of many chunks. Short ones of Latin-1 are solved side by side, those of one length
+        at a time; the steps are those of lattice() and best()."""
+        out, by_length = {}, {}
+        for k in keys:
+            chunk = self.chunk(k)
+            try:
+                codes = chunk.replace(SPACE, "\0").encode("latin-1") if len(chunk) <= _SHORT and "\0" not in chunk else b""
+            except UnicodeEncodeError:
+                codes = b""
+            if codes:
+                by_length.setdefault(len(codes), []).append((k, codes))
+            else:
+                out[k] = self.best(k)
+        for n, group in by_length.items():
+            for i in range(0, len(group), 4096):
+                part = group[i : i + 4096]
+                out.update(zip([k for k, _ in part], self._side_by_side(n, [c for _, c in part])))
+        return out
+
+    def _side_by_side(self, n: int, chunks: list[bytes]) -> list[tuple[bytes, int, int]]:
+        m = len(chunks)
+        codes = np.frombuffer(b"".join(chunks), np.uint8).reshape(m, n).T.astype(np.int64)
+        best = np.full((n + 1, m), _FAR, np.int64)
+        last_start, last_id = np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1, np.int64)
+        best[0] = 0
+        edges = []  # (start, end, which chunks, weights, ids)
+        for a in range(n):
+            who, node = np.arange(m), np.full(m, self.root, np.int64)
+            for b in range(a + 1, n + 1):
+                to = self.follow[node, codes[b - 1, who]]
+                if b == a + 1:
+                    ids, weights, own = self.single[codes[a]], self.single_weight[codes[a]], who
+                else:
+                    ids = self.piece[to].astype(np.int64)
+                    hit = ids >= 0
+                    own, ids = who[hit], ids[hit]
+                    weights = self.weights[ids]
+                if len(own):
+                    total = best[a, own] + weights
+                    old = best[b, own]
+                    better = (total < old) | ((total == old) & (ids < last_id[b, own]))
+                    at = own[better]
+                    best[b, at], last_start[b, at], last_id[b, at] = total[better], a, ids[better]
+                    edges.append((a, b, own, weights, ids))
+                node = self.row[to]
+                going = node > 0
+                if not going.any():
+                    break
+                who, node = who[going], node[going]
+        whole = best[n]
+        on_path = np.zeros((n + 1, m), bool)
+        on_path[n] = True
+        for b in range(n, 0, -1):
+            at = np.flatnonzero(on_path[b])
+            on_path[last_start[b, at], at] = True
+        rest = np.full((n + 1, m), _FAR, np.int64)
+        rest[n] = 0
+        second = np.full(m, _FAR, np.int64)
+        for a, b, own, weights, ids in reversed(edges):
+            through = weights + rest[b, own]
+            rest[a, own] = np.minimum(rest[a, own], through)
+            through = through + best[a, own]
+            taken = on_path[b, own] & (last_start[b, own] == a) & (last_id[b, own] == ids)
+            through[taken] = _FAR
+            second[own] = np.minimum(second[own], through)
+        out = []
+        starts, last = last_start.T.tolist(), last_id.T.tolist()
+        more = np.where(second < _FAR, second - whole, -1).tolist()
+        for k, total in enumerate(whole.tolist()):
+            at, back = n, []
+            while at:
+                a, i = starts[k][at], last[k][at]
+                back += (i,) if i >= 0 else self.spelt(SPACE if chunks[k][a] == 0 else chr(chunks[k][a]))[::-1]
+                at = a
+            out.append((array("I", back[::-1]).tobytes(), total, more[k] if more[k] >= 0 else _INF))
+        return out
+
     def lookup(self, key: str) -> tuple[bytes, int, int]:
         if (found := self.known.get(key)) is None:
             found = self.best(key)
@@ -168,9 +288,35 @@ class Pieces:
         found = list(map(self.known.get, keys))
         if None in found:
             found = [self.lookup(k) if x is None else x for k, x in zip(keys, found)]
+        return self.combined(keys, found, n)
+
+    def nbest_many(self, texts: list[str], n: int) -> list:
+        """nbest of many texts; the chunks that are new to all of them are solved together."""
+        keys = [self.keys(x) for x in texts]
+        found = [list(map(self.known.get, ks)) for ks in keys]
+        holes = []
+        for ks, xs in zip(keys, found):
+            at = -1
+            for _ in range(xs.count(None)):
+                at = xs.index(None, at + 1)
+                holes.append((xs, at, ks[at]))
+        if holes:
+            new = self.best_many(list({k for _, _, k in holes}))
+            for xs, at, k in holes:
+                xs[at] = new[k]
+            room = self.cached - len(self.known)
+            if room > 0:
+                self.known.update([x for x in new.items() if len(x[0]) <= _LONGEST][:room])
+        return [self.combined(ks, xs, n) for ks, xs in zip(keys, found)]
+
+    def combined(self, keys: list[str], found: list[tuple[bytes, int, int]], n: int) -> tuple:
+        """The n best of a text, of its chunks' best."""
         ids = b"".join([x[0] for x in found])
-        cost, pieces = sum(x[1] >> _BITS for x in found), len(ids) // 4
-        places = heapq.nsmallest(n - 1, ((x[2], -i) for i, x in enumerate(found) if x[2] < _INF))
+        pieces = len(ids) // 4
+        cost = (sum([x[1] for x in found]) - pieces) >> _BITS
+        more = [x[2] for x in found]
+        least = sorted(more)[: n - 1]
+        places = sorted((x, -i) for i, x in enumerate(more) if least and x <= least[-1] and x < _INF)[: n - 1]
         front: list[tuple] = [(0, ())]  # (added weight, choice of each place so far)
         order = sorted(-i for _, i in places)
         options = [self.search(self.chunk(keys[i]), n) for i in order]
@@ -194,14 +340,9 @@ class Pieces:
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
-_models: dict[str, Pieces] = {}
-
-
 def model(path: str) -> Pieces:
     """One for each Python worker and file."""
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 NBEST = "struct<ids:binary,nbest:array<struct<score:double,n_pieces:long,changes:array<struct<start:long,length:long,ids:array<int>>>>>>"
@@ -215,14 +356,17 @@ def encoded(text: Column, path: str, n: int = 4) -> Column:
     @arrow_udf(NBEST)
     def run(texts: pa.Array) -> pa.Array:
         p, ids, best = model(path), [], []
-        for x in texts.to_pylist():
-            if x is None:
-                ids.append(None)
-                best.append(None)
-                continue
-            raw, found = p.nbest(x, n)
-            ids.append(raw)
-            best.append([{"score": -c, "n_pieces": k, "changes": [{"start": s, "length": m, "ids": list(new)} for s, m, new in changes]} for c, k, changes in found])
+        for a, z in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()]):
+            part = texts.slice(a, z - a).to_pylist()
+            solved = iter(p.nbest_many([x for x in part if x is not None], n))
+            for x in part:
+                if x is None:
+                    ids.append(None)
+                    best.append(None)
+                    continue
+                raw, found = next(solved)
+                ids.append(raw)
+                best.append([{"score": -c, "n_pieces": k, "changes": [{"start": s, "length": m, "ids": list(new)} for s, m, new in changes]} for c, k, changes in found])
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(best, _BEST)], names=["ids", "nbest"])
 
     return run(text)
@@ -234,6 +378,6 @@ def decoded(ids: Column, path: str) -> Column:
     @arrow_udf("string")
     def run(raws: pa.Array) -> pa.Array:
         p = model(path)
-        return pa.array([None if x is None else p.decode(array("I", x)) for x in raws.to_pylist()], pa.string())
+        return pa.array([None if x is None else p.decode(array("I", x)) for x in each(raws)], pa.string())
 
     return run(ids)
