@@ -7,14 +7,13 @@ last saves most of the work.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from array import array
 
 import numpy as np
 
-from hushgrain.llm.worker import held
+from hushgrain.llm.worker import held, no_collector
 
 #: Before a line feed or single space that stands between two other characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -68,13 +67,8 @@ class ChunkEncoder:
         return key[2:] if key[:2] == "\n\n" else key if key[:1] == "\n" else " " + key
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        on = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and the collector would walk all that is held
-        try:
+        with no_collector():
             return self._encode(texts)
-        finally:
-            if on:
-                gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         get, whole, holes = self.known.get, [], []

@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 from hushgrain.llm.chunks import in_portions
-from hushgrain.llm.worker import each, held
+from hushgrain.llm.worker import each, held, no_collector
 
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}*\n?[^{SPACE}\n]+|{SPACE}+|\n")
@@ -44,6 +45,9 @@ _SHORT = 32
 _LONGEST = 64
 
 
+_IDS = itemgetter(0)
+
+
 class Pieces:
     """A SentencePiece model's vocabulary. known: most chunks kept (about 400 bytes each)."""
 
@@ -199,15 +203,17 @@ class Pieces:
         at a time; the steps are those of lattice() and best()."""
         out, by_length = {}, {}
         for k in keys:
-            chunk = self.chunk(k)
             try:
-                codes = chunk.replace(SPACE, "\0").encode("latin-1") if len(chunk) <= _SHORT and "\0" not in chunk else b""
-            except UnicodeEncodeError:
-                codes = b""
-            if codes:
-                by_length.setdefault(len(codes), []).append((k, codes))
-            else:
+                codes = (k if k[:1] == "\n" else "\0" + k).encode("latin-1")  # fails if k begins with a space mark
+                if len(codes) > _SHORT or "\0" in k:
+                    raise ValueError
+            except ValueError:
                 out[k] = self.best(k)
+                continue
+            if len(codes) in by_length:
+                by_length[len(codes)].append((k, codes))
+            else:
+                by_length[len(codes)] = [(k, codes)]
         for n, group in by_length.items():
             for i in range(0, len(group), 4096):
                 part = group[i : i + 4096]
@@ -315,8 +321,9 @@ class Pieces:
         pieces = len(ids) // 4
         cost = (sum([x[1] for x in found]) - pieces) >> _BITS
         more = [x[2] for x in found]
-        least = sorted(more)[: n - 1]
-        places = sorted((x, -i) for i, x in enumerate(more) if least and x <= least[-1] and x < _INF)[: n - 1]
+        least = [x for x in sorted(more)[: n - 1] if x < _INF]
+        most = least[-1] if least else -1
+        places = sorted([(x, -i) for i, x in enumerate(more) if x <= most])[: n - 1]
         front: list[tuple] = [(0, ())]  # (added weight, choice of each place so far)
         order = sorted(-i for _, i in places)
         options = [self.search(self.chunk(keys[i]), n) for i in order]
@@ -325,7 +332,7 @@ class Pieces:
             front = heapq.nsmallest(n, grown)
         starts, at, before = [], 0, 0
         for i in order:
-            at += sum(len(x[0]) for x in found[before:i]) // 4
+            at += sum(map(len, map(_IDS, found[before:i]))) // 4
             starts.append(at)
             before = i
         out = []
@@ -358,7 +365,8 @@ def encoded(text: Column, path: str, n: int = 4) -> Column:
         p, ids, best = model(path), [], []
         for a, z in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()]):
             part = texts.slice(a, z - a).to_pylist()
-            solved = iter(p.nbest_many([x for x in part if x is not None], n))
+            with no_collector():
+                solved = iter(p.nbest_many([x for x in part if x is not None], n))
             for x in part:
                 if x is None:
                     ids.append(None)

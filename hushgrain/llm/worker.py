@@ -6,7 +6,9 @@ itself (a tokenizer, a table of chunks) would add up.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -30,3 +32,16 @@ def each(values: pa.Array, rows: int = 64) -> Iterator:
     """The values of an array as Python objects, a few at a time."""
     for i in range(0, len(values), rows):
         yield from values.slice(i, rows).to_pylist()
+
+
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Without the cyclic garbage collector, which would walk all that is held again and again; for
+    code that makes many objects and no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
