@@ -30,7 +30,7 @@ def find_all(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], found).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("int").alias("at"), F.lit(False).alias("hit"), empty(FOUND).alias("out"))
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty(FOUND))
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
 def strip(text: Column) -> Column:
@@ -81,4 +81,4 @@ def apart(column: Column) -> Column:
     """The same values, in a column that Spark doesn't fold into the expressions that use it. A Python
     function must not have nested higher-order functions among its arguments: Spark then fails to
     take it out of the expression. The condition always holds, but isn't deterministic to Spark."""
-    return F.when(F.monotonically_increasing_id() >= 0, column)
+    return F.when(F.rand(0) + 1 > 0, column)

@@ -94,12 +94,13 @@ def detect_spans(docs: DataFrame, detector: Detector | None = None, use_regex: b
     null or empty text has none. Narrow; each step that runs Python is a column of its own."""
     text = F.coalesce("text", F.lit(""))
     found = docs.withColumn("_ner", as_pipeline(detector(text)) if detector else empty(SPANS))
-    found = found.withColumn("_merged", merge(F.col("_ner"), regex_pass(text)) if use_regex else F.col("_ner"))
+    found = found.withColumn("_regex", regex_pass(text) if use_regex else empty(SPANS))
+    found = found.withColumn("_merged", merge(F.col("_ner"), F.col("_regex")))
     spans = F.col("_merged")
     if use_coref:
         found = found.withColumn("_merged", apart(F.col("_merged")))
         found = found.withColumn("_merged", extend(F.col("text"), F.col("_merged")))
-    return found.withColumn("spans", with_roles(dedupe(F.col("_merged")), override)).drop("_ner", "_merged")
+    return found.withColumn("spans", with_roles(dedupe(F.col("_merged")), override)).drop("_ner", "_regex", "_merged")
 
 
 def unmapped(spans: Column) -> tuple[Column, Column]:
