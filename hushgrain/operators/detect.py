@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from hushgrain.functions.generalise import CITY_COUNTRY, DEM_BROADER
-from hushgrain.functions.labels import role
+from hushgrain.functions.labels import MIN_SCORE, PRESIDIO, mapped, role
 from hushgrain.functions.text import apart, empty, find_all, overlaps, sorted_by, without_overlaps
 from hushgrain.operators.coref import extend
 from hushgrain.schema import PREDICTED, SPAN, SPANS
@@ -30,6 +30,8 @@ RECOGNISERS = (
     ("email", "\\b[\\w._%+\\-]+@[\\w.\\-]+\\.[A-Za-z]{2,}\\b", "MISC", "@"),
     ("phone", "(?:\\+\\d{1,3}\\s?)?(?:\\(\\d{1,4}\\)\\s?|\\d{1,4}[\\s\\-]?)\\d{3,4}[\\s\\-]?\\d{3,4}\\b", "MISC", None),
 )
+#: Score of a case number that the analyser's own recogniser finds.
+CASE_NUMBER_SCORE = 0.85
 #: Order of sources when spans start together and are equally long.
 SOURCE_ORDER = ("regex", "ner", "coref", "manual")
 
@@ -143,6 +145,21 @@ def rule_detector() -> Detector:
     )
 
 
+def analyser(propose: Callable[[Column], Column] | None = None, case_numbers: bool = True, min_score: float = MIN_SCORE) -> Detector:
+    """A scoring analyser in the PRESIDIO scheme: propose returns array<struct<start, end, label,
+    score>>. case_numbers adds a recogniser of case numbers with a fixed score."""
+
+    def run(text: Column) -> Column:
+        kind = "array<struct<start:int,end:int,label:string,score:double>>"
+        found = propose(text).cast(kind) if propose else empty(kind)
+        if case_numbers:
+            own = F.transform(recognise(text, "case_number"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit("CASE_NUMBER").alias("label"), F.lit(CASE_NUMBER_SCORE).alias("score")))
+            found = F.concat(found, own)
+        return sorted_by(mapped(found, PRESIDIO, text, min_score), lambda s: s["start"])
+
+    return run
+
+
 def model_detector(load: Callable[[], Callable[[str], list[tuple[int, int, str, str]]]]) -> Detector:
     """A detector in Python. load() is called once in each worker and returns text -> spans; a text
     on which it fails has no spans."""
@@ -174,6 +191,22 @@ def spans_table(docs: DataFrame, spans: DataFrame, model: str, name: str = "pred
     return docs.join(own, "doc_id", "left")
 
 
+def located(text: str, needles: list[tuple[str, str]]) -> list[tuple[int, int, str, str]]:
+    """Spans of curated (needle, type) pairs for fixtures: the first place of each that is free and
+    doesn't touch a letter or digit. Needles that have none are left out."""
+    out: list[tuple[int, int, str, str]] = []
+    for needle, kind in needles:
+        at = text.find(needle) if needle else -1
+        while at >= 0:
+            end = at + len(needle)
+            alone = not (at and text[at - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
+            if alone and not any(at < b and end > a for a, b, _, _ in out):
+                out.append((at, end, kind, needle))
+                break
+            at = text.find(needle, at + 1)
+    return sorted(out)
+
+
 _REGISTRY: dict[str, Callable[[], Detector]] = {"rules": rule_detector}
 
 

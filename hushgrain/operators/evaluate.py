@@ -176,4 +176,8 @@ def distinct_direct(docs: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows, the same ones for the same seed however the table is partitioned."""
-    return docs.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+    return docs.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), "doc_id").limit(n)
+
+
+def first_rows(docs: DataFrame, n: int) -> DataFrame:
+    return docs.orderBy("doc_id").limit(n)

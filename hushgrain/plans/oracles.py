@@ -323,3 +323,6 @@ SQL["bio_decode"] = _cases(
 SELECT doc_id, start, "end", entity_type, substr(text, start + 1, "end" - start) AS text FROM (
   SELECT k, isle, min(s) AS start, max(e) AS "end", any_value(kind) AS entity_type FROM w4 WHERE kind IS NOT NULL GROUP BY 1, 2) JOIN doc USING (k)"""
 )
+SQL["analyser_spans"] = _cases(' SELECT doc_id, s AS start, e AS "end", kind AS entity_type, txt AS text FROM men WHERE kind = \'CODE\'')
+SQL["simple_redact"] = _cases(" SELECT concat('case-', k) AS doc_id, string_agg(CASE WHEN role IN ('DIRECT', 'QUASI') THEN CASE kind WHEN 'DEM' THEN '[RAW_DEM]' ELSE '[' || kind || ']' END ELSE t END, '' ORDER BY i) AS redacted_text FROM seg GROUP BY k")
+SQL["seeded_sample"] = "SELECT doc_id FROM documents ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 20"

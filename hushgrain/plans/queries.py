@@ -63,6 +63,22 @@ def label_mapping(spark, sf_dir):
     return rows.select("label", *[labels.lookup(F.col("label"), m).alias(c) for c, m in (("ontonotes", labels.ONTONOTES), ("conll", labels.CONLL), ("presidio", labels.PRESIDIO))])
 
 
+def analyser_spans(spark, sf_dir):
+    rows = cases(spark, sf_dir).select("doc_id", F.explode(detect.analyser()(F.col("text"))).alias("s"))
+    return rows.select("doc_id", "s.*")
+
+
+def simple_redact(spark, sf_dir):
+    """Every span by its type, or by its raw label where the label means no type."""
+    span = lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), F.when(g["entity_type"] != "DEM", g["entity_type"]).alias("entity_type"), F.concat(F.lit("RAW_"), g["entity_type"]).alias("label"))
+    docs = cases(spark, sf_dir).select("doc_id", "text", F.transform(evaluate.gold(F.col("entity_mentions")), span).alias("spans"))
+    return redact.simple(docs)
+
+
+def seeded_sample(spark, sf_dir):
+    return evaluate.sample(_docs(spark, sf_dir).select("doc_id"), 20)
+
+
 # Ladders
 
 
@@ -284,6 +300,18 @@ def mention_recall_by_type(spark, sf_dir):
     return _rounded(evaluate.recall_summary(evaluate.entity_recall(_scored(spark, sf_dir), "model"), "model", "entity_type"))
 
 
+def mention_recall_coref(spark, sf_dir):
+    """Recall of the rule detector without and with the coreference scan."""
+    docs = cases(spark, sf_dir).select("doc_id", "text", "entity_mentions")
+    out = None
+    for name, on in (("baseline", False), ("coref", True)):
+        found = detect.detect_spans(docs, detect.detector("rules"), use_coref=on)
+        slim = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type")))
+        part = evaluate.recall_summary(evaluate.entity_recall(found.withColumn("predicted", slim)), F.lit(name).alias("label"))
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out)
+
+
 def missed_spans(spark, sf_dir):
     missed, _ = evaluate.unmatched(_scored(spark, sf_dir), "model")
     return missed.groupBy("model", "entity_type").agg(F.count("*").alias("n"))
@@ -365,7 +393,7 @@ def examples_by_role(spark, sf_dir):
 
 _FUNCTIONS = (
     detect_spans_documents, detect_spans_pages, detect_spans_conversations, span_type_counts, role_counts, redact_contacts,
-    rules_detect_counts, label_mapping, normalise_facts, token_letters, bare_names, signatures, k_anonymity, k_distribution,
+    rules_detect_counts, analyser_spans, simple_redact, seeded_sample, mention_recall_coref, label_mapping, normalise_facts, token_letters, bare_names, signatures, k_anonymity, k_distribution,
     haystack_k, min_facts_smart, min_facts_doc_order, reid_cdf, reid_threshold, reid_summary, reid_histogram, rarest_fact,
     lite_redact, lite_audit, audit_first, pro_redact, pro_redact_short, pro_risk_summary, pro_audit_counts, context_windows,
     distinct_direct, pseudonymise, vault_entries, restore_text, coref_spans, bio_encode, bio_decode, token_windows, eval_exact,

@@ -280,6 +280,23 @@ def test_windows(spark, n, want):
     assert got == want
 
 
+def test_windows_are_united(spark):
+    rows = [("d", 0, 0, 3, "ORG", "abc"), ("d", 1, 0, 3, "ORG", "abc"), ("d", 1, 0, 3, "LOC", "abc")]
+    frame = spark.createDataFrame(rows, "doc_id string, window int, start int, end int, entity_type string, text string")
+    assert bio.union_of_windows(frame).count() == 2
+
+
+def test_located():
+    assert detect.located("Sofia Sofiana, Sofia.", [("Sofia", "LOC"), ("Sofia", "ORG"), ("Sofia", "MISC"), ("", "ORG")]) == [(0, 5, "LOC", "Sofia"), (15, 20, "ORG", "Sofia")]
+
+
+def test_analyser_scores(spark):
+    propose = lambda t: F.expr("array(struct(0 AS start, 3 AS end, 'PERSON' AS label, 0.4D AS score), struct(4 AS start, 6 AS end, 'PERSON' AS label, 0.39D AS score), struct(4 AS start, 6 AS end, 'URL' AS label, 0.9D AS score))")
+    docs = docs_of(spark, "Ann xy Case no. 12/99")
+    assert [tuple(s) for s in docs.select(detect.analyser(propose)(F.col("text"))).first()[0]] == [(0, 3, "PERSON", "Ann"), (7, 21, "CODE", "Case no. 12/99")]
+    assert len(docs.select(detect.analyser(propose, case_numbers=False)(F.col("text"))).first()[0]) == 1
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b.txt").write_text(" Ann \n", encoding="utf-8")

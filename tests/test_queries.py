@@ -39,7 +39,7 @@ def test_query_is_its_sql(spark, duck, name):
 
 
 def test_most_queries_have_sql():
-    assert set(QUERIES) - set(oracles.SQL) == {"rules_detect_counts", "combiner_comparison"}
+    assert set(QUERIES) - set(oracles.SQL) == {"rules_detect_counts", "combiner_comparison", "mention_recall_coref"}
 
 
 def test_strategies_agree_with_their_parts(spark):
@@ -49,6 +49,11 @@ def test_strategies_agree_with_their_parts(spark):
     assert len({tp + fn for tp, _, fn in both.values()}) == 1
 
 
+def test_coreference_raises_recall(spark):
+    got = {r.label: r for r in QUERIES["mention_recall_coref"](spark, SF).collect()}
+    assert got["coref"].n_mentions == got["baseline"].n_mentions and got["coref"].micro_recall > got["baseline"].micro_recall
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 200
 
