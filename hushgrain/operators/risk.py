@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from hushgrain.functions.normalise import normalise
 from hushgrain.functions.text import strip
+from hushgrain.sources.shared import written
 
 QUASI_TYPES = ("DEM", "DATETIME", "LOC", "QUANTITY")
 #: A haystack of at most so many fingerprints may be broadcast (about 100 bytes each).
@@ -103,27 +104,37 @@ def facts_needed(rows: DataFrame, order: str = "rarest") -> DataFrame:
     if all of them don't. rows: facts_by_document.
 
     order: "rarest" (by the number of documents with the fact, ties by type and value) or
-    "document" (by first appearance). Another document matches the first p facts told if it holds
-    them all; a document that doesn't hold the first fact told matches none, so only documents that
-    share it are compared, fact by fact, and the greatest p over them decides.
+    "document" (by first appearance). Documents whose facts begin alike share a node, and a node
+    knows the documents that hold all of its facts, so documents are never paired with each other:
+    at each step a document has a row for each node that it fits. A node with one document is done.
+    There is a step for each fact of the documents that are still not single, and a count for each.
     """
+    fact = F.md5(F.concat_ws("\x1f", "entity_type", "value"))
     per_fact = rows.groupBy("entity_type", "value").agg(F.count("*").alias("df"))
     ranked = rows.join(per_fact, ["entity_type", "value"])
-    by_df = [F.col("df")] if order == "rarest" else [F.col("first")]
-    ranked = ranked.withColumn("rk", F.row_number().over(Window.partitionBy("doc_id").orderBy(*by_df, "entity_type", "value")))
-    totals = rows.groupBy("doc_id").agg(F.count("*").alias("n_facts"))
-    # Pairs (target, other) that share the target's first fact.
-    first = ranked.where("rk = 1 AND df > 1").select(F.col("doc_id").alias("target"), "entity_type", "value")
-    pairs = first.join(rows.select(F.col("doc_id").alias("other"), "entity_type", "value"), ["entity_type", "value"]).where("target <> other").select("target", "other")
-    told = ranked.select(F.col("doc_id").alias("target"), "entity_type", "value", "rk")
-    held = rows.select(F.col("doc_id").alias("other"), "entity_type", "value")
-    shared = pairs.join(told, "target").join(held, ["other", "entity_type", "value"])
-    # The ranks shared form a prefix 1..p as long as the n-th least rank is n.
-    ranks = shared.groupBy("target", "other").agg(F.array_sort(F.collect_list("rk")).alias("r"))
-    prefix = F.size(F.filter("r", lambda x, i: x == i + 1))
-    longest = ranks.groupBy("target").agg(F.max(prefix).alias("p"))
-    p = F.coalesce("p", F.lit(0))
-    return totals.join(longest, totals.doc_id == longest.target, "left").select("doc_id", "n_facts", F.when(p < F.col("n_facts"), p + 1).cast("long").alias("needed"))
+    by = [F.col("df")] if order == "rarest" else [F.col("first")]
+    own = Window.partitionBy("doc_id")
+    ranked = ranked.withColumn("rk", F.row_number().over(own.orderBy(*by, "entity_type", "value"))).withColumn("n_facts", F.count("*").over(own))
+    told = written(ranked.select("doc_id", fact.alias("f"), "rk", "n_facts"), "told")
+    targets = told.where("rk = 1").select("doc_id", F.col("f").alias("node"), "n_facts")
+    members = told.select("doc_id", F.col("f").alias("node")).join(targets.select("node").distinct(), "node", "left_semi")
+    depth, out = 1, None
+    while True:
+        sizes = members.groupBy("node").agg(F.count("*").alias("size"))
+        state = targets.join(sizes, "node")
+        single, told_all = F.col("size") == 1, F.col("n_facts") == depth
+        done = state.where(single | told_all).select("doc_id", "n_facts", F.when(single, F.lit(depth)).cast("long").alias("needed"))
+        done = written(done, "done")
+        out = done if out is None else out.unionByName(done)
+        after = told.where(F.col("rk") == depth + 1).select("doc_id", "f")
+        live = written(state.where(~single & ~told_all).select("doc_id", "node", "n_facts").join(after, "doc_id"), "live")
+        if live.isEmpty():
+            return out
+        deeper = F.md5(F.concat("node", "f")).alias("node")
+        wanted = live.select("node", "f").distinct()
+        members = written(members.join(told.select("doc_id", "f"), "doc_id").join(wanted, ["node", "f"], "left_semi").select("doc_id", deeper), "members")
+        targets = live.select("doc_id", deeper, "n_facts")
+        depth += 1
 
 
 def rarest_fact(rows: DataFrame) -> DataFrame:

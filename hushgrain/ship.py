@@ -18,7 +18,7 @@ def ship(spark: SparkSession) -> None:
     """Sends the package with Spark's own file distribution, once for each application."""
     context = spark.sparkContext
     on_path = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(_ROOT) in on_path or getattr(context, "_hushgrain_shipped", False):
+    if str(_ROOT) in on_path and context.master.startswith("local") or getattr(context, "_hushgrain_shipped", False):
         return
     path = Path(tempfile.mkdtemp()) / "hushgrain.zip"
     with zipfile.ZipFile(path, "w") as z:
