@@ -143,7 +143,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, drops_space
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 for i, j in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()]):
-                    raws = encode.encode(texts.slice(i, j - i).to_pylist())
+                    raws = encode.encode(texts.slice(i, j - i))
                     starts = []
                     for raw in raws:
                         starts.append(ids_out.total)

@@ -12,13 +12,16 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from hushgrain.llm.worker import held, no_collector
 
 #: Before a line feed or single space that stands between two other characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-# White space other than space and line feed.
-_OTHER = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts that can't be cut at every space and line feed: with white space at an end, side by side, or
+#: of another kind.
+_ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Longer chunks aren't kept.
 _LONGEST = 64
 #: Chunks encoded at once.
@@ -47,18 +50,15 @@ class ChunkEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.drops_space, self.cached, self.known = drops_space, cached, {}
 
-    def keys(self, text: str | None) -> list[str]:
-        """Keys of a text's chunks. A key stands for itself after a space; for itself alone if it
-        begins with a line feed; for what follows if it begins with two of them."""
-        if not text:
-            return []
+    def _keys(self, texts: pa.Array) -> pa.ListArray:
+        """Keys of each text's chunks, without a loop in Python. A key stands for itself after a space;
+        for itself alone if it begins with a line feed; for what follows if it begins with two."""
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if text[0] not in " \n" and text[-1] not in " \n" and not any(c in text for c in _OTHER):
-            keys = text.replace("\n", " \n").split(" ")
-            if "" not in keys and "\n" not in keys:  # no two of them side by side
-                keys[0] = "\n\n" + keys[0]
-                return keys
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        marked = pc.binary_join_element_wise("\n\n", pc.replace_substring(texts, "\n", " \n"), "")
+        return pc.split_pattern(marked, " ")
+
+    def _odd_keys(self, text: str) -> list[str]:
         return ["\n\n" + x for x in _CUT.split(text)]
 
     def chunk(self, key: str) -> str:
@@ -66,28 +66,41 @@ class ChunkEncoder:
             return key
         return key[2:] if key[:2] == "\n\n" else key if key[:1] == "\n" else " " + key
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null is an empty text."""
+        if not len(texts):
+            return []
         with no_collector():
-            return self._encode(texts)
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        get, whole, holes = self.known.get, [], []
-        for x in texts:
-            keys = self.keys(x)
-            parts = list(map(get, keys))
-            at = -1
-            for _ in range(parts.count(None)):
-                at = parts.index(None, at + 1)
-                holes.append((parts, at, keys[at]))
-            whole.append(parts)
-        if holes:
-            new = self._new(list({k for _, _, k in holes}))
-            for parts, i, k in holes:
-                parts[i] = new[k]
+            texts = pc.fill_null(texts, "")
+            odd = [] if self.drops_space else pc.indices_nonzero(pc.match_substring_regex(texts, _ODD)).to_pylist()
+            if odd:
+                plain = np.ones(len(texts), bool)
+                plain[odd] = False
+                texts_ = pc.if_else(pa.array(plain), texts, "")
+            else:
+                texts_ = texts
+            keys = self._keys(texts_)
+            flat = keys.flatten().dictionary_encode()
+            values = pa.array(self._values(flat.dictionary.to_pylist()), pa.binary()).take(flat.indices)
+            ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+            at = ends[np.asarray(keys.offsets) - keys.offsets[0].as_py()].tolist()
+            data = values.buffers()[2]
+            raw = memoryview(data) if data is not None else memoryview(b"")
+            out = [bytes(raw[x:y]) for x, y in zip(at, at[1:])]
+            for i in odd:
+                out[i] = b"".join(self._values(self._odd_keys(texts[i].as_py())))
+            return out
+
+    def _values(self, keys: list[str]) -> list[bytes]:
+        """Ids of chunks; those that are new are encoded together, and kept while there is room."""
+        found = list(map(self.known.get, keys))
+        if None in found:
+            new = self._new(list({k for k, v in zip(keys, found) if v is None}))
+            found = [new[k] if v is None else v for k, v in zip(keys, found)]
             room = self.cached - len(self.known)
             if room > 0:
                 self.known.update([x for x in new.items() if len(x[0]) <= _LONGEST][:room])
-        return [b"".join(x) for x in whole]
+        return found
 
     def _new(self, names: list[str]) -> dict[str, bytes]:
         alone = [k for k in names if self.between is None or self.between[:2] in k]
@@ -118,7 +131,7 @@ def encoder(path: str, drops_space: bool) -> ChunkEncoder:
     return held(("chunks", path, drops_space), make)
 
 
-def in_portions(lengths: list[int], limit: int = 1_500_000):
+def in_portions(lengths: list[int], limit: int = 4_000_000):
     """Index ranges whose lengths add up to about limit: bounds what is held at once."""
     start = total = 0
     for i, n in enumerate(lengths):

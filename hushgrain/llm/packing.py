@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, window
             lengths = [x or 0 for x in pc.binary_length(texts).to_pylist()]
             for i, j in in_portions(lengths):
                 placed = []
-                for doc, raw in zip(ids[i:j], encode.encode(texts.slice(i, j - i).to_pylist())):
+                for doc, raw in zip(ids[i:j], encode.encode(texts.slice(i, j - i))):
                     got = np.append(np.frombuffer(raw, encode.dtype), encode.dtype.type(end_id))
                     placed += packer.add((doc, len(got)), got)
                 if placed:

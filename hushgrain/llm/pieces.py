@@ -363,7 +363,7 @@ def encoded(text: Column, path: str, n: int = 4) -> Column:
     @arrow_udf(NBEST)
     def run(texts: pa.Array) -> pa.Array:
         p, ids, best = model(path), [], []
-        for a, z in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()]):
+        for a, z in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()], 1_500_000):
             part = texts.slice(a, z - a).to_pylist()
             with no_collector():
                 solved = iter(p.nbest_many([x for x in part if x is not None], n))

@@ -221,7 +221,7 @@ def assess(docs: DataFrame, coverage: float = 0.75, cutoff: float = CUTOFF, min_
 def keep(docs: DataFrame, coverage: float = 0.75, cutoff: float = CUTOFF, min_group: int = 200, text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept, with their columns. Statistics are counted twice, once to fit
     and once to judge, so that no text is shuffled or stored."""
-    own = [F.col(f"doc.{c}") for c in docs.columns]
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns]
     counted = lambda d: grouped(d.select(F.struct("*").alias("doc"), "lang", "source", stats(F.col(text_col)).alias("s")), F.col("s"))
     slim = table(docs.select("lang", "source", stats(F.col(text_col)).alias("s")), "stats")
     return judged(counted(docs), fit(grouped(slim, F.col("s")), coverage, min_group=min_group), F.col("s"), cutoff).where("kept").select(*own)
