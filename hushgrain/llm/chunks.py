@@ -22,6 +22,8 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Texts that can't be cut at every space and line feed: with white space at an end, side by side, or
 #: of another kind.
 _ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# ASCII punctuation, which neither tokenizer joins with letters.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer chunks aren't kept.
 _LONGEST = 64
 #: Chunks encoded at once.
@@ -92,16 +94,39 @@ class ChunkEncoder:
             return out
 
     def _values(self, keys: list[str]) -> list[bytes]:
-        """Ids of chunks; those that are new are encoded together, and kept while there is room."""
-        found = list(map(self.known.get, keys))
+        """Ids of chunks; those that are new are encoded together, and kept while there is room. A word
+        with punctuation after it is two tokens before merging, so the word alone may be known."""
+        known, alone = self.known, "" if self.drops_space else "\n\n"
+        found = list(map(known.get, keys))
         if None in found:
-            new = self._new(list({k for k, v in zip(keys, found) if v is None}))
+            new, parts = {}, {}
+            for k in {k for k, v in zip(keys, found) if v is None}:
+                word = k.rstrip(_PUNCTUATION)
+                if len(word) < len(k) and word.isalpha():
+                    tail = alone + k[len(word) :]
+                    parts[k] = word, tail
+                    if word not in known:
+                        new[word] = None
+                    if tail not in known:
+                        new[tail] = None
+                else:
+                    new[k] = None
+            new = self._new(list(new))
+            self._keep(new, self.cached)
+            whole = {}
+            for k, (word, tail) in parts.items():
+                a, b = known.get(word), known.get(tail)
+                whole[k] = (new[word] if a is None else a) + (new[tail] if b is None else b)
+            self._keep(whole, self.cached // 2)
+            new.update(whole)
             found = [new[k] if v is None else v for k, v in zip(keys, found)]
-            room = self.cached - len(self.known)
-            if room > 0:
-                self.known.update([x for x in new.items() if len(x[0]) <= _LONGEST][:room])
         return found
 
+    def _keep(self, new: dict[str, bytes], most: int) -> None:
+        room = most - len(self.known)
+        if room > 0:
+            self.known.update([x for x in new.items() if len(x[0]) <= _LONGEST][:room])
+
     def _new(self, names: list[str]) -> dict[str, bytes]:
         alone = [k for k in names if self.between is None or self.between[:2] in k]
         out = {k: array(self.code, self.tokenizer.encode(self.chunk(k), add_special_tokens=False).ids).tobytes() for k in alone}
