@@ -65,12 +65,19 @@ def lite_audit(redacted: DataFrame, pseudonymise: bool = False) -> DataFrame:
     )
 
 
-def residual_signature(spans: Column, level: int) -> Column:
-    """The fingerprint of QUASI spans at a level: sorted distinct (entity_type, value); bracketed
-    values are suppressed and don't count."""
-    quasi = F.filter(spans, lambda s: s["identifier_role"] == "QUASI")
-    value = lambda s: generalise(s["entity_type"], s["text"], level)
-    shown = F.filter(F.transform(quasi, lambda s: F.struct(s["entity_type"].alias("entity_type"), value(s).alias("value"))), lambda f: ~(f["value"].startswith("[") & f["value"].endswith("]")))
+def ladder(spans: Column) -> Column:
+    """For each span its role, entity type and value at every level: evaluated once, used by all that
+    follows."""
+    values = lambda s: F.array(*[generalise(s["entity_type"], s["text"], level) for level in range(MAX_LEVEL + 1)])
+    quasi = lambda s: s["identifier_role"] == "QUASI"
+    return F.transform(spans, lambda s: F.struct(quasi(s).alias("quasi"), s["entity_type"].alias("entity_type"), F.when(quasi(s), values(s)).alias("values")))
+
+
+def residual_signature(rungs: Column, level: int) -> Column:
+    """The fingerprint of the QUASI spans of a ladder at a level: sorted distinct (entity_type, value);
+    bracketed values are suppressed and don't count."""
+    facts = F.transform(F.filter(rungs, lambda r: r["quasi"]), lambda r: F.struct(r["entity_type"].alias("entity_type"), F.get(r["values"], F.lit(level)).alias("value")))
+    shown = F.filter(facts, lambda f: ~(f["value"].startswith("[") & f["value"].endswith("]")))
     return F.array_sort(F.array_distinct(F.transform(shown, lambda f: f.withField("value", F.lower(strip(f["value"]))))))
 
 
@@ -78,9 +85,9 @@ def pro(docs: DataFrame, haystack: DataFrame, k_target: int = 5, max_iterations:
     """docs: doc_id, text, spans; haystack: (signature, cnt). The columns of lite, and k0..k3, level
     and `named_levels` for the audit. All four levels' fingerprints are computed at once and
     looked up in the haystack; texts are not shuffled while the haystack is small."""
-    docs = _with_tokens(docs, pseudonymise)
+    docs = _with_tokens(docs, pseudonymise).withColumn("rungs", ladder(F.col("spans")))
     for level in range(MAX_LEVEL + 1):
-        docs = docs.withColumn(f"sig{level}", residual_signature(F.col("spans"), level))
+        docs = docs.withColumn(f"sig{level}", residual_signature(F.col("rungs"), level))
     docs = k_for(docs, haystack, [f"sig{level}" for level in range(MAX_LEVEL + 1)], [f"k{level}" for level in range(MAX_LEVEL + 1)])
     any_quasi = F.exists("spans", lambda s: s["identifier_role"] == "QUASI")
     most = max(max_iterations, 0)
@@ -96,8 +103,8 @@ def pro(docs: DataFrame, haystack: DataFrame, k_target: int = 5, max_iterations:
     k_final = F.col(f"k{MAX_LEVEL}")
     for step in range(MAX_LEVEL):
         k_final = F.when(F.col("level") == step, F.col(f"k{step}")).otherwise(k_final)
-    final = lambda s: _pick(F.col("level"), [generalise(s["entity_type"], s["text"], step) for step in range(MAX_LEVEL + 1)])
-    changed = lambda s: F.when((s["identifier_role"] == "QUASI") & (F.col("level") > 0), s.withField("replacement", final(s)).withField("generalization_level", F.col("level"))).otherwise(s)
+    final = lambda i: F.get(F.get("rungs", i)["values"], F.col("level"))
+    changed = lambda s, i: F.when((s["identifier_role"] == "QUASI") & (F.col("level") > 0), s.withField("replacement", final(i)).withField("generalization_level", F.col("level"))).otherwise(s)
     docs = docs.withColumn("done", F.transform("named", changed))
     return docs.select(
         "doc_id",
@@ -113,13 +120,6 @@ def pro(docs: DataFrame, haystack: DataFrame, k_target: int = 5, max_iterations:
     )
 
 
-def _pick(index: Column, options: list[Column]) -> Column:
-    out = options[-1]
-    for i, option in enumerate(options[:-1]):
-        out = F.when(index == i, option).otherwise(out)
-    return out
-
-
 def pro_audit(redacted: DataFrame, k_target: int = 5, max_iterations: int = 5, pseudonymise: bool = False) -> DataFrame:
     """One row for each decision of pro, in order: the columns of lite_audit, and replacement_step,
     the replacement at that step (replacement is the final one)."""

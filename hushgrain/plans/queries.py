@@ -131,7 +131,7 @@ def k_distribution(spark, sf_dir):
 def haystack_k(spark, sf_dir):
     """How often each document's fingerprint stands in the haystack of the other annotator."""
     docs = annotated(spark, sf_dir)
-    own = docs.where("annotator_id = '1'").select("doc_id", redact.residual_signature(as_spans(F.col("entity_mentions")), 0).alias("sig"))
+    own = docs.where("annotator_id = '1'").select("doc_id", redact.residual_signature(redact.ladder(as_spans(F.col("entity_mentions"))), 0).alias("sig"))
     found = risk.k_for(own, risk.haystack(docs.where("annotator_id = '2'")), ["sig"], ["k"])
     return found.select("doc_id", "k", risk.is_safe(F.col("k"), 2).alias("safe"))
 
@@ -189,8 +189,8 @@ K_TARGET = 5
 
 def _haystack(docs: DataFrame) -> DataFrame:
     """Fingerprints in which every other document is hidden at level 1, and the rest at level 2."""
-    level = lambda n: redact.residual_signature(F.col("spans"), n)
-    rows = docs.select(F.when(F.col("k") % 2 == 0, level(1)).otherwise(level(2)).alias("signature"))
+    level = lambda n: redact.residual_signature(F.col("rungs"), n)
+    rows = docs.withColumn("rungs", redact.ladder(F.col("spans"))).select(F.when(F.col("k") % 2 == 0, level(1)).otherwise(level(2)).alias("signature"))
     return risk.seeded(rows, "signature", 3)
 
 
