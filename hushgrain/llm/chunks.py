@@ -38,7 +38,7 @@ class ChunkEncoder:
     is full, chunks that it lacks are encoded for the batch at hand only.
     """
 
-    def __init__(self, path: str, drops_space: bool, cached: int = 400_000):
+    def __init__(self, path: str, drops_space: bool, cached: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -91,6 +91,7 @@ class ChunkEncoder:
             out = [bytes(raw[x:y]) for x, y in zip(at, at[1:])]
             for i in odd:
                 out[i] = b"".join(self._values(self._odd_keys(texts[i].as_py())))
+            pa.default_memory_pool().release_unused()
             return out
 
     def _values(self, keys: list[str]) -> list[bytes]:
@@ -156,7 +157,7 @@ def encoder(path: str, drops_space: bool) -> ChunkEncoder:
     return held(("chunks", path, drops_space), make)
 
 
-def in_portions(lengths: list[int], limit: int = 4_000_000):
+def in_portions(lengths: list[int], limit: int = 2_000_000):
     """Index ranges whose lengths add up to about limit: bounds what is held at once."""
     start = total = 0
     for i, n in enumerate(lengths):
