@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in token sequences, ids and their checksum."""
     bounded(spark)
-    placed = packing.pack(docs, **tokenizer(WORD_BPE))
+    placed = packing.pack(docs, cached=350_000, portion=2_000_000, **tokenizer(WORD_BPE))
     return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -128,7 +128,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, drops_space
     def run(batches):
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer, drops_space)
+        encode = encoder(tokenizer, drops_space, cached=600_000)
         end = np.array([end_id], encode.dtype).tobytes()
         number, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = [f"{folder}/part-{number:06d}-{own}{x}.arrow" for x in ("", "-docs")]
@@ -142,7 +142,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, drops_space
             ids_out, docs_out = StreamWriter(a, encode.dtype, length), pa.ipc.new_stream(b, _DOCS)
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
-                for i, j in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()]):
+                for i, j in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()], 4_000_000):
                     raws = encode.encode(texts.slice(i, j - i))
                     starts = []
                     for raw in raws:

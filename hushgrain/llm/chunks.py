@@ -147,14 +147,14 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str, drops_space: bool) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, cached: int = 350_000) -> ChunkEncoder:
     """One for each Python worker and file."""
 
     def make() -> ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return ChunkEncoder(path, drops_space)
+        return ChunkEncoder(path, drops_space, cached)
 
-    return held(("chunks", path, drops_space), make)
+    return held(("chunks", path, drops_space, cached), make)
 
 
 def in_portions(lengths: list[int], limit: int = 2_000_000):

@@ -133,20 +133,21 @@ class SumOfSquares:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", max_open: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", max_open: int = 4096, cached: int = 400_000, portion: int = 4_000_000) -> DataFrame:
     """One row for each piece of each document: where it lies in its document and in its sequence,
-    and its ids (little-endian, 32 bits). tokenizer: a file of the tokenizers library."""
+    and its ids (little-endian, 32 bits). tokenizer: a file of the tokenizers library. cached, portion:
+    chunks that a worker keeps, and characters that it encodes at once."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer, drops_space)
+        encode = encoder(tokenizer, drops_space, cached)
         base = TaskContext.get().partitionId() << 36  # so many sequences are never in one partition
         packer = SumOfSquares(window, max_open)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             lengths = [x or 0 for x in pc.binary_length(texts).to_pylist()]
-            for i, j in in_portions(lengths):
+            for i, j in in_portions(lengths, portion):
                 placed = []
                 for doc, raw in zip(ids[i:j], encode.encode(texts.slice(i, j - i))):
                     got = np.append(np.frombuffer(raw, encode.dtype), encode.dtype.type(end_id))
