@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgrain.llm import langid, packing, pii, quality, simhash
+from hushgrain.llm import langid, near_copies, packing, pii, quality
 from hushgrain.llm.queries import WORD_BPE, tokenizer
-from hushgrain.llm.runtime import bounded, read, small_or_not, table
+from hushgrain.llm.runtime import bounded, read, table
 
 #: Least posterior of a document's language.
 MIN_LANGUAGE_SCORE = 0.5
@@ -32,11 +32,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id. Rows without a
-    doc_id stay; of rows that share a doc_id all stay or none."""
-    found = simhash.near_duplicates(docs)
-    dropped = table(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(small_or_not(dropped), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, linked at a Jaccard similarity of 0.8 or more of their
+    five-word shingles: the one with the least doc_id. Rows count by themselves: repeated rows and
+    rows without a doc_id are copies like others, and a doc_id's other texts stay."""
+    return near_copies.without_copies(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
