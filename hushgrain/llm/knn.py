@@ -114,24 +114,34 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     queries_ = own.where("q").groupBy("id").agg(F.min("v").alias("v"))  # repeated ids are asked once
     queries_ = table(queries_.mapInArrow(place(True), placed_schema), "queries")
 
-    # Summaries. The k + 1 least distances of each pivot are found in the tasks first.
+    # Summaries. The k + 1 least distances of each pivot, of different ids, are found in the tasks
+    # first: rows that bear a query's own id aren't candidates, however many they are.
     def least(batches):
-        best: dict[int, np.ndarray] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            j, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ids, j, d = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
             for x in np.unique(j).tolist():
-                best[x] = np.sort(np.concatenate([best.get(x, np.empty(0)), d[j == x]]))[: k + 1]
-        for x, d in best.items():
-            yield pa.record_batch({"j": pa.array([x] * len(d), pa.int32()), "d": d})
-
-    near = placed.select("j", "d").mapInArrow(least, "j int, d double").groupBy("j").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k + 1).alias("d")).collect()
+                i, e = ids[j == x], d[j == x]
+                if x in best:
+                    i, e = np.concatenate([best[x][0], i]), np.concatenate([best[x][1], e])
+                order = np.argsort(e, kind="stable")
+                first = np.sort(np.unique(i[order], return_index=True)[1])[: k + 1]  # each id's least
+                best[x] = i[order[first]], e[order[first]]
+        for x, (i, e) in best.items():
+            yield pa.record_batch({"j": pa.array([x] * len(e), pa.int32()), "id": i, "d": e})
+
+    nearest = placed.select("id", "j", "d").mapInArrow(least, "j int, id long, d double").groupBy("j", "id").agg(F.min("d").alias("d"))
+    near = nearest.groupBy("j").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("d")).collect()
     asked = {r[0]: (r[1], r[2]) for r in queries_.groupBy("j").agg(F.count("*"), F.max("d")).collect()}
     apart = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2), 0.0))
     slack = 1e-6 * (1.0 + np.sqrt(top))
     bound = np.full((p, p), np.inf)  # bound[i, j]: a data row of j nearer to its pivot isn't needed by queries of i
     for i, (_, far) in asked.items():
-        reach = sorted(far + apart[i, r.j] + d for r in near for d in r.d)
-        theta = reach[k] if len(reach) > k else np.inf  # k others, besides the query itself
+        reach: dict[int, float] = {}
+        for r in near:
+            for d, of in r.d:
+                reach[of] = min(reach.get(of, np.inf), far + apart[i, r.j] + d)
+        theta = sorted(reach.values())[k] if len(reach) > k else np.inf  # k other ids, besides the query's
         bound[i] = apart[i] - far - theta - slack
     group, size_of = _groups(asked, apart, query_block)
     needs = [bound[[i for i in asked if group[i] == g]].min(axis=0) for g in range(len(size_of))]

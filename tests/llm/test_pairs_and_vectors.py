@@ -121,6 +121,17 @@ def test_knn_edges(spark):
     assert got == [(0, 1, 5, 1024 * 2048), (0, 2, 5, 1024 * 2048)]
 
 
+def test_knn_of_ids_repeated_more_than_k_times(spark):
+    vectors = np.random.default_rng(11).normal(size=(60, 6))  # of one length, so that distances tell scores
+    vectors = np.float32(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows += [rows[0]] * 300 + [(10, [x + 0.001 for x in rows[10][1]])] * 30
+    rows[10] = (11, rows[10][1])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = knn.search(frame, F.col("vec_id") % 10 == 0, 10, n_pivots=400, query_block=1, shard_rows=50)
+    assert {tuple(r) for r in got.collect()} == brute_knn(rows, lambda i: i % 10 == 0, 10)
+
+
 def test_urls_are_cut_and_ruled(spark):
     rows = [
         ("https://WWW.Example.COM/en/7?x=1#y", "www.example.com", "/en/7", "example.com/en/7", "allow"),
