@@ -6,8 +6,8 @@ Mahalanobis distance is beyond a cutoff. The estimate starts from medians and ta
 steps: documents are counted by distance on a fixed grid, and the least distances that hold
 `coverage` of the group give the next mean and covariance. A step is one aggregation with partial
 sums in each task, so a source that holds a third of all rows costs no more than any other.
-Groups with fewer than `min_group` documents share their language's estimate, and languages with
-fewer share one of all documents.
+Groups with fewer than `min_group` documents are judged by their language's estimate, and languages
+with fewer by one of all documents; those are fitted on all rows of the language or the table.
 
 Nulls and ties: a null text has no words and fails the base limits; null languages and sources
 are groups of their own; equal distances fall together, on one side of the grid; repeated rows
@@ -116,18 +116,25 @@ def grouped(rows: DataFrame, stat: Column) -> DataFrame:
 
 
 def _pooled(rows: DataFrame, min_group: int) -> tuple[DataFrame, DataFrame]:
-    """rows with `g`, the group that each belongs to; and the table (g_lang, g_source, g)."""
+    """rows, each once for every group `g` that it is fitted in; and the table (g_lang, g_source, g)
+    of the groups that rows are judged by. Groups that judge no row are left out."""
     sizes = table(rows.groupBy("g_lang", "g_source").agg(F.count("*").alias("n")), "groups")
-    langs = sizes.groupBy("g_lang").agg(F.sum("n").alias("lang_n"))
+    langs = table(sizes.groupBy("g_lang").agg(F.sum("n").alias("lang_n"), F.min("n").alias("least")), "groups")
+    every = not langs.where(F.col("lang_n") < min_group).isEmpty()
+    large, common = F.col("n") >= min_group, F.col("lang_n") >= min_group
+    own = F.concat_ws("\x01", "g_lang", "g_source")
+    fits = F.array(F.when(large, own), F.when(common & (F.col("least") < min_group), F.col("g_lang")), F.lit("") if every else F.lit(None).cast("string"))
     of = table(
         sizes.join(langs, "g_lang").select(
             "g_lang",
             "g_source",
-            F.when(F.col("n") >= min_group, F.concat_ws("\x01", "g_lang", "g_source")).when(F.col("lang_n") >= min_group, F.col("g_lang")).otherwise(F.lit("")).alias("g"),
+            F.when(large, own).when(common, F.col("g_lang")).otherwise(F.lit("")).alias("g"),
+            F.array_compact(fits).alias("fits"),
         ),
         "groups",
     )
-    return rows.join(small_or_not(of), ["g_lang", "g_source"]), of
+    fitted = rows.join(small_or_not(of.drop("g")), ["g_lang", "g_source"]).withColumn("g", F.explode("fits")).drop("fits")
+    return fitted, of.drop("fits")
 
 
 def _squared(center: list[Column], whitening: list[Column]) -> Column:

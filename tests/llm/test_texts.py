@@ -116,6 +116,19 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert kept == set(range(600))
 
 
+def test_small_sources_are_judged_by_their_whole_language(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    clean = lambda: " ".join(word() for _ in range(rng.randint(20, 300)))
+    junk = lambda: " ".join(word() + "###" for _ in range(80))
+    groups = [("en", "large", clean, 400), ("en", "few", junk, 2), ("en", "spam", junk, 60), ("en", "spam", clean, 20), ("de", "s", junk, 3), ("de", "t", clean, 5)]
+    rows = [(i, make(), lang, source, make is clean) for i, (lang, source, make) in enumerate((x, y, m) for x, y, m, n in groups for _ in range(n))]
+    docs = spark.createDataFrame([(*r[:4], None) for r in rows], DOCS)
+    want = {r[0] for r in rows if r[4]}
+    assert {r.doc_id for r in quality.assess(docs).where("kept").collect()} == want
+    assert {r.doc_id for r in quality.keep(docs).collect()} == want
+
+
 def test_quality_edges(spark):
     assert quality.assess(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, None, None, None, "x"), (1, "a b c d e f g h i j k", None, "s", "y"), (1, "a b c d e f g h i j k", None, "s", "y")]
