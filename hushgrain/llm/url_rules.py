@@ -6,9 +6,10 @@ support and confidence, and of which no part does as well, become rules. A URL i
 holds all tokens of some rule: an inverted index from each rule's rarest token finds the rules that
 can apply. A stated rule that fits a URL comes before the mined ones.
 
-Only labelled URLs are mined; a transaction has at most `max_items` tokens, its most frequent ones
-(a documented bound of the fit: frequent copies of a URL of n tokens have 2^n combinations). All
-URLs are judged by all their tokens. Rules are matched in blocks of RULES_PER_BLOCK, so what is
+Only labelled URLs are mined, by all tokens that enough bad URLs hold: others can't be in a rule.
+FP-growth lists combinations of every size, 2^n of frequent copies of a URL of n such tokens; where
+some URL has more than `max_items`, the combinations of up to `max_tokens` are counted level by
+level instead, which gives the same rules. All URLs are judged by all their tokens. Rules are matched in blocks of RULES_PER_BLOCK, so what is
 broadcast is bounded however many there are.
 
 Nulls and ties: a URL that is null or lacks `://` has an empty host and path, no tokens and no
@@ -85,20 +86,69 @@ def mine(examples: DataFrame, min_support: float = 0.002, min_count: int = 20, m
     if n < min_count:
         return spark.createDataFrame([], schema)
     count = max(min_count, math.ceil(min_support * n - 1e-9))
-    seen = table(examples.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= count), "tokens")
-    frequent = {r.token: r.n for r in seen.collect()}  # at most mean tokens / min_support of them
+    seen = table(examples.where("bad = 1").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= count), "tokens")
+    useful = {r.token for r in seen.collect()}  # at most mean tokens / min_support of them
 
     @arrow_udf("array<string>")
     def items(lists: pa.Array) -> pa.Array:
-        kept = ([t for t in x or [] if t in frequent] for x in lists.to_pylist())
-        return pa.array([sorted(x, key=lambda t: (-frequent[t], t))[:max_items] for x in kept], pa.list_(pa.string()))
+        return pa.array([[t for t in x or [] if t in useful] for x in lists.to_pylist()], pa.list_(pa.string()))
 
-    baskets = examples.select(F.concat(items("tokens"), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    examples = table(examples.select(items("tokens").alias("tokens"), "bad"), "examples")
+    if (examples.agg(F.max(F.size("tokens"))).first()[0] or 0) > max_items:
+        return _counted(examples, useful, count, min_confidence, max_tokens)
+    baskets = examples.select(F.concat("tokens", F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / n, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens))
     return table(rules.select(F.array_sort("antecedent").alias("antecedent"), F.round(F.col("support") * n).cast("long").alias("support_count"), "confidence"), "rules")
 
 
+def _counted(examples: DataFrame, useful: set[str], count: int, min_confidence: float, max_tokens: int) -> DataFrame:
+    """The rules of mine(), by exact counts of all combinations up to max_tokens whose parts are held
+    by enough bad URLs. Each level's are collected: at most mean combinations / min_support."""
+    from itertools import combinations
+
+    context, found, level = examples.sparkSession.sparkContext, None, {(t,) for t in useful}
+    for size in range(1, max_tokens + 1):
+        if not level:
+            break
+        known, of = context.broadcast(level), size
+
+        def run(batches, known=known, of=of):
+            sums: dict[tuple, list[int]] = {}
+
+            def out():
+                n, bad = zip(*sums.values()) if sums else ((), ())
+                return pa.record_batch({"antecedent": pa.array([list(x) for x in sums], pa.list_(pa.string())), "n": pa.array(n, pa.int64()), "n_bad": pa.array(bad, pa.int64())})
+
+            def grown(own: list[str]):
+                if of == 1:
+                    yield from ((t,) for t in own)
+                elif of == 2:
+                    yield from combinations(own, 2)
+                else:  # from parts that are known, one token longer
+                    for part in (x for x in combinations(own, of - 1) if x in known.value):
+                        yield from ((*part, t) for t in own if t > part[-1] and all(x in known.value for x in combinations((*part, t), of - 1)))
+
+            for batch in batches:
+                for x, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for c in grown(sorted(x)):
+                        of_c = sums.setdefault(c, [0, 0])
+                        of_c[0] += 1
+                        of_c[1] += bad == 1
+                        if len(sums) >= 200_000:
+                            yield out()
+                            sums.clear()
+            yield out()
+
+        kept = examples.mapInArrow(run, "antecedent array<string>, n long, n_bad long").groupBy("antecedent").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+        kept = table(kept.where(F.col("n_bad") >= count), "counted")
+        level = {tuple(r.antecedent) for r in kept.select("antecedent").toLocalIterator()} if size < max_tokens else set()
+        found = kept if found is None else found.unionByName(kept)
+    confidence = F.col("n_bad") / F.col("n")
+    rules = found.where(confidence >= min_confidence) if found is not None else examples.sparkSession.createDataFrame([], "antecedent array<string>, n long, n_bad long")
+    return table(rules.select(F.array_sort("antecedent").alias("antecedent"), F.col("n_bad").alias("support_count"), (F.col("n_bad") / F.col("n")).alias("confidence")), "rules")
+
+
 def without_redundant(rules: list) -> list:
     """Rules of which no proper part is a rule of at least the same confidence. The verdict is the
     same with and without them; the index is smaller."""

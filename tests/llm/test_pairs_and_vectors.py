@@ -163,3 +163,27 @@ def test_url_rules_are_mined(spark):
     got = {r.page_id: r.mined_bad for r in url_rules.judge(p, mined, {}).collect()}
     assert got == {i: i % 6 == 0 for i, _ in pages}
     assert url_rules.mine(labelled.limit(0)).count() == 0
+
+
+def test_rules_on_rare_tokens_of_long_urls(spark):
+    from itertools import combinations
+
+    rng = random.Random(5)
+    common = "/".join("abcdefghijklmn")  # 14 tokens more frequent than those that tell
+    rows = []
+    for i in range(400):
+        rare = [t for t in ("x", "y", "z", "u") if rng.random() < 0.4]
+        bad = int({"x", "y", "z"} <= set(rare) or (rng.random() < 0.9 and "u" in rare and "x" in rare))
+        rows.append((f"http://h.com/{common}/{'/'.join(rare)}" if i % 4 else f"http://h.com/{'/'.join(rare)}", bad))
+    frame = spark.createDataFrame(rows, "url string, bad int").select(url_rules.tokens(F.col("url")).alias("tokens"), "bad")
+    n, bad = {}, {}
+    for r in frame.collect():
+        for c in (c for k in (1, 2, 3) for c in combinations(sorted(r.tokens), k)):
+            n[c], bad[c] = n.get(c, 0) + 1, bad.get(c, 0) + r.bad
+    want = {c: (bad[c], bad[c] / n[c]) for c in n if bad[c] >= 20 and bad[c] >= 0.8 * n[c]}
+    assert ("p:u", "p:x") in want
+    for most in (12, 30):  # level by level, and by FP-growth
+        rows_ = frame if most == 12 else frame.select(F.filter("tokens", lambda t: ~t.isin(*[f"p:{c}" for c in "abcdefghijk"])).alias("tokens"), "bad")
+        own = {c: x for c, x in want.items() if most == 12 or not set(c) & {f"p:{x}" for x in "abcdefghijk"}}
+        got = {tuple(r.antecedent): (r.support_count, r.confidence) for r in url_rules.mine(rows_, max_items=most).collect()}
+        assert got == own
