@@ -132,6 +132,44 @@ def test_knn_of_ids_repeated_more_than_k_times(spark):
     assert {tuple(r) for r in got.collect()} == brute_knn(rows, lambda i: i % 10 == 0, 10)
 
 
+@pytest.mark.parametrize("times", [2, 11, 15])
+@pytest.mark.parametrize("n", [20, 30, 500])
+def test_knn_of_queries_repeated(spark, times, n):
+    rng = np.random.default_rng(n * times)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.float32(rng.normal(size=(n, 5))))]
+    rows[3] = (3, [40.0] * 5)  # one vector of greatest norm
+    rows += [r for r in rows if r[0] % 10 == 0] * (times - 1)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = knn.search(frame, F.col("vec_id") % 10 == 0, 10, n_pivots=16, query_block=4, shard_rows=40)
+    assert {tuple(r) for r in got.collect()} == brute_knn(rows, lambda i: i % 10 == 0, 10)
+
+
+def test_knn_scores_beyond_doubles_and_longs(spark):
+    for big, clipped in ((2.0**18, False), (2.0**40, True)):
+        rows = [(i, [big + i * 2.0**-8, -big * (i % 3), 1.0 + i]) for i in range(30)]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {tuple(r) for r in knn.search(frame, F.col("vec_id") % 10 == 0, 10, n_pivots=4).collect()}
+        most = (1 << 63) - 1
+        own = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+        want, beyond = set(), False
+        for q, a in own:
+            if q % 10 == 0:
+                exact = [(sum(x * y for x, y in zip(a, b)), i) for i, b in own if i != q]
+                beyond |= any(abs(s) > most for s, _ in exact)
+                best = sorted((-max(-most, min(most, s)), i) for s, i in exact)[:10]
+                want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+        assert got == want and beyond == clipped
+
+
+def test_knn_copies_are_few_where_rows_lie_apart(spark):
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.normal(size=(12, 16)), 40, axis=0) + 0.01 * rng.normal(size=(480, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    n = {r.q: r.n for r in knn.copies(frame, F.col("vec_id") % 20 == 0, query_block=2).collect()}
+    assert n[True] == 24 and n[False] < 480 * 2
+
+
 def test_urls_are_cut_and_ruled(spark):
     rows = [
         ("https://WWW.Example.COM/en/7?x=1#y", "www.example.com", "/en/7", "example.com/en/7", "allow"),
