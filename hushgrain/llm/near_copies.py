@@ -1,19 +1,26 @@
-"""Near copies by shingles: candidates from MinHash bands, every link confirmed exactly.
+"""Near copies by five-word shingles: SimHash links, completed down to a similarity of 0.8.
 
 A document is the set of its five-word shingles (of all its words, if it has fewer). Two documents
 are linked if the Jaccard similarity of their sets is 0.8 or more, counted on the shingles
-themselves. Candidates share one of BANDS buckets, each named by ROWS MinHash values: a pair at
-0.8 shares none with a probability of 4e-7, one at 0.9 with 5e-16; below 0.8 nothing is linked.
-
-In each bucket all members are first compared with one of them, its pivot. Buckets whose members
-are then one component are done; in the others every member outside the pivot's component is
-compared with all that are in other components, so a group of near copies costs a comparison a
-member and no pair of a bucket that could join two components is left out. Many documents of one
-bucket that are not near copies of each other are compared pairwise.
-
-Nulls and ties: texts without words are copies of each other; every row counts by itself, whatever
-its id, and repeated rows are copies. Of a component the row with the least id stays (nulls last;
-equal ids by a hash of the text, equal texts by the row's place). An empty table gives no rows.
+themselves. Exact copies (equal words, by a 128-bit digest) are one class, which its least row stands
+for; only classes are compared.
+
+Candidates come from two sources. First the trie self-join of `simhash` over 64-bit fingerprints of
+the same shingles, at max_bits or fewer differing bits: it joins close copies, the bulk of large
+groups, with fingerprints alone. At a similarity of 0.8 some 10 of 64 bits differ, which no trie or
+block scheme finds without comparing nearly all pairs; so the rest comes from BANDS buckets, each
+named by ROWS MinHash values: a pair at 0.8 shares none with a probability of 4e-7, one at 0.9 with
+5e-16. Buckets whose members the first links have already joined cost nothing more.
+
+In each other bucket the members that are not yet joined with one of them, its pivot, are first
+compared with that one. Where members are then still apart, every member outside the pivot's
+component is compared with all that are in other components, so that a group of near copies costs a
+comparison a member and no pair of a bucket that could join two components is left out.
+
+Only texts of candidates are shuffled. Nulls and ties: texts without words are copies of each other;
+every row counts by itself, whatever its id, and repeated rows are copies. Of a component the row
+with the least id stays (nulls last; equal ids by a hash of the text, equal texts by the row's
+place). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from hushgrain.llm import simhash
 from hushgrain.llm.components import components
 from hushgrain.llm.runtime import small_or_not, table
 from hushgrain.llm.worker import each, release
@@ -44,11 +52,9 @@ def shingles(text: str | None) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
 
 
-def buckets(parts: set[bytes]) -> np.ndarray:
-    """The bucket of each band."""
-    from xxhash import xxh32_intdigest as h
-
-    hashes = np.fromiter(map(h, parts), np.uint32, len(parts))
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each band, of the hashes of a set's shingles."""
+    hashes = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
     for i in range(0, len(hashes), _PORTION):
         np.minimum(least, (hashes[i : i + _PORTION, None] * _TIMES + _PLUS).min(axis=0), out=least)
@@ -59,20 +65,28 @@ def buckets(parts: set[bytes]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(text: str | None) -> tuple[int, int, int, int, np.ndarray]:
+    """Two halves of the words' digest, fingerprint, number of distinct shingles, buckets."""
+    from xxhash import xxh3_128_intdigest
+
+    words = text.encode().lower().split() if text else []
+    hashes = simhash.shingle_hashes(words, SHINGLE)
+    digest = xxh3_128_intdigest(b" ".join(words))
+    own = np.unique(hashes)
+    high, low = (x - (1 << 64) if x >> 63 else x for x in (digest >> 64, digest & ((1 << 64) - 1)))
+    return high, low, simhash.majority(hashes), len(own), buckets(own)
+
+
 def sketches(text: Column) -> Column:
-    """Struct of the number of shingles and the buckets."""
+    """Struct of what sketch returns."""
 
-    @arrow_udf("struct<n:long,buckets:array<long>>")
+    @arrow_udf("struct<high:long,low:long,fp:long,n:long,buckets:array<long>>")
     def run(texts: pa.Array) -> pa.Array:
         release()
-        sizes, found = [], []
-        for x in each(texts):
-            parts = shingles(x)
-            sizes.append(len(parts))
-            found.append(buckets(parts))
+        *numbers, found = zip(*map(sketch, each(texts))) if len(texts) else ([], [], [], [], [])
         flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), flat)
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), lists], names=["n", "buckets"])
+        return pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), lists], names=["high", "low", "fp", "n", "buckets"])
 
     return run(text)
 
@@ -92,43 +106,66 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for a, b in zip(each(left), each(right)):
             if own is None or a != last:
                 last, own = a, shingles(a)
-            out.append(a == b or similar(own, shingles(b)))
+            out.append(similar(own, shingles(b)))
         return pa.array(out, pa.bool_())
 
-    pairs = small_or_not(table(pairs.distinct(), "pairs"))
+    pairs = table(pairs.distinct(), "pairs")
+    named = small_or_not(table(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "named"))
+    texts = table(texts.join(named, "row", "left_semi"), "texts")
     side = lambda name: texts.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     return table(both.where(run("text_u", "text_v")).select("u", "v"), "similar")
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """rows: (row long, unique; text; s from sketches), a written table. Returns links (u, v) whose
-    components are those of all similar pairs that share a bucket."""
-    dealt = rows.select("row", F.col("s.n").alias("n"), F.explode("s.buckets").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("row").alias("pivot")).where("rows > 1").select("bucket", "pivot")
-    members = table(dealt.join(small_or_not(table(shared, "shared")), "bucket"), "members")
-    first = _confirmed(members.where("row <> pivot").select(F.col("pivot").alias("u"), F.col("row").alias("v")), rows)
-    labels = components(first).withColumnRenamed("node", "row")
-    labelled = members.join(small_or_not(table(labels, "labels")), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    labelled = table(labelled, "labelled")
-    own = F.max(F.when(F.col("row") == F.col("pivot"), F.col("label"))).alias("own")
-    mixed = labelled.groupBy("bucket").agg(own, F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket", "own")
-    still = table(labelled.where("row <> pivot").join(small_or_not(table(mixed, "mixed")), "bucket"), "still")
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (row, ...) with the label of their component under links."""
+    labels = table(components(links).withColumnRenamed("node", "row"), "labels")
+    return nodes.join(small_or_not(labels), "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+
+def links(nodes: DataFrame, texts: DataFrame, max_bits: int = 3) -> DataFrame:
+    """nodes: (row, fp, n, buckets), a written table, one row for each class; texts: (row, text). Returns
+    links (u, v) whose components are those of all similar pairs that a fingerprint or bucket joins."""
+    first_of = table(nodes.groupBy("fp").agg(F.min("row").alias("first")), "prints")
+    near = simhash.links(first_of.select("fp"), max_bits)
+    end = lambda x: first_of.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_row"))
+    close = near.join(end("u"), "u").join(end("v"), "v").select(F.col("u_row").alias("u"), F.col("v_row").alias("v"))
+    same = nodes.join(first_of, "fp").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    found = _confirmed(close.unionByName(same), texts)
+
+    dealt = _labelled(nodes.select("row", "n", "buckets"), found).select("row", "n", "label", F.explode("buckets").alias("bucket"))
+    ends = [F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.struct("row", "label")).alias("pivot")]
+    mixed = dealt.groupBy("bucket").agg(*ends).where("a <> b").select("bucket", F.col("pivot.row").alias("pivot"), F.col("pivot.label").alias("own"))
+    members = table(dealt.join(small_or_not(table(mixed, "mixed")), "bucket").drop("own", "label"), "members")
+    members = members.join(small_or_not(table(_labelled(members.select("row").distinct(), found), "labelled")), "row")
+    own = members.where("row = pivot").select("bucket", F.col("label").alias("own"))
+    apart = members.join(small_or_not(table(own, "own")), "bucket").where("label <> own")
+    found = found.unionByName(_confirmed(apart.select(F.col("pivot").alias("u"), F.col("row").alias("v")), texts))
+
+    members = _labelled(members.drop("label"), found)
+    ends = [F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.when(F.col("row") == F.col("pivot"), F.col("label"))).alias("own")]
+    mixed = members.groupBy("bucket").agg(*ends).where("a <> b").select("bucket", "own")
+    still = table(members.where("row <> pivot").join(small_or_not(table(mixed, "mixed")), "bucket"), "still")
     x, y = still.where("label <> own").alias("x"), still.alias("y")
     less, more = SIMILAR
     near = (F.least("x.n", "y.n") * more >= F.greatest("x.n", "y.n") * less) & (F.col("x.label") != F.col("y.label"))
     once = (F.col("y.label") == F.col("y.own")) | (F.col("x.row") < F.col("y.row"))
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & near & once)
-    return first.unionByName(_confirmed(rest.select(F.least("x.row", "y.row").alias("u"), F.greatest("x.row", "y.row").alias("v")), rows))
+    return found.unionByName(_confirmed(rest.select(F.least("x.row", "y.row").alias("u"), F.greatest("x.row", "y.row").alias("v")), texts))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each component of near copies."""
     own = table(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     text, key = F.col("doc").getField(text_col), F.col("doc").getField(id_col)
-    rows = table(own.select("row", key.alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"), sketches(text).alias("s")), "sketches")
-    labels = table(components(links(rows)).withColumnRenamed("node", "row"), "labels")
-    of = table(rows.select("row", "id", "hash").join(small_or_not(labels), "row"), "copies")
+    rows = table(own.select("row", key.alias("id"), F.xxhash64(text).alias("hash"), sketches(text).alias("s")).select("row", "id", "hash", "s.*"), "sketches")
+    same = [F.first(c).alias(c) for c in ("fp", "n", "buckets")]  # equal in a class
+    classes = rows.groupBy("high", "low").agg(F.min("row").alias("row"), *same)
+    nodes = table(classes, "classes")
+    joined = links(nodes.select("row", "fp", "n", "buckets"), own.select("row", text.alias("text")), max_bits)
+    label_of = table(_labelled(nodes.select("high", "low", "row"), joined).select("high", "low", "label"), "labels")
+    of = rows.select("row", "id", "hash", "high", "low").join(label_of, ["high", "low"])
+    of = table(of.select("row", "id", "hash", "label"), "copies")
     keep = of.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", "row")).getField("row").alias("kept"))
     dropped = table(of.join(keep, "label").where("row <> kept").select("row"), "dropped")
     return own.join(small_or_not(dropped), "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

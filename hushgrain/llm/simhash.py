@@ -29,25 +29,34 @@ from hushgrain.llm.worker import each, release
 _PORTION = 1 << 18
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the shingles of lower-cased (A-Z) words, as a signed integer."""
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included; of all words, if there are fewer."""
     from xxhash import xxh64_intdigest as h
 
-    words = text.encode().lower().split() if text else []  # of bytes: only ASCII case and space
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts, ends = np.concatenate(([0], ends[:-1])), ends - 1
     k = min(shingle, n)
     starts, ends = starts[: n - k + 1].tolist(), ends[k - 1 :].tolist()
+    return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed integer; 0 of none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(starts), _PORTION):
-        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts[i : i + _PORTION], ends[i : i + _PORTION])], np.uint64)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    for i in range(0, len(hashes), _PORTION):
+        bits = np.unpackbits(hashes[i : i + _PORTION].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts)).view(">i8")[0])
+    return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the shingles of lower-cased (A-Z) words, as a signed integer."""
+    words = text.encode().lower().split() if text else []  # of bytes: only ASCII case and space
+    return majority(shingle_hashes(words, shingle))
 
 
 def fingerprints(text: Column, shingle: int = 3) -> Column:

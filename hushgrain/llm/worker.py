@@ -6,7 +6,9 @@ itself (a tokenizer, a table of chunks) would add up.
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -14,18 +16,27 @@ from typing import Any
 import pyarrow as pa
 
 _held: dict = {}
+_last = 0.0
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
 
 
 def held(key: tuple, make: Callable[[], Any]) -> Any:
     """The object under key; any other is let go."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
-    _held.clear()
+    """Lets go of what is held, and gives the memory back to the system."""
+    global _last
+    if _held or time.monotonic() > _last + 2:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+        _last = time.monotonic()
 
 
 def each(values: pa.Array, rows: int = 64) -> Iterator:

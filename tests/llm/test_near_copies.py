@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from hushgrain.llm import near_copies
 
@@ -61,6 +63,6 @@ def test_every_row_counts_by_itself(spark):
 def test_buckets_are_shared_at_the_threshold():
     rng = random.Random(9)
     for _ in range(300):
-        common = [rng.randbytes(8) for _ in range(80)]
-        a, b = ({*common, *(rng.randbytes(8) for _ in range(10))} for _ in range(2))
+        common = [rng.getrandbits(64) for _ in range(80)]
+        a, b = (np.array([*common, *(rng.getrandbits(64) for _ in range(10))], np.uint64) for _ in range(2))
         assert (near_copies.buckets(a) == near_copies.buckets(b)).any()
