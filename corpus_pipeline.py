@@ -33,8 +33,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, linked at a Jaccard similarity of 0.8 or more of their
-    five-word shingles: the one with the least doc_id. Rows count by themselves: repeated rows and
-    rows without a doc_id are copies like others, and a doc_id's other texts stay."""
+    five-word shingles: the one with the least doc_id. SimHash's trie self-join links the close ones;
+    what differs in more bits than it reaches is found by near_copies. Rows count by themselves:
+    repeated rows and rows without a doc_id are copies like others, and a doc_id's other texts stay."""
     return near_copies.without_copies(docs).select(*COLUMNS)
 
 
@@ -47,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in token sequences, ids and their checksum."""
     bounded(spark)
-    placed = packing.pack(docs, cached=350_000, portion=2_000_000, **tokenizer(WORD_BPE))
+    placed = packing.pack(docs, cached=150_000, portion=1_000_000, **tokenizer(WORD_BPE))
     return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
