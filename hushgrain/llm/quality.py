@@ -1,13 +1,22 @@
 """Quality rules: fixed limits on repetition and length, and robust multivariate outliers.
 
-For each language and source, a minimum-covariance-determinant estimate of location and scatter
-is fitted to transformed statistics of all its documents; a document is rejected if its
-Mahalanobis distance is beyond a cutoff. The estimate starts from medians and takes concentration
-steps: documents are counted by distance on a fixed grid, and the least distances that hold
-`coverage` of the group give the next mean and covariance. A step is one aggregation with partial
-sums in each task, so a source that holds a third of all rows costs no more than any other.
-Groups with fewer than `min_group` documents are judged by their language's estimate, and languages
-with fewer by one of all documents; those are fitted on all rows of the language or the table.
+For each language and source, whatever its size, a minimum-covariance-determinant estimate of location
+and scatter is fitted to transformed statistics of all its documents; a document is rejected if its
+squared Mahalanobis distance is beyond a quantile of the chi-squared distribution.
+
+The estimate of a group: from three fixed starts about the medians (interquartile ranges alone;
+correlations of hyperbolic tangents; spatial signs) concentration steps are taken. A step keeps the
+share `coverage` of the documents that is nearest to the last estimate and takes its mean and
+covariance; the start that ends with the least determinant wins. Documents are counted by distance on
+a grid of `grid` cells for each doubling, so a step is one aggregation with partial sums in each task,
+and a source that holds a third of all rows costs no more than any other; the cell at the edge counts
+by the share of it that is needed. The covariance is multiplied by its consistency factor at the
+normal distribution and regularised: FLOOR squared is added to each variance, as statistics of short
+texts are coarse (a determinant of 0 would let a single symbol reject a document).
+
+Estimates are shrunk by rows: the language's counts as `prior_rows` documents in that of each of its
+sources, and the whole table's as as many in each language's. All three levels are fitted to all of
+their documents; there is no size at which one replaces another.
 
 Nulls and ties: a null text has no words and fails the base limits; null languages and sources
 are groups of their own; equal distances fall together, on one side of the grid; repeated rows
@@ -34,12 +43,12 @@ _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 FEATURES = ("f0", "f1", "f2", "f3", "f4", "f5")
-#: Least standard deviation of each feature: smaller differences are not held against a document.
+#: Least standard deviation of each feature: a factor of e in length and of 1.2 in word length; of the
+#: roots of rates about what chance makes of a text of MIN_WORDS words (some 50 characters, 3 lines).
 FLOOR = (1.0, 0.2, 0.07, 0.3, 0.3, 0.12)
-#: Cells of the grid of squared distances for each doubling, and the last cell.
-_GRID, _LAST = 12, 400
-#: Median of the chi-squared distribution with as many degrees of freedom as FEATURES.
-_CHI2_MEDIAN = 5.3481
+#: The last cell of the grid of squared distances, in doublings.
+_DOUBLINGS = 40
+_STARTS = 3
 
 
 def _repeated_words(words: list[bytes]) -> int:
@@ -115,26 +124,11 @@ def grouped(rows: DataFrame, stat: Column) -> DataFrame:
     return rows.select("*", *[f.alias(n) for f, n in zip(_features(stat), FEATURES)], name("lang").alias("g_lang"), name("source").alias("g_source"))
 
 
-def _pooled(rows: DataFrame, min_group: int) -> tuple[DataFrame, DataFrame]:
-    """rows, each once for every group `g` that it is fitted in; and the table (g_lang, g_source, g)
-    of the groups that rows are judged by. Groups that judge no row are left out."""
-    sizes = table(rows.groupBy("g_lang", "g_source").agg(F.count("*").alias("n")), "groups")
-    langs = table(sizes.groupBy("g_lang").agg(F.sum("n").alias("lang_n"), F.min("n").alias("least")), "groups")
-    every = not langs.where(F.col("lang_n") < min_group).isEmpty()
-    large, common = F.col("n") >= min_group, F.col("lang_n") >= min_group
-    own = F.concat_ws("\x01", "g_lang", "g_source")
-    fits = F.array(F.when(large, own), F.when(common & (F.col("least") < min_group), F.col("g_lang")), F.lit("") if every else F.lit(None).cast("string"))
-    of = table(
-        sizes.join(langs, "g_lang").select(
-            "g_lang",
-            "g_source",
-            F.when(large, own).when(common, F.col("g_lang")).otherwise(F.lit("")).alias("g"),
-            F.array_compact(fits).alias("fits"),
-        ),
-        "groups",
-    )
-    fitted = rows.join(small_or_not(of.drop("g")), ["g_lang", "g_source"]).withColumn("g", F.explode("fits")).drop("fits")
-    return fitted, of.drop("fits")
+def _levels(rows: DataFrame) -> DataFrame:
+    """rows, once for each group `g` that they are fitted in: their source and language, their language,
+    the table."""
+    names = F.array(F.concat_ws("\x01", "g_lang", "g_source"), F.col("g_lang"), F.lit(""))
+    return rows.select(*FEATURES, F.explode(names).alias("g"))
 
 
 def _squared(center: list[Column], whitening: list[Column]) -> Column:
@@ -149,9 +143,6 @@ def _squared(center: list[Column], whitening: list[Column]) -> Column:
     return total
 
 
-_MODEL = "g string, center array<double>, whitening array<double>"
-
-
 def _distance() -> Column:
     p = len(FEATURES)
     return _squared([F.col("center")[i] for i in range(p)], [F.col("whitening")[i] for i in range(p * (p + 1) // 2)])
@@ -162,73 +153,149 @@ def _whitening(cov: np.ndarray) -> list[float]:
     return [float(low[i, j]) for i in range(len(cov)) for j in range(i + 1)]
 
 
-def fit(rows: DataFrame, coverage: float = 0.75, steps: int = 4, min_group: int = 200) -> tuple[DataFrame, DataFrame]:
-    """rows: FEATURES with g_lang, g_source. Returns the table (g_lang, g_source, g) and the table of
-    models (g, center, whitening); one small row for each group."""
+def chi2_cdf(x: float, k: int) -> float:
+    """Of the chi-squared distribution with k degrees of freedom."""
+    from math import erf, exp, gamma, sqrt
+
+    below, j = (erf(sqrt(x / 2)), 1) if k % 2 else (1 - exp(-x / 2), 2)
+    while j < k:
+        below -= (x / 2) ** (j / 2) * exp(-x / 2) / gamma(j / 2 + 1)
+        j += 2
+    return below
+
+
+def chi2_quantile(q: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_cdf(middle, k) < q else (low, middle)
+    return high
+
+
+def consistency(coverage: float, p: int = len(FEATURES)) -> float:
+    """What the covariance of the nearest share `coverage` of a normal sample must be multiplied by."""
+    return coverage / chi2_cdf(chi2_quantile(coverage, p), p + 2) if coverage < 1 else 1.0
+
+
+def regularised(cov: np.ndarray, coverage: float) -> np.ndarray:
+    return consistency(coverage) * cov + np.diag(np.square(FLOOR))
+
+
+_MODEL = "g string, start int, n double, center array<double>, cov array<double>, whitening array<double>, logdet double"
+
+
+def _model(g: str, start: int, n: float, mean: np.ndarray, cov: np.ndarray, coverage: float) -> pd.DataFrame:
+    full = regularised(cov, coverage)
+    return pd.DataFrame({"g": [g], "start": [start], "n": [float(n)], "center": [mean.tolist()], "cov": [cov.ravel().tolist()], "whitening": [_whitening(full)], "logdet": [float(np.linalg.slogdet(full)[1])]})
+
+
+def _square(upper: list[float]) -> np.ndarray:
+    """A symmetric matrix of its lower triangle, row by row."""
+    p, it = len(FEATURES), iter(upper)
+    out = np.empty((p, p))
+    for i in range(p):
+        for j in range(i + 1):
+            out[i, j] = out[j, i] = next(it)
+    return out
+
+
+def _starts(rows: DataFrame, coverage: float) -> DataFrame:
+    """The estimates that the steps begin with, _STARTS for each group."""
+    p = len(FEATURES)
+    quartiles = table(rows.groupBy("g").agg(*[F.percentile_approx(f, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)]), "quartiles")
+    normal_range = 1.349  # the interquartile range of a standard normal distribution
+    scale = [F.sqrt(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / normal_range) ** 2 + FLOOR[i] ** 2) for i in range(p)]
+    z = [((F.col(FEATURES[i]) - F.col(f"q{i}")[1]) / scale[i]).alias(f"z{i}") for i in range(p)]
+    stretched = rows.join(small_or_not(quartiles), "g").select("g", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)], *[scale[i].alias(f"d{i}") for i in range(p)], *z)
+    length = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)), F.lit(0.0))
+    pair = [(i, j) for i in range(p) for j in range(i + 1)]
+    sums = [F.sum(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in pair]
+    sums += [F.sum(F.when(length > 0, F.col(f"z{i}") * F.col(f"z{j}") / length).otherwise(0.0)).alias(f"s{i}_{j}") for i, j in pair]
+    keys = [F.first(x).alias(x) for i in range(p) for x in (f"m{i}", f"d{i}")]
+    summed = stretched.groupBy("g").agg(F.count("*").alias("n"), *keys, *sums)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                mean, d = np.array([r[f"m{i}"] for i in range(p)]), np.array([r[f"d{i}"] for i in range(p)])
+                tanh, sign = (_square([r[f"{x}{i}_{j}"] / r["n"] for i, j in pair]) for x in "ts")
+                own = np.sqrt(np.maximum(np.diag(tanh), 1e-12))
+                shapes = (np.eye(p), np.where(np.eye(p) > 0, 1.0, tanh / np.outer(own, own)), p * sign)
+                for k, shape in enumerate(shapes):
+                    yield _model(r["g"], k, r["n"], mean, shape * np.outer(d, d), coverage)
+
+    return table(summed.mapInPandas(run, _MODEL), "mcd")
+
+
+def fit(rows: DataFrame, coverage: float = 0.75, steps: int = 4, prior_rows: float = 200, grid: int = 12) -> DataFrame:
+    """rows: FEATURES with g_lang, g_source. Returns the table of models (g_lang, g_source, n, center,
+    whitening), one small row for each language and source; n: documents in the estimate's core."""
     p = len(FEATURES)
-    rows, of = _pooled(rows, min_group)
-    middle = rows.groupBy("g").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    start = [F.lit(0.0) if i != j else F.lit(1.0 / FLOOR[i]) for i in range(p) for j in range(i + 1)]
-    model = table(middle.select("g", F.array(*[F.col(f"m{i}") for i in range(p)]).alias("center"), F.array(*start).alias("whitening")), "mcd")
+    levels = table(_levels(rows), "levels")
+    model = _starts(levels, coverage)
     sums = [F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]]
     sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)]
 
-    def concentrate(last: bool):
-        def run(cells: pd.DataFrame) -> pd.DataFrame:
-            cells = cells.sort_values("cell")
-            upto = cells["n"].cumsum().to_numpy()
-            inner = cells.iloc[: int(np.searchsorted(upto, coverage * upto[-1])) + 1]
-            n = inner["n"].sum()
-            mean = np.array([inner[f"s{i}"].sum() / n for i in range(p)])
-            cov = np.empty((p, p))
-            for i in range(p):
-                for j in range(i + 1):
-                    cov[i, j] = cov[j, i] = inner[f"s{i}_{j}"].sum() / n - mean[i] * mean[j]
-            cov += np.diag(np.square(FLOOR))
-            return pd.DataFrame({"g": [cells["g"].iloc[0]], "center": [mean.tolist()], "whitening": [_whitening(cov)]})
-
-        def scale(cells: pd.DataFrame) -> pd.DataFrame:
-            """The median distance becomes that of a normal sample, unless it is less already."""
-            cells = cells.sort_values("cell")
-            upto = cells["n"].cumsum().to_numpy()
-            cell = cells["cell"].iloc[int(np.searchsorted(upto, 0.5 * upto[-1]))]
-            by = max(1.0, (2 ** ((cell + 1) / _GRID) - 1) / _CHI2_MEDIAN) ** -0.5
-            first = cells.iloc[0]
-            return pd.DataFrame({"g": [first["g"]], "center": [first["center"]], "whitening": [[float(x) * by for x in first["whitening"]]]})
-
-        return scale if last else run
-
-    for step in range(steps + 1):
-        last = step == steps
-        cell = F.least(F.floor(F.log2(1.0 + _distance()) * _GRID), F.lit(_LAST)).cast("int").alias("cell")
-        cells = rows.join(small_or_not(model), "g").groupBy("g", cell).agg(*([sums[0], F.first("center").alias("center"), F.first("whitening").alias("whitening")] if last else sums))
-        model = table(cells.groupBy("g").applyInPandas(concentrate(last), _MODEL), "mcd")
-    return of, model
-
-
-def judged(rows: DataFrame, fitted: tuple[DataFrame, DataFrame], stat: Column, cutoff: float) -> DataFrame:
+    def concentrate(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("cell")
+        n = cells["n"].to_numpy(np.float64)
+        core = np.ceil(coverage * n.sum() - 1e-9)
+        share = np.clip((core - (np.cumsum(n) - n)) / n, 0.0, 1.0)  # of each cell, by distance
+        total = lambda c: float((cells[c].to_numpy() * share).sum())
+        mean = np.array([total(f"s{i}") / core for i in range(p)])
+        second = _square([total(f"s{i}_{j}") / core for i in range(p) for j in range(i + 1)])
+        cov = second - np.outer(mean, mean)
+        values, vectors = np.linalg.eigh(cov)  # rounding may leave it slightly indefinite
+        return _model(cells["g"].iloc[0], int(cells["start"].iloc[0]), core, mean, (vectors * np.maximum(values, 0.0)) @ vectors.T, coverage)
+
+    for _ in range(steps):
+        cell = F.least(F.floor(F.log2(1.0 + _distance()) * grid), F.lit(_DOUBLINGS * grid)).cast("int").alias("cell")
+        cells = levels.join(small_or_not(model.select("g", "start", "center", "whitening")), "g").groupBy("g", "start", cell).agg(*sums)
+        model = table(cells.groupBy("g", "start").applyInPandas(concentrate, _MODEL), "mcd")
+    best = model.groupBy("g").agg(F.min_by(F.struct("n", "center", "cov"), F.struct("logdet", "start")).alias("m"))
+    best = table(best, "mcd")
+    of = rows.select("g_lang", "g_source").distinct()
+    named = lambda x, g: small_or_not(best.select(F.col("g").alias(g), F.col("m").alias(x)))
+    three = of.withColumn("g_own", F.concat_ws("\x01", "g_lang", "g_source")).withColumn("g_all", F.lit(""))
+    three = three.join(named("own", "g_own"), "g_own").join(named("lang", "g_lang"), "g_lang").join(named("every", "g_all"), "g_all")
+
+    def shrunk(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                every, lang, own = ((x["n"], np.array(x["center"]), np.array(x["cov"]).reshape(p, p)) for x in (r["every"], r["lang"], r["own"]))
+                _, center, cov = every
+                for n, c, s in (lang, own):
+                    w = n / (n + prior_rows)
+                    center, cov = w * c + (1 - w) * center, w * s + (1 - w) * cov
+                out.append((r["g_lang"], r["g_source"], own[0], center.tolist(), _whitening(regularised(cov, coverage))))
+            yield pd.DataFrame(out, columns=["g_lang", "g_source", "n", "center", "whitening"])
+
+    return table(three.select("g_lang", "g_source", "own", "lang", "every").mapInPandas(shrunk, "g_lang string, g_source string, n double, center array<double>, whitening array<double>"), "mcd")
+
+
+def judged(rows: DataFrame, model: DataFrame, stat: Column, tail: float) -> DataFrame:
     """rows (as from grouped) with base_failed, distance (squared) and kept."""
-    of, model = fitted
-    joined = rows.join(small_or_not(of), ["g_lang", "g_source"]).join(small_or_not(model), "g")
-    failed = base_failed(stat)
-    return joined.select("*", failed.alias("base_failed"), _distance().alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
+    joined = rows.join(small_or_not(model), ["g_lang", "g_source"])
+    far = chi2_quantile(1 - tail, len(FEATURES))
+    return joined.select("*", base_failed(stat).alias("base_failed"), _distance().alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= far))
 
 
-#: Squared distance beyond which a document is an outlier.
-CUTOFF = 20.0
+#: Share of a normal sample that would lie beyond the cutoff.
+TAIL = 0.001
 
 
-def assess(docs: DataFrame, coverage: float = 0.75, cutoff: float = CUTOFF, min_group: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assess(docs: DataFrame, coverage: float = 0.75, tail: float = TAIL, prior_rows: float = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, STATS, base_failed, distance, kept: one row for each row of docs."""
     counted = table(docs.select(F.col(id_col).alias("doc_id"), "lang", "source", stats(F.col(text_col)).alias("s")), "stats")
     rows = grouped(counted, F.col("s"))
-    return judged(rows, fit(rows, coverage, min_group=min_group), F.col("s"), cutoff).select("doc_id", "s.*", "base_failed", "distance", "kept")
+    return judged(rows, fit(rows, coverage, prior_rows=prior_rows), F.col("s"), tail).select("doc_id", "s.*", "base_failed", "distance", "kept")
 
 
-def keep(docs: DataFrame, coverage: float = 0.75, cutoff: float = CUTOFF, min_group: int = 200, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their columns. Statistics are counted twice, once to fit
-    and once to judge, so that no text is shuffled or stored."""
+def keep(docs: DataFrame, coverage: float = 0.75, tail: float = TAIL, prior_rows: float = 200, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with their columns. Statistics are counted once and written
+    beside the rows; texts are not shuffled."""
     own = [F.col("doc").getField(c).alias(c) for c in docs.columns]
-    counted = lambda d: grouped(d.select(F.struct("*").alias("doc"), "lang", "source", stats(F.col(text_col)).alias("s")), F.col("s"))
-    slim = table(docs.select("lang", "source", stats(F.col(text_col)).alias("s")), "stats")
-    return judged(counted(docs), fit(grouped(slim, F.col("s")), coverage, min_group=min_group), F.col("s"), cutoff).where("kept").select(*own)
+    counted = table(docs.select(F.struct("*").alias("doc"), "lang", "source", stats(F.col(text_col)).alias("s")), "stats")
+    model = fit(grouped(counted.select("lang", "source", "s"), F.col("s")), coverage, prior_rows=prior_rows)
+    return judged(grouped(counted, F.col("s")), model, F.col("s"), tail).where("kept").select(*own)

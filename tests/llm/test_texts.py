@@ -1,6 +1,7 @@
 """Personal data, quality, language, counts, pieces, packing and the Arrow store against plain code."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -129,6 +130,79 @@ def test_small_sources_are_judged_by_their_whole_language(spark):
     assert {r.doc_id for r in quality.keep(docs).collect()} == want
 
 
+def plain_mcd(x, coverage):
+    """The subset of least determinant, of all of its size: its mean and covariance."""
+    h = math.ceil(coverage * len(x) - 1e-9)
+    best = None
+    for rows in combinations(range(len(x)), h):
+        part = x[list(rows)]
+        cov = np.cov(part.T, bias=True)
+        det = np.linalg.slogdet(quality.regularised(cov, coverage))[1]
+        if best is None or det < best[0]:
+            best = det, h, part.mean(axis=0), cov
+    return best[1:]
+
+
+def test_estimates_are_those_of_all_subsets(spark):
+    rng = np.random.default_rng(12)
+    groups = {("=en", "=a"): (13, 3), ("=en", "=b"): (12, 3), ("=de", "=a"): (11, 2)}
+    rows, values = [], {}
+    for (lang, source), (n, bad) in groups.items():
+        x = rng.normal(size=(n, 6)) * [2.0, 0.8, 0.3, 1.5, 1.2, 0.5] + rng.normal(size=6)
+        x[:bad] += 12.0 * np.array([2.0, 0.8, 0.3, 1.5, 1.2, 0.5])
+        values[lang, source] = x
+        rows += [(*map(float, r), lang, source) for r in x]
+    frame = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in quality.FEATURES) + ", g_lang string, g_source string")
+    alone = {(r.g_lang, r.g_source): r for r in quality.fit(frame, 0.75, steps=8, prior_rows=0.0, grid=20_000).collect()}
+    assert set(alone) == set(groups)
+    for key, x in values.items():
+        h, mean, cov = plain_mcd(x, 0.75)
+        want = quality._whitening(quality.regularised(cov, 0.75))
+        assert alone[key].n == h and alone[key].center == pytest.approx(mean.tolist(), abs=1e-6)
+        assert alone[key].whitening == pytest.approx(want, rel=1e-5, abs=1e-6)
+    # Shrunk: the language's and the table's core count as prior_rows documents each. The table's is too
+    # large for all subsets; it is taken from a fit of one group that holds all rows.
+    shrunk = {(r.g_lang, r.g_source): r for r in quality.fit(frame, 0.75, steps=8, prior_rows=5.0, grid=20_000).collect()}
+    one = quality.fit(frame.withColumn("g_lang", F.lit("=x")).withColumn("g_source", F.lit("=y")), 0.75, steps=8, prior_rows=0.0, grid=20_000).first()
+    x = values["=de", "=a"]
+    h, mean, _ = plain_mcd(x, 0.75)
+    w = h / (h + 5.0)
+    center = np.array(one.center)
+    for _ in range(2):  # German has one source, so its language's estimate is its own
+        center = w * mean + (1 - w) * center
+    assert shrunk["=de", "=a"].center == pytest.approx(center.tolist(), abs=1e-6)
+
+
+def test_distances_are_those_of_the_estimates(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    counted = quality.grouped(docs.select("doc_id", "lang", "source", quality.stats(F.col("text")).alias("s")), F.col("s"))
+    model = {(r.g_lang, r.g_source): r for r in quality.fit(counted).collect()}
+    got = {r.doc_id: r for r in quality.assess(docs).collect()}
+    for r in counted.collect():
+        m = model[r.g_lang, r.g_source]
+        low = np.zeros((6, 6))
+        low[np.tril_indices(6)] = m.whitening
+        d = float(((low @ (np.array([r[f] for f in quality.FEATURES]) - m.center)) ** 2).sum())
+        assert got[r.doc_id].distance == pytest.approx(d, rel=1e-6, abs=1e-9)
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and d <= 22.457744484825323)
+
+
+def test_chi_squared():
+    assert [quality.chi2_quantile(q, 6) for q in (0.5, 0.975, 0.999)] == pytest.approx([5.348120627447, 14.449375335448, 22.457744484825])
+    assert [quality.chi2_quantile(q, 5) for q in (0.5, 0.95)] == pytest.approx([4.351460191095, 11.070497693516])
+    x = np.random.default_rng(1).normal(size=(200_000, 6))
+    d = (x * x).sum(axis=1)
+    core = x[d <= np.quantile(d, 0.75)]
+    assert quality.consistency(0.75) * core.var() == pytest.approx(1.0, rel=0.02)
+
+
+def test_every_language_and_source_has_an_estimate(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counted = quality.grouped(docs.select("lang", "source", quality.stats(F.col("text")).alias("s")), F.col("s"))
+    n = docs.select("lang", "source").distinct().count()
+    assert quality.fit(counted).count() == n == 80
+
+
 def test_quality_edges(spark):
     assert quality.assess(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, None, None, None, "x"), (1, "a b c d e f g h i j k", None, "s", "y"), (1, "a b c d e f g h i j k", None, "s", "y")]
