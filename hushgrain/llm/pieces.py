@@ -1,7 +1,13 @@
 """SentencePiece encoding and decoding, with the n best segmentations.
 
-A segmentation's score is the sum of its pieces' scores in the model. No piece reaches over the
-start of a word (a run of spaces) or over a line feed, so the lattice of a text falls into chunks.
+A segmentation's score is the sum of its pieces' log-probabilities. A unigram model holds them. The
+scores of a BPE model are the ranks of its merges, whose sums mean nothing; a piece's probability is then
+taken from its rank r by Zipf's law, 1 / (r + 2) over the sum of all (log2, in 1/1024). The best
+segmentation by probability isn't always the one that merges lead to; `merged` gives that one, the
+library's own ids.
+
+No piece reaches over the start of a word (a run of spaces) or over a line feed, so the lattice of a
+text falls into chunks.
 In each, forward Viterbi scores are the exact heuristic of a backward A-star search, which returns
 its segmentations best first. The n best of a text differ from its best in at most n - 1 chunks;
 those chunks are found from the difference of each chunk's two best scores, and combined.
@@ -17,6 +23,7 @@ are left as they are; repeated rows are encoded one by one. An empty table gives
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from operator import itemgetter
@@ -48,20 +55,30 @@ _LONGEST = 64
 _IDS = itemgetter(0)
 
 
+def zipf(ranks: list[float], of: set[int]) -> list[float]:
+    """Costs, in bits, of pieces of merge ranks from 0 (of BPE models, whose scores are 0, -1, -2 ...).
+    Pieces that no merge makes (single characters come after all merges; runs of spaces have no rank)
+    keep their order; what isn't in `of` costs nothing."""
+    total = math.log2(sum(1.0 / (min(ranks[i], 1e5) + 2.0) for i in of))
+    return [math.log2(min(x, 1e5) + 2.0) + total if i in of else 0.0 for i, x in enumerate(ranks)]
+
+
 class Pieces:
     """A SentencePiece model's vocabulary. known: most chunks kept (about 400 bytes each)."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 200_000):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         cost: list[float] = []
+        merges = True
         self.bytes_of: list[bytes] = []
         self.byte_id: dict[int, int] = {}
         for i in range(model.get_piece_size()):
             piece, special = model.id_to_piece(i), model.is_control(i) or model.is_unknown(i)
             cost.append(-model.get_score(i))
+            merges = merges and (special or model.is_byte(i) or cost[i] >= 1e8 or cost[i] == int(cost[i]))
             if model.is_byte(i):
                 value = int(piece[3:5], 16)
                 self.byte_id[value] = i
@@ -71,9 +88,11 @@ class Pieces:
                 if not special:
                     self.ids[piece] = i
         self.longest = max(map(len, self.ids))
+        if merges:
+            cost = zipf(cost, set(self.ids.values()))
         normal = [cost[i] for i in self.ids.values() if cost[i] < 1e8]
         # A weight is a cost in whole units, then the number of pieces in the low bits.
-        self.unit = 1 if all(x == int(x) for x in cost) else 1 << 20
+        self.unit = 1 << 10 if merges else 1 << 20
         self.weight = [(round(x * self.unit) << _BITS) + 1 for x in cost]
         self.unknown = round((max(normal) + _UNKNOWN_PENALTY) * self.unit) << _BITS
         self.prefixes = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
@@ -133,70 +152,96 @@ class Pieces:
     def spelt(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_id[x] for x in char.encode())
 
-    def lattice(self, chunk: str) -> tuple[list[tuple[int, int, int, int]], list[int], list[tuple[int, int]]]:
-        """Edges (start, end, weight, id; -1: spelt in bytes) by start; the least weight from the
-        start to each place; and the last edge on the way there (start, id)."""
-        n, get, weight = len(chunk), self.prefixes.get, self.weight
-        best, last, edges = [_INF] * (n + 1), [(0, 0)] * (n + 1), []
+    def edges(self, chunk: str, a: int):
+        """(end, weight, id; -1: spelt in bytes) of the edges that start at a place, by end."""
+        get, weight, single = self.prefixes.get, self.weight, False
+        for b in range(a + 1, min(len(chunk), a + self.longest) + 1):
+            i = get(chunk[a:b])
+            if i is None:
+                break
+            if i >= 0:
+                yield b, weight[i], i
+                single = single or b == a + 1
+        if not single:
+            yield a + 1, self.unknown + len(chunk[a].encode()), -1
+
+    def edges_into(self, chunk: str, b: int) -> list[tuple[tuple[int, ...], int, int]]:
+        """(ids from the end, weight, start) of the edges that end at a place, by ids."""
+        get, out, single = self.ids.get, [], False
+        for a in range(max(0, b - self.longest), b):
+            i = get(chunk[a:b])
+            if i is not None:
+                out.append(((i,), self.weight[i], a))
+                single = single or a == b - 1
+        if not single:
+            char = chunk[b - 1]
+            out.append((self.spelt(char)[::-1], self.unknown + len(char.encode()), b - 1))
+        return sorted(out)
+
+    def forward(self, chunk: str) -> tuple[list[int], array, array]:
+        """Viterbi: the least weight from the start to each place, and the last edge on the way there
+        (start, id). Edges aren't kept: a character takes some 60 bytes."""
+        n = len(chunk)
+        best, start, ids = [_INF] * (n + 1), array("q", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1)))
         best[0] = 0
         for a in range(n):
-            base, single = best[a], False
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                i = get(chunk[a:b])
-                if i is None:
-                    break
-                if i >= 0:
-                    x = weight[i]
-                    edges.append((a, b, x, i))
-                    single = single or b == a + 1
-                    if base + x < best[b] or base + x == best[b] and i < last[b][1]:
-                        best[b], last[b] = base + x, (a, i)
-            if not single:
-                x = self.unknown + len(chunk[a].encode())
-                edges.append((a, a + 1, x, -1))
-                if base + x < best[a + 1]:
-                    best[a + 1], last[a + 1] = base + x, (a, -1)
-        return edges, best, last
+            base = best[a]
+            for b, x, i in self.edges(chunk, a):
+                x += base
+                if x < best[b] or x == best[b] and i < ids[b]:
+                    best[b], start[b], ids[b] = x, a, i
+        return best, start, ids
 
     def search(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best segmentations of a chunk: (weight, ids). A-star from the end: what is done, plus
-        the forward score of what is left, is the exact weight of the best completion."""
-        edges, best, _ = self.lattice(chunk)
-        into: list[list] = [[] for _ in best]
-        for a, b, x, i in edges:
-            into[b].append((a, x, (i,) if i >= 0 else self.spelt(chunk[a])[::-1]))
-        heap, out = [(best[-1], (), len(chunk), 0)], []
-        while heap and len(out) < n:
-            total, back, at, done = heapq.heappop(heap)
-            if not at:
-                out.append((total, back[::-1]))
-                continue
-            for a, x, ids in into[at]:
-                heapq.heappush(heap, (done + x + best[a], back + ids, a, done + x))
+        the forward score of what is left, is the exact weight of a node's best completion. Nodes that
+        wait never lead to the same segmentation, so no more of them than segmentations are still
+        wanted can matter: the others are dropped. They are kept in the order of their ids from the
+        end, which breaks ties. A node links to the one it came from, so it takes little memory in a
+        chunk of any length."""
+        best, _, _ = self.forward(chunk)
+        waiting: list[tuple] = [(best[-1], len(chunk), 0, None)]  # (total, place, done, (ids from the end, link))
+        out: list = []
+        while waiting and len(out) < n:
+            k = min(range(len(waiting)), key=[x[0] for x in waiting].__getitem__)
+            total, at, done, link = waiting[k]
+            if at:
+                waiting[k : k + 1] = [(done + x + best[a], a, done + x, (ids, link)) for ids, x, a in self.edges_into(chunk, at)]
+            else:
+                del waiting[k]
+                ids = array("I")
+                while link:
+                    back, link = link
+                    ids.extend(back[::-1])
+                out.append((total, tuple(ids)))
+            if len(waiting) > n - len(out):
+                kept = heapq.nsmallest(n - len(out), range(len(waiting)), key=lambda i: (waiting[i][0], i))
+                waiting = [waiting[i] for i in sorted(kept)]
         return out
 
     def best(self, key: str) -> tuple[bytes, int, int]:
         """(ids as bytes, weight, what the second best adds) of a chunk. The second best takes some
         edge off the best path, so it is the least sum of forward score, edge and backward score."""
         chunk = self.chunk(key)
-        edges, best, last = self.lattice(chunk)
+        best, start, last = self.forward(chunk)
         n, total = len(chunk), best[-1]
-        ids, path, at = [], set(), n
+        ids, path, at = array("I"), bytearray(n + 1), n
         while at:
-            a, i = last[at]
-            ids += (i,) if i >= 0 else self.spelt(chunk[a])[::-1]
-            path.add((a, at))
-            at = a
+            ids.extend((last[at],) if last[at] >= 0 else self.spelt(chunk[at - 1])[::-1])
+            path[at] = 1
+            at = start[at]
+        ids.reverse()
         rest, second = [_INF] * (n + 1), _INF
         rest[n] = 0
-        for a, b, x, i in reversed(edges):
-            through = x + rest[b]
-            if through < rest[a]:
-                rest[a] = through
-            through += best[a]
-            if through < second and (through > total or (a, b) not in path):
-                second = through
-        return array("I", ids[::-1]).tobytes(), total, second - total if second < _INF else _INF
+        for a in range(n - 1, -1, -1):
+            for b, x, i in self.edges(chunk, a):
+                x += rest[b]
+                if x < rest[a]:
+                    rest[a] = x
+                x += best[a]
+                if x < second and not (path[b] and start[b] == a and last[b] == i):
+                    second = x
+        return ids.tobytes(), total, second - total if second < _INF else _INF
 
     def best_many(self, keys: list[str]) -> dict[str, tuple[bytes, int, int]]:
         """best() of many chunks. Short ones of Latin-1 are solved side by side, those of one length
@@ -278,26 +323,28 @@ class Pieces:
             out.append((array("I", back[::-1]).tobytes(), total, more[k] if more[k] >= 0 else _INF))
         return out
 
-    def lookup(self, key: str) -> tuple[bytes, int, int]:
-        if (found := self.known.get(key)) is None:
-            found = self.best(key)
-            if len(self.known) < self.cached and len(key) <= _LONGEST:
-                self.known[key] = found
-        return found
+    def merged(self, keys: list[str]) -> list[bytes]:
+        """The library's own ids of chunks. It puts a space mark before what it is given, if that isn't
+        empty."""
+        chunks = [self.chunk(k) for k in keys]
+        found = self.model.encode([c[1:].replace(SPACE, " ") if c[0] == SPACE else c for c in chunks], num_threads=1)
+        own = lambda c, x: [self.model.piece_to_id(SPACE)] if c == SPACE else x if c[0] == SPACE else x[1:]
+        return [array("I", own(c, x)).tobytes() for c, x in zip(chunks, found)]
+
+    def solved(self, keys: list[str]) -> dict[str, tuple[bytes, int, int, bytes]]:
+        """best() and merged() of many chunks."""
+        best = self.best_many(keys)
+        return {k: (*best[k], best[k][0] if m == best[k][0] else m) for k, m in zip(keys, self.merged(keys))}
 
     # Texts
 
-    def nbest(self, text: str, n: int) -> tuple[bytes, list[tuple[float, int, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """The best segmentation's ids (little-endian, 32 bits); and for each of the n best: cost,
-        number of pieces, and what it changes: (first piece, pieces replaced, new ids)."""
-        keys = self.keys(text)
-        found = list(map(self.known.get, keys))
-        if None in found:
-            found = [self.lookup(k) if x is None else x for k, x in zip(keys, found)]
-        return self.combined(keys, found, n)
+    def nbest(self, text: str, n: int) -> tuple:
+        return self.nbest_many([text], n)[0]
 
     def nbest_many(self, texts: list[str], n: int) -> list:
-        """nbest of many texts; the chunks that are new to all of them are solved together."""
+        """For each text: the best segmentation's ids (little-endian, 32 bits), the merged ones; and for
+        each of the n best: cost, number of pieces, and what it changes: (first piece, pieces replaced,
+        new ids). The chunks that are new to all of them are solved together."""
         keys = [self.keys(x) for x in texts]
         found = [list(map(self.known.get, ks)) for ks in keys]
         holes = []
@@ -307,7 +354,7 @@ class Pieces:
                 at = xs.index(None, at + 1)
                 holes.append((xs, at, ks[at]))
         if holes:
-            new = self.best_many(list({k for _, _, k in holes}))
+            new = self.solved(list({k for _, _, k in holes}))
             for xs, at, k in holes:
                 xs[at] = new[k]
             room = self.cached - len(self.known)
@@ -315,7 +362,7 @@ class Pieces:
                 self.known.update([x for x in new.items() if len(x[0]) <= _LONGEST][:room])
         return [self.combined(ks, xs, n) for ks, xs in zip(keys, found)]
 
-    def combined(self, keys: list[str], found: list[tuple[bytes, int, int]], n: int) -> tuple:
+    def combined(self, keys: list[str], found: list[tuple[bytes, int, int, bytes]], n: int) -> tuple:
         """The n best of a text, of its chunks' best."""
         ids = b"".join([x[0] for x in found])
         pieces = len(ids) // 4
@@ -340,7 +387,7 @@ class Pieces:
             fewer = (x + (1 << _BITS - 1)) >> _BITS  # the added cost; what is left are added pieces
             changes = [(s, len(option[0][1]), option[r][1]) for s, option, r in zip(starts, options, chosen) if r]
             out.append(((cost + fewer) / self.unit, pieces + x - (fewer << _BITS), changes))
-        return ids, out
+        return ids, b"".join([x[3] for x in found]), out
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -352,30 +399,28 @@ def model(path: str) -> Pieces:
     return held(("pieces", path), lambda: Pieces(path))
 
 
-NBEST = "struct<ids:binary,nbest:array<struct<score:double,n_pieces:long,changes:array<struct<start:long,length:long,ids:array<int>>>>>>"
+NBEST = "struct<ids:binary,merged:binary,nbest:array<struct<score:double,n_pieces:long,changes:array<struct<start:long,length:long,ids:array<int>>>>>>"
 _CHANGES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 _BEST = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("changes", _CHANGES)]))
 
 
 def encoded(text: Column, path: str, n: int = 4) -> Column:
-    """Struct column: the best segmentation's ids, and the n best as changes to it."""
+    """Struct column: the best segmentation's ids, those of the library's encoder (merged), and the n best
+    as changes to the first."""
 
     @arrow_udf(NBEST)
     def run(texts: pa.Array) -> pa.Array:
-        p, ids, best = model(path), [], []
-        for a, z in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()], 1_500_000):
+        p, rows = model(path), []
+        for a, z in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()], 1_000_000):
             part = texts.slice(a, z - a).to_pylist()
             with no_collector():
                 solved = iter(p.nbest_many([x for x in part if x is not None], n))
             for x in part:
-                if x is None:
-                    ids.append(None)
-                    best.append(None)
-                    continue
-                raw, found = next(solved)
-                ids.append(raw)
-                best.append([{"score": -c, "n_pieces": k, "changes": [{"start": s, "length": m, "ids": list(new)} for s, m, new in changes]} for c, k, changes in found])
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(best, _BEST)], names=["ids", "nbest"])
+                ids, merged, found = next(solved) if x is not None else (None, None, None)
+                best = found and [{"score": -c, "n_pieces": k, "changes": [{"start": s, "length": m, "ids": list(new)} for s, m, new in changes]} for c, k, changes in found]
+                rows.append((ids, merged, best))
+        ids, merged, best = zip(*rows) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(merged, pa.binary()), pa.array(best, _BEST)], names=["ids", "merged", "nbest"])
 
     return run(text)
 

@@ -66,8 +66,9 @@ def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECES)
     found = read(spark, sf_dir, "documents").select("doc_id", "text", pieces.encoded(F.col("text"), path).alias("e"))
     found = found.select("*", pieces.decoded(F.col("e.ids"), path).alias("back"))
-    scores = F.array_join(F.transform("e.nbest", lambda x: F.concat_ws(":", x["score"].cast("long").cast("string"), x["n_pieces"].cast("string"))), ",")
-    return found.select("doc_id", F.col("e.nbest")[0]["n_pieces"].alias("n_pieces"), F.crc32("e.ids").alias("ids_crc32"), scores.alias("nbest"), (F.col("back") == F.col("text")).alias("round_trip"))
+    scores = F.array_join(F.transform("e.nbest", lambda x: F.concat_ws(":", (x["score"] * 1024).cast("long").cast("string"), x["n_pieces"].cast("string"))), ",")
+    merged = [(F.octet_length("e.merged") / 4).cast("long").alias("n_merged"), F.crc32("e.merged").alias("merged_crc32")]
+    return found.select("doc_id", F.col("e.nbest")[0]["n_pieces"].alias("n_pieces"), F.crc32("e.ids").alias("ids_crc32"), scores.alias("nbest"), *merged, (F.col("back") == F.col("text")).alias("round_trip"))
 
 
 def op9_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,12 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -20,6 +23,7 @@ from hushgrain.llm.chunks import ChunkEncoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DATA = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 ODD = ["", None, " ", "\n", "  a  b\n\nc \n d", "a\tb c\u2003d", "x" * 3000, "é 漢字 😀 \x01", "<|endoftext|> a", "don't 's\r\n", "a \n\n\n b", "\n\n", "b\n", "one, two; three." * 400]
 
 
@@ -420,9 +424,9 @@ def test_nbest_against_all_segmentations(model):
     rng = random.Random(6)
     texts = ["", "a", " ", *("".join(rng.choice(["a", "th", "e", " ", "on", "\n", "é", "漢", "ing", "é"]) for _ in range(rng.randint(1, 5))) for _ in range(300))]
     for t in texts:
-        raw, found = model.nbest(t, 4)
+        raw, _, found = model.nbest(t, 4)
         want = all_segmentations(model, t, 4)
-        assert [(c, k) for c, k, _ in found] == [(c, k) for c, k, _ in want], t
+        assert [(c * model.unit, k) for c, k, _ in found] == [(c, k) for c, k, _ in want], t
         ids = np.frombuffer(raw, "<u4").tolist()
         own = [tuple(applied(ids, ch)) for _, _, ch in found]
         assert len(set(own)) == len(own) and all(len(x) == k for x, (_, k, _) in zip(own, found))
@@ -439,6 +443,54 @@ def test_pieces_together_and_alone_agree(model):
         assert many[k][1] == found[0][0] and many[k][2] == (found[1][0] - found[0][0] if len(found) > 1 else pieces._INF)
 
 
+def test_merged_ids_are_the_encoders(model):
+    rng = random.Random(13)
+    texts = [*ODD, "  a  b", "\n\nx", " \n a", "a  \n  b", *("".join(rng.choice(["The", " ", "  ", "\n", "quick", "é", "漢字", "ing", ".", "x1", "\t"]) for _ in range(rng.randrange(14))) for _ in range(2000))]
+    for t, (_, merged, _) in zip(texts, model.nbest_many([t or "" for t in texts], 4)):
+        assert np.frombuffer(merged, "<u4").tolist() == (model.model.encode(t) if t else []), repr(t)
+
+
+def test_best_pieces_are_like_the_encoders(model):
+    t = "The quick brown fox jumps over the lazy dog and sets off at once for the old bridge across the river."
+    ids, merged, _ = model.nbest(t, 1)
+    assert len(ids) <= len(merged) and len(set(np.frombuffer(ids, "<u4")) & set(np.frombuffer(merged, "<u4"))) * 4 >= 0.8 * len(merged)
+
+
+def test_search_of_a_chunk_finds_all_in_order(model):
+    rng = random.Random(14)
+    for _ in range(200):
+        chunk = pieces.SPACE + "".join(rng.choice("aeth") for _ in range(rng.randint(1, 7)))
+        want = []
+
+        def go(at, weight, back):
+            if not at:
+                want.append((weight, back))  # noqa: B023
+            for ids, x, a in model.edges_into(chunk, at) if at else ():  # noqa: B023
+                go(a, weight + x, back + ids)
+
+        go(len(chunk), 0, ())
+        want = [(w, b[::-1]) for w, b in sorted(want)]
+        for n in (1, 3, 10_000):
+            assert model.search(chunk, n) == want[:n]
+
+
+def test_a_chunk_of_a_million_characters():
+    code = """
+import random, resource, time, public_tokenizers
+from hushgrain.llm.pieces import Pieces
+m = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+rng = random.Random(1)
+text = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+ids, merged, found = m.nbest(text, 4)
+assert len(found) == 4 and m.decode(__import__("array").array("I", ids)) == text
+print(time.process_time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    seconds, mb = map(float, done.stdout.split())
+    assert seconds < 60 and mb < 1000
+
+
 def test_pieces_query(spark):
     got = queries.op8_nbest_pieces(spark, DATA).collect()
     assert all(r.round_trip for r in got) and all(len(r.nbest.split(",")) == 4 for r in got)
