@@ -222,7 +222,7 @@ def test_ppm_is_a_distribution_and_matches_plain_escapes():
     text = "abracadabra, abra"
     g = langid.grams(text)
     grams, n = np.unique(g.astype(np.int64), return_counts=True)
-    model = langid.build(np.array(["x"] * len(grams)), grams, n, 1)
+    model = langid.build(np.array(["x"] * len(grams)), grams, n)
     counts = defaultdict(Counter)
     padded = b"\n\n\n" + text.encode()
     for i in range(3, len(padded)):
@@ -248,6 +248,48 @@ def test_ppm_is_a_distribution_and_matches_plain_escapes():
         assert model.bits(probe)[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_ppm_of_several_languages_is_that_of_each_alone():
+    texts = {"x": "abracadabra, abra", "y": "bananas and cabanas are aba", "z": "zzz, aäb"}
+    counted = [(k, *map(int, x)) for k, t in texts.items() for x in zip(*np.unique(langid.grams(t).astype(np.int64), return_counts=True))]
+    label, gram, n = map(np.array, zip(*counted))
+    both = langid.build(label, gram, n)
+    parts = np.unique(np.stack([(gram >> k) & 255 for k in (24, 16, 8, 0)]))
+    rng = random.Random(3)
+    for t in ["abra", "banana, z", "aäb q", *("".join(rng.choice("abrncdz ,äq") for _ in range(30)) for _ in range(50))]:
+        for k, lang in enumerate(both.langs):
+            counts = defaultdict(Counter)
+            padded = b"\n\n\n" + texts[lang].encode()
+            for i in range(3, len(padded)):
+                for j in range(4):
+                    counts[padded[i - j : i]][padded[i]] += 1
+
+            def p(context, byte):
+                if context is None:
+                    return 1 / 256
+                seen, shorter = counts[context], context[1:] if context else None  # noqa: B023
+                if not seen:
+                    return p(shorter, byte)  # noqa: B023
+                total, kinds = sum(seen.values()), len(seen)
+                if byte in seen:
+                    return seen[byte] / (total + kinds)
+                return kinds / (total + kinds) * p(shorter, byte) / (1 - sum(p(shorter, b) for b in seen))  # noqa: B023
+
+            raw = b"\n\n\n" + t.encode()
+            assert both.bits(t)[k] == pytest.approx(-sum(np.log2(p(raw[i - 3 : i], raw[i])) for i in range(3, len(raw))), rel=1e-4)
+    assert len(parts) + 1 == both.n_symbols
+
+
+def test_language_models_are_bounded(monkeypatch, spark):
+    docs = frame(spark, ["the cat and the dog"] * 5, lang="en")
+    monkeypatch.setattr(langid, "MAX_GRAMS", 3)
+    with pytest.raises(ValueError, match="n-grams"):
+        langid.train(docs)
+    monkeypatch.setattr(langid, "MAX_GRAMS", 1000)
+    monkeypatch.setattr(langid, "MAX_BYTES", 10)
+    with pytest.raises(ValueError, match="bytes"):
+        langid.train(docs)
+
+
 def test_language_held_out(spark):
     got = queries.op10_ppm_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     for r in got:
@@ -260,7 +302,9 @@ def test_language_edges(spark):
     docs = frame(spark, ["the cat and the dog"] * 5 + [None, "", "12 .. 34", "é"], lang="en")
     model = langid.train(docs)
     got = [tuple(r[0]) for r in docs.orderBy("doc_id").select(langid.predictions(docs, model)).collect()]
-    assert [x for x, _ in got] == ["en"] * 5 + ["und"] * 3 + ["en"]
+    assert [x for x, *_ in got] == ["en"] * 5 + ["und"] * 3 + ["en"]
+    assert docs.limit(0).select(langid.predictions(docs.limit(0), model)).count() == 0
+    assert langid.train(frame(spark, ["a b"] * 3, lang="en").withColumn("doc_id", F.lit(None).cast("long"))).langs == ["en"]
     nothing = langid.train(docs.limit(0))
     assert {r[0].lang_pred for r in docs.select(langid.predictions(docs, nothing)).collect()} == {"und"}
 
