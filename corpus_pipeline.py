@@ -15,6 +15,8 @@ from hushgrain.llm.runtime import bounded, read, table
 
 #: Least posterior of a document's language.
 MIN_LANGUAGE_SCORE = 0.5
+#: Most bits a byte, as a multiple of what the texts take that the language was learned from.
+MAX_STRANGE = 3.0
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,10 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose language is unknown or unsure; lang is the predicted language."""
+    """Without documents whose language is unknown or unsure, or whose bytes are far from what is usual in
+    it; lang is the predicted language."""
     model = langid.train(docs)
     found = docs.withColumn("found", langid.predictions(docs, model))
-    kept = found.where((F.col("found.lang_pred") != langid.UNKNOWN) & (F.col("found.score") >= MIN_LANGUAGE_SCORE))
+    sure = (F.col("found.score") >= MIN_LANGUAGE_SCORE) & (F.col("found.strange") <= MAX_STRANGE)
+    kept = found.where((F.col("found.lang_pred") != langid.UNKNOWN) & sure)
     return kept.withColumn("lang", F.col("found.lang_pred")).select(*COLUMNS)
 
 
