@@ -243,4 +243,4 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> Column
         cols = list(zip(*map(shared.value.predict, each(texts)))) or [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind)], fields=kind)
 
-    return run(F.col(text_col))
+    return run.asNondeterministic()(F.col(text_col))  # so that Spark doesn't run it again for a filter

@@ -90,7 +90,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_rules, op3_voronoi_knn, op4_sum_of_squares_packing, op5_simhash_trie, op6_personal_data, op7_robust_quality, op8_nbest_pieces, op9_arrow_sequences, op10_ppm_language)}
 ORACLE_SQL: dict[str, str] = {
     "op2_url_rules": """
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -105,14 +105,17 @@ bad AS (
   SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 examples AS (
   SELECT row_number() OVER () AS id, tokens, bad FROM tokened JOIN bad ON page_id = doc_id),
-needed AS (SELECT greatest(20, ceil(0.002 * count(*) - 1e-9)) AS least, count(*) AS n FROM examples),
-one AS (SELECT id, bad, unnest(tokens) AS t FROM examples),
+needed AS (SELECT greatest(20, ceil(0.002 * count(*) - 1e-9)) AS least, avg(bad) AS base FROM examples),
+one AS (
+  SELECT id, bad, t FROM (SELECT id, bad, unnest(tokens) AS t FROM examples) JOIN needed ON TRUE
+  QUALIFY sum(bad) OVER (PARTITION BY t) >= least),
 sets AS (
-  SELECT [t] AS s, bad FROM one
-  UNION ALL SELECT [a.t, b.t], a.bad FROM one a JOIN one b ON a.id = b.id AND a.t < b.t
-  UNION ALL SELECT [a.t, b.t, c.t], a.bad FROM one a JOIN one b ON a.id = b.id AND a.t < b.t JOIN one c ON a.id = c.id AND b.t < c.t),
+  SELECT id, bad, [t] AS s, t AS last FROM one
+  UNION ALL SELECT g.id, g.bad, list_append(g.s, o.t), o.t FROM sets g JOIN one o ON o.id = g.id AND o.t > g.last),
+counted AS (SELECT s, count(*) AS n, sum(bad) AS b FROM sets GROUP BY s),
 mined AS (
-  SELECT s FROM sets, needed GROUP BY s, least, n HAVING n >= 20 AND sum(bad) >= least AND sum(bad) >= 0.8 * count(*)),
+  SELECT s FROM (SELECT s, n, b / n AS p, least, b, base FROM counted JOIN needed ON TRUE)
+  WHERE b >= least AND p >= 0.5 AND (p + 3.29 * 3.29 / (2 * n) - 3.29 * sqrt(p * (1 - p) / n + 3.29 * 3.29 / (4 * n * n))) / (1 + 3.29 * 3.29 / n) > base),
 hit AS (SELECT DISTINCT page_id FROM tokened JOIN mined ON list_has_all(tokens, s)),
 stated(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
 fits AS (

@@ -1,20 +1,26 @@
 """URL filtering: stated host-and-path rules, and association rules mined from labels.
 
 URLs are cut into tokens (host labels, path segments, query keys). FP-growth finds the token
-combinations that are frequent among labelled URLs; those that imply the label "bad" with enough
-support and confidence, and of which no part does as well, become rules. A URL is blocked if it
-holds all tokens of some rule: an inverted index from each rule's rarest token finds the rules that
-can apply. A stated rule that fits a URL comes before the mined ones.
+combinations that are frequent among labelled URLs. A combination of any size becomes a rule if enough
+bad URLs hold it, if most of its URLs are bad, and if the share of bad ones is beyond that of all
+labelled URLs even at the lower end of its (Wilson) confidence interval; a fixed share alone would
+either need labels that are nearly all bad, or let chance make rules. A URL is blocked if it holds all
+tokens of some rule: an inverted index from each rule's rarest token finds the rules that can apply.
+A stated rule that fits a URL comes before the mined ones.
 
 Only labelled URLs are mined, by all tokens that enough bad URLs hold: others can't be in a rule.
-FP-growth lists combinations of every size, 2^n of frequent copies of a URL of n such tokens; where
-some URL has more than `max_items`, the combinations of up to `max_tokens` are counted level by
-level instead, which gives the same rules. All URLs are judged by all their tokens. Rules are matched in blocks of RULES_PER_BLOCK, so what is
-broadcast is bounded however many there are.
+FP-growth lists combinations of every size, 2^n of frequent copies of a URL of n such tokens. Where
+some URL has more than `max_items`, combinations are counted level by level instead, without those that
+hold a rule already (it blocks what they would) and without those in which a token says nothing new (as
+many URLs hold the rest alone, which then makes the same rule). Both ways block the same URLs.
+
+What comes to the driver while mining is checked against MAX_SETS and fails beyond it; rules up to
+RULES_BROADCAST are broadcast as an index, more are matched by a join on the rarest token.
 
 Nulls and ties: a URL that is null or lacks `://` has an empty host and path, no tokens and no
-rule; of stated rules of equal length the first in order of name wins; repeated rows are judged one by one and
-repeated labels of an id count as bad if any is. An empty table gives no rows.
+rule; of stated rules of equal length the first in order of name wins; repeated rows are judged one by
+one and repeated labels of an id count as bad if any is. An empty table gives no rows; no labels give no
+mined rules.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import math
 import string
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +39,8 @@ from hushgrain.llm.runtime import table
 
 # The stated rules.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
-RULES_PER_BLOCK = 100_000
+#: Most rules that are broadcast (some 10 MB); most combinations of a level, or tokens, that come to the driver.
+RULES_BROADCAST, MAX_SETS = 100_000, 1_000_000
 BAD = "label=bad"
 
 
@@ -75,19 +83,26 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("page_id", tokens(F.col("url")).alias("tokens")).join(bad, F.col("page_id") == F.col("doc_id")).select("tokens", "bad")
 
 
-def mine(examples: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.8, max_tokens: int = 3, max_items: int = 12) -> DataFrame:
-    """examples: (tokens, bad). Returns rules (antecedent, support_count, confidence)."""
+def _accepted(n_bad: Column, n: Column, base: float, min_confidence: float, z: float) -> Column:
+    """Whether the share n_bad / n is a rule's: min_confidence at least, and its lower bound at z
+    standard deviations beyond the share of all."""
+    p = n_bad / n
+    lower = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (p >= min_confidence) & (lower > base)
+
+
+def mine(examples: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.5, z: float = 3.29, max_items: int = 12) -> DataFrame:
+    """examples: (tokens, bad). Returns rules (antecedent, support_count, confidence); support_count is
+    of bad URLs."""
     from pyspark.ml.fpm import FPGrowth
 
-    spark = examples.sparkSession
-    schema = "antecedent array<string>, support_count long, confidence double"
     examples = table(examples, "examples")
-    n = examples.count()
-    if n < min_count:
-        return spark.createDataFrame([], schema)
+    n, base = examples.agg(F.count("*"), F.coalesce(F.avg("bad"), F.lit(0.0))).first()
+    if not n:
+        return examples.sparkSession.createDataFrame([], "antecedent array<string>, support_count long, confidence double")
     count = max(min_count, math.ceil(min_support * n - 1e-9))
     seen = table(examples.where("bad = 1").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= count), "tokens")
-    useful = {r.token for r in seen.collect()}  # at most mean tokens / min_support of them
+    useful = {r.token for r in _few(seen).toLocalIterator()}  # at most mean tokens / min_support of them
 
     @arrow_udf("array<string>")
     def items(lists: pa.Array) -> pa.Array:
@@ -95,58 +110,78 @@ def mine(examples: DataFrame, min_support: float = 0.002, min_count: int = 20, m
 
     examples = table(examples.select(items("tokens").alias("tokens"), "bad"), "examples")
     if (examples.agg(F.max(F.size("tokens"))).first()[0] or 0) > max_items:
-        return _counted(examples, useful, count, min_confidence, max_tokens)
-    baskets = examples.select(F.concat("tokens", F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / n, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens))
-    return table(rules.select(F.array_sort("antecedent").alias("antecedent"), F.round(F.col("support") * n).cast("long").alias("support_count"), "confidence"), "rules")
-
-
-def _counted(examples: DataFrame, useful: set[str], count: int, min_confidence: float, max_tokens: int) -> DataFrame:
-    """The rules of mine(), by exact counts of all combinations up to max_tokens whose parts are held
-    by enough bad URLs. Each level's are collected: at most mean combinations / min_support."""
-    from itertools import combinations
-
-    context, found, level = examples.sparkSession.sparkContext, None, {(t,) for t in useful}
-    for size in range(1, max_tokens + 1):
-        if not level:
-            break
-        known, of = context.broadcast(level), size
-
-        def run(batches, known=known, of=of):
-            sums: dict[tuple, list[int]] = {}
-
-            def out():
-                n, bad = zip(*sums.values()) if sums else ((), ())
-                return pa.record_batch({"antecedent": pa.array([list(x) for x in sums], pa.list_(pa.string())), "n": pa.array(n, pa.int64()), "n_bad": pa.array(bad, pa.int64())})
-
-            def grown(own: list[str]):
-                if of == 1:
-                    yield from ((t,) for t in own)
-                elif of == 2:
-                    yield from combinations(own, 2)
-                else:  # from parts that are known, one token longer
-                    for part in (x for x in combinations(own, of - 1) if x in known.value):
-                        yield from ((*part, t) for t in own if t > part[-1] and all(x in known.value for x in combinations((*part, t), of - 1)))
-
+        counted = _counted(examples, useful, count, base, min_confidence, z)
+    else:
+        baskets = examples.select(F.concat("tokens", F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=(count - 0.5) / n, minConfidence=min_confidence).fit(baskets)
+        rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
+        bad = F.round(F.col("support") * n).cast("long")
+        counted = rules.select(F.array_sort("antecedent").alias("antecedent"), bad.alias("n_bad"), F.round(bad / F.col("confidence")).cast("long").alias("n"))
+    kept = counted.where(_accepted(F.col("n_bad"), F.col("n"), base, min_confidence, z))
+    return table(kept.select("antecedent", F.col("n_bad").alias("support_count"), (F.col("n_bad") / F.col("n")).alias("confidence")), "rules")
+
+
+def _few(sets: DataFrame) -> DataFrame:
+    """sets, a written table, if they are few enough for the driver."""
+    if (n := sets.count()) > MAX_SETS:
+        raise ValueError(f"{n} token combinations are frequent, at most {MAX_SETS} can be mined: a higher min_support")
+    return sets
+
+
+def _within(tree: dict, tokens: list[str], i: int = 0):
+    """The numbers of the combinations in a prefix tree that tokens (sorted) hold."""
+    if None in tree:
+        yield tree[None]
+    for k in range(i, len(tokens)):
+        if (below := tree.get(tokens[k])) is not None:
+            yield from _within(below, tokens, k + 1)
+
+
+def _longer(level: dict[tuple, int]) -> list[tuple]:
+    """Combinations one token longer, of which every part of the level's size is in the level."""
+    by_start: dict[tuple, list[str]] = {}
+    for x in sorted(level):
+        by_start.setdefault(x[:-1], []).append(x[-1])
+    made = ((*start, a, b) for start, ends in by_start.items() for i, a in enumerate(ends) for b in ends[i + 1 :])
+    return [x for x in made if all(x[:i] + x[i + 1 :] in level for i in range(len(x)))]
+
+
+def _counted(examples: DataFrame, useful: set[str], count: int, base: float, min_confidence: float, z: float) -> DataFrame:
+    """(antecedent, n, n_bad) of the combinations that can be rules and hold no other rule, by exact
+    counts, level by level."""
+    spark, shape = examples.sparkSession, "antecedent array<string>, n long, n_bad long"
+    level, wanted, found = {}, [(t,) for t in sorted(useful)], spark.createDataFrame([], shape)
+    while wanted:
+        if len(wanted) > MAX_SETS:
+            raise ValueError(f"{len(wanted)} token combinations to count, at most {MAX_SETS} can be: a higher min_support")
+        tree: dict = {}
+        for i, x in enumerate(wanted):
+            at = tree
+            for t in x:
+                at = at.setdefault(t, {})
+            at[None] = i
+        shared = spark.sparkContext.broadcast(tree)
+
+        def run(batches, shared=shared, size=len(wanted)):
+            n, bad = np.zeros(size, np.int64), np.zeros(size, np.int64)
             for batch in batches:
-                for x, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for c in grown(sorted(x)):
-                        of_c = sums.setdefault(c, [0, 0])
-                        of_c[0] += 1
-                        of_c[1] += bad == 1
-                        if len(sums) >= 200_000:
-                            yield out()
-                            sums.clear()
-            yield out()
-
-        kept = examples.mapInArrow(run, "antecedent array<string>, n long, n_bad long").groupBy("antecedent").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
-        kept = table(kept.where(F.col("n_bad") >= count), "counted")
-        level = {tuple(r.antecedent) for r in kept.select("antecedent").toLocalIterator()} if size < max_tokens else set()
-        found = kept if found is None else found.unionByName(kept)
-    confidence = F.col("n_bad") / F.col("n")
-    rules = found.where(confidence >= min_confidence) if found is not None else examples.sparkSession.createDataFrame([], "antecedent array<string>, n long, n_bad long")
-    return table(rules.select(F.array_sort("antecedent").alias("antecedent"), F.col("n_bad").alias("support_count"), (F.col("n_bad") / F.col("n")).alias("confidence")), "rules")
+                for x, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own = list(_within(shared.value, sorted(x)))
+                    n[own] += 1
+                    bad[own] += b == 1
+            at = np.flatnonzero(n)
+            yield pa.record_batch({"i": at, "n": n[at], "n_bad": bad[at]})
+
+        summed = examples.mapInArrow(run, "i long, n long, n_bad long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+        summed = table(summed.where(F.col("n_bad") >= count).withColumn("rule", _accepted(F.col("n_bad"), F.col("n"), base, min_confidence, z)), "counted")
+        rows = [(wanted[r.i], r.n, r.n_bad, r.rule) for r in _few(summed).toLocalIterator()]
+        rules = [r[:3] for r in rows if r[3]]
+        if rules:
+            found = found.unionByName(spark.createDataFrame([(list(x), n, b) for x, n, b in rules], shape))
+        says_more = lambda x, n: len(x) == 1 or all(level[x[:i] + x[i + 1 :]] > n for i in range(len(x)))  # noqa: B023, E731
+        level = {x: n for x, n, _, rule in rows if not rule and says_more(x, n)}
+        wanted = _longer(level)
+    return table(found, "rules")
 
 
 def without_redundant(rules: list) -> list:
@@ -173,25 +208,28 @@ class InvertedIndex:
         return any(rule <= own for t in own for rule in self.by_token.get(t, ()))
 
 
-def mined_block(token_list: Column, rules: DataFrame) -> Column:
-    """Whether some mined rule fits."""
-    context = rules.sparkSession.sparkContext
-    hit, block = F.lit(False), []
+def with_mined(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (with `tokens`), and whether some mined rule fits each: mined_bad."""
+    if rules.count() > RULES_BROADCAST:
+        return _joined(rows, rules)
+    index = rows.sparkSession.sparkContext.broadcast(InvertedIndex([tuple(r.antecedent) for r in without_redundant(rules.collect())]))
 
-    def apply(block: list) -> Column:
-        index = context.broadcast(InvertedIndex([tuple(r.antecedent) for r in without_redundant(block)]))
+    @arrow_udf("boolean")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([index.value.matches(x or []) for x in lists.to_pylist()], pa.bool_())
 
-        @arrow_udf("boolean")
-        def run(lists: pa.Array) -> pa.Array:
-            return pa.array([index.value.matches(x or []) for x in lists.to_pylist()], pa.bool_())
+    return rows.withColumn("mined_bad", run("tokens"))
 
-        return run(token_list)
 
-    for r in rules.orderBy(F.size("antecedent"), "antecedent").toLocalIterator():
-        block.append(r)
-        if len(block) == RULES_PER_BLOCK:
-            hit, block = hit | apply(block), []
-    return hit | apply(block) if block else hit
+def _joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """with_mined for any number of rules: URLs meet the rules whose rarest token they hold."""
+    rows = table(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    each = rules.select("antecedent", F.explode("antecedent").alias("_token"))
+    uses = each.groupBy("_token").agg(F.count("*").alias("uses"))
+    rarest = each.join(uses, "_token").groupBy("antecedent").agg(F.min(F.struct("uses", "_token")).getField("_token").alias("_token"))
+    near = rows.select("_row", "tokens", F.explode("tokens").alias("_token")).join(rarest, "_token")
+    hit = near.where(F.size(F.array_except("antecedent", "tokens")) == 0).select("_row").distinct().withColumn("_hit", F.lit(True))
+    return rows.join(hit, "_row", "left").withColumn("mined_bad", F.coalesce("_hit", F.lit(False))).drop("_row", "_hit")
 
 
 def judge(pages: DataFrame, mined: DataFrame, rules: dict[str, str] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -199,7 +237,7 @@ def judge(pages: DataFrame, mined: DataFrame, rules: dict[str, str] | None = Non
     rules = RULES if rules is None else rules
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), tokens(url).alias("tokens"))
-    rows = rows.select("*", stated_rule(F.col("host"), F.col("path"), rules).alias("rule"), mined_block(F.col("tokens"), mined).alias("mined_bad"))
+    rows = with_mined(rows.select("*", stated_rule(F.col("host"), F.col("path"), rules).alias("rule")), mined)
     said = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)

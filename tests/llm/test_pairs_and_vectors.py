@@ -190,12 +190,35 @@ def test_urls_are_cut_and_ruled(spark):
     assert got == {i: r[1:] for i, r in enumerate(rows)}
 
 
+def accepted(bad, n, base, least, z=3.29):
+    p = bad / n
+    return p >= least and (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) > base
+
+
+def plain_rules(rows, least, count=20):
+    """All combinations of any size that are rules, of (tokens, bad) rows: bad rows and confidence."""
+    from itertools import combinations
+
+    n, bad = {}, {}
+    often = {t for t in {t for x, _ in rows for t in x} if sum(b for x, b in rows if t in x) >= count}
+    for x, b in rows:
+        own = sorted(set(x) & often)
+        for c in (c for k in range(1, len(own) + 1) for c in combinations(own, k)):
+            n[c], bad[c] = n.get(c, 0) + 1, bad.get(c, 0) + b
+    base = sum(b for _, b in rows) / len(rows)
+    return {c: (bad[c], bad[c] / n[c]) for c in n if bad[c] >= count and accepted(bad[c], n[c], base, least)}
+
+
+def blocked(rules, rows):
+    return [any(set(r) <= set(x) for r in rules) for x, _ in rows]
+
+
 def test_url_rules_are_mined(spark):
     pages = [(i, f"http://{'win' if i % 3 == 0 else 'good'}.site.com/{'promo' if i % 2 == 0 else 'news'}/{i}") for i in range(240)]
     labels = [(i, 0 if i % 6 == 0 else 1, 0) for i in range(200)] + [(0, None, None)]
     p = spark.createDataFrame(pages, "page_id long, url string")
     labelled = url_rules.labelled(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    mined = url_rules.mine(labelled)
+    mined = url_rules.mine(labelled, min_confidence=0.8)
     kept = {tuple(r.antecedent) for r in url_rules.without_redundant(mined.collect())}
     assert kept == {("h:win", "p:promo")}
     got = {r.page_id: r.mined_bad for r in url_rules.judge(p, mined, {}).collect()}
@@ -203,25 +226,56 @@ def test_url_rules_are_mined(spark):
     assert url_rules.mine(labelled.limit(0)).count() == 0
 
 
-def test_rules_on_rare_tokens_of_long_urls(spark):
-    from itertools import combinations
-
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+@pytest.mark.parametrize("most", [0, 12])
+def test_rules_of_any_size(spark, monkeypatch, most, broadcast):
+    """Level by level and by FP-growth, matched by the index and by the join."""
+    monkeypatch.setattr(url_rules, "RULES_BROADCAST", broadcast)
     rng = random.Random(5)
-    common = "/".join("abcdefghijklmn")  # 14 tokens more frequent than those that tell
     rows = []
-    for i in range(400):
-        rare = [t for t in ("x", "y", "z", "u") if rng.random() < 0.4]
-        bad = int({"x", "y", "z"} <= set(rare) or (rng.random() < 0.9 and "u" in rare and "x" in rare))
-        rows.append((f"http://h.com/{common}/{'/'.join(rare)}" if i % 4 else f"http://h.com/{'/'.join(rare)}", bad))
-    frame = spark.createDataFrame(rows, "url string, bad int").select(url_rules.tokens(F.col("url")).alias("tokens"), "bad")
-    n, bad = {}, {}
-    for r in frame.collect():
-        for c in (c for k in (1, 2, 3) for c in combinations(sorted(r.tokens), k)):
-            n[c], bad[c] = n.get(c, 0) + 1, bad.get(c, 0) + r.bad
-    want = {c: (bad[c], bad[c] / n[c]) for c in n if bad[c] >= 20 and bad[c] >= 0.8 * n[c]}
-    assert ("p:u", "p:x") in want
-    for most in (12, 30):  # level by level, and by FP-growth
-        rows_ = frame if most == 12 else frame.select(F.filter("tokens", lambda t: ~t.isin(*[f"p:{c}" for c in "abcdefghijk"])).alias("tokens"), "bad")
-        own = {c: x for c, x in want.items() if most == 12 or not set(c) & {f"p:{x}" for x in "abcdefghijk"}}
-        got = {tuple(r.antecedent): (r.support_count, r.confidence) for r in url_rules.mine(rows_, max_items=most).collect()}
-        assert got == own
+    for i in range(600):
+        own = ["h:com", *(t for t in "abcdefg" if rng.random() < 0.75)]
+        bad = int({"a", "b", "c", "d", "e"} <= set(own) and rng.random() < 0.97 or rng.random() < 0.1 or ({"f", "g"} <= set(own) and "a" not in own and rng.random() < 0.9))
+        rows.append((own, bad))
+    want = plain_rules(rows, 0.9)
+    assert max(map(len, want)) > 3 and not all(len(c) <= 3 for c in want if not any(set(x) < set(c) for x in want))
+    frame = spark.createDataFrame(rows, "tokens array<string>, bad int")
+    mined = url_rules.mine(frame, min_confidence=0.9, max_items=most)
+    got = {tuple(r.antecedent): (r.support_count, r.confidence) for r in mined.collect()}
+    assert got.items() <= want.items() if most == 0 else got == want
+    assert blocked(got, rows) == blocked(want, rows)
+    judged = url_rules.with_mined(frame.withColumn("i", F.monotonically_increasing_id()), mined).orderBy("i").collect()
+    assert [(r.tokens, r.mined_bad) for r in judged] == [(x, b) for (x, _), b in zip(rows, blocked(want, rows))]
+
+
+def test_long_urls_and_their_sql(spark, tmp_path):
+    """URLs of 20 tokens and more; the query and its SQL agree where rules are found."""
+    import duckdb
+
+    rng = random.Random(6)
+    pages, labels = [], []
+    for i in range(500):
+        rare = [f"s{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(14)]
+        tell = [t for t in ("win", "promo", "free", "x") if rng.random() < 0.5]
+        bad = {"win", "promo"} <= set(tell) or {"free", "x"} <= set(tell) and rng.random() < 0.8
+        pages.append((i, f"http://h{i}.example.org/fr/{'/'.join(tell + rare)}?a={i}&b=2", "h"))
+        labels += [(i, int(not bad), 0)] * (1 + i % 2)
+    pages += [(0, pages[0][1], "again"), (None, None, None), (900, "http://example.com/en/7", ""), (901, "http://new.net/win/promo", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op2_url_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE_SQL['op2_url_rules']})").fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert got.where("rule is null and verdict = 'block'").count() > 50
+
+
+def test_url_edges(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    none = url_rules.mine(url_rules.labelled(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert none.count() == 0 and url_rules.judge(pages, none).count() == 0
+    twice = spark.createDataFrame([(1, "http://a.com/en/", "x", "y")] * 2, "page_id long, url string, host string, tokens string")
+    assert [r.verdict for r in url_rules.judge(twice, none).collect()] == ["block", "block"]
