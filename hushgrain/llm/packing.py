@@ -2,9 +2,10 @@
 
 A document longer than a window fills whole windows first. What is left, of s tokens, goes to the
 fill level that minimises the sum over all levels below the window of (open windows at that
-level) squared; the counts are kept in an array with one entry per level. When a partition's input
-ends, windows that are still open are completed by cutting pieces of the emptiest windows, and what
-is left at the very end is cut at powers of two, which need no padding.
+level) squared; the counts are kept in an array with one entry per level. Beyond `max_open` open windows
+the one fullest window is completed, by cutting pieces of the emptiest ones. So are, when a partition's
+input ends, those that are still open, and what is left at the very end is cut at powers of two, which
+need no padding.
 
 Each partition packs what it reads: no shuffle, and memory is bounded by `max_open` windows.
 
@@ -14,8 +15,6 @@ null or repeated doc_id are packed like any other. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -69,52 +68,57 @@ class SumOfSquares:
             h = self.level_for(s)
             pieces = []
             if h:
-                pieces = self.open[h].pop()
-                self.levels[h] -= 1
-                self.n_open -= 1
+                pieces = self._take(h)
             pieces.append((doc, whole, ids[whole:]))
             if h + s == w:
                 out += self._emit(pieces)
             else:
-                self.open.setdefault(h + s, []).append(pieces)
-                self.levels[h + s] += 1
-                self.n_open += 1
+                self._put(pieces, h + s)
         if self.n_open > self.max_open:
-            out += self.finish(last=False)
+            out += self._complete()
         return out
 
-    def finish(self, last: bool = True) -> list[tuple]:
-        """Completes the open windows by cutting pieces of the emptiest ones."""
-        w, out = self.window, []
-        level = lambda pieces: sum(len(x[2]) for x in pieces)
-        todo = sorted((x for xs in self.open.values() for x in xs), key=level)
-        self.open, self.n_open = {}, 0
-        self.levels[:] = 0
-        todo = deque(todo)
-        while len(todo) > 1:
-            full = todo.pop()
-            room = w - level(full)
-            while room and todo:
-                doc, start, ids = todo[0].pop()
-                keep = max(0, len(ids) - room)  # the end of a piece moves, its beginning stays
+    def _put(self, pieces: list, level: int) -> None:
+        self.open.setdefault(level, []).append(pieces)
+        self.levels[level] += 1
+        self.n_open += 1
+
+    def _take(self, level: int) -> list:
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _complete(self) -> list[tuple]:
+        """Completes the fullest open window with the ends of pieces of the emptiest ones. Nothing is
+        returned if they don't hold enough; all is then in one window."""
+        at = int(np.flatnonzero(self.levels)[-1])
+        full = self._take(at)
+        while at < self.window and self.n_open:
+            low = int(np.argmax(self.levels > 0))
+            pieces = self._take(low)
+            while at < self.window and pieces:
+                doc, start, ids = pieces.pop()
+                keep = max(0, len(ids) - (self.window - at))  # the end of a piece moves, its beginning stays
                 full.append((doc, start + keep, ids[keep:]))
-                room -= len(ids) - keep
+                at += len(ids) - keep
+                low -= len(ids) - keep
                 if keep:
-                    todo[0].append((doc, start, ids[:keep]))
-                if not todo[0]:
-                    todo.popleft()
-            if room:
-                todo.append(full)
-                break
-            out += self._emit(full)
-        for pieces in todo:
-            n = level(pieces)
-            if not last and n < w:
-                self.open.setdefault(n, []).append(pieces)
-                self.levels[n] += 1
-                self.n_open += 1
-            else:
-                out += self._powers(pieces, n)
+                    pieces.append((doc, start, ids[:keep]))
+            if pieces:
+                self._put(pieces, low)
+        if at == self.window:
+            return self._emit(full)
+        self._put(full, at)
+        return []
+
+    def finish(self) -> list[tuple]:
+        """Completes the open windows by cutting pieces of the emptiest ones."""
+        out = []
+        while self.n_open > 1:
+            out += self._complete()
+        if self.n_open:
+            level = int(np.flatnonzero(self.levels)[-1])
+            out += self._powers(self._take(level), level)
         return out
 
     def _powers(self, pieces: list, n: int) -> list[tuple]:

@@ -5,7 +5,9 @@ equivalent single passes (a dotted number is cut into addresses part by part, an
 for around each @). Offsets are code points, ends exclusive.
 
 Base kinds (email, ip, card, phone) always stay; further kinds (iban, local_phone, national_id,
-secret) stay if their score reaches `threshold` and no span kept before them overlaps.
+secret) stay if their score reaches `threshold` and no span kept before them overlaps. An account number
+is as long as its country's are, whatever follows it. Context is whole words (or parts of names like
+api_key) within 40 characters on either side of a span.
 
 Nulls and ties: a null text is an empty one and has no spans; rows with null or repeated ids are
 scanned like any other; other columns are left as they are. An empty table gives no rows.
@@ -33,24 +35,35 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Patterns of the further kinds.
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18,
+    "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23,
+    "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28,
+    "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 _LOCAL_PHONE = re.compile(r"(?<![\w+(])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?!\w)")
 _NATIONAL_ID = re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])")
 _SECRET = re.compile(r"[:=][\x20\t]{0,4}[\"']?([A-Za-z0-9_-]{16,})")
-#: Words that raise a kind's score if they stand just before a span, and by how much.
+#: Words that raise a kind's score if they stand near a span, and by how much.
 CONTEXT = {
-    "email": (("mail", "contact", "write to"), 0.05),
+    "email": (("mail", "email", "contact", "write to"), 0.05),
     "ip": (("ip", "host", "server", "address"), 0.1),
     "card": (("card", "visa", "credit", "payment"), 0.05),
-    "phone": (("phone", "call", "tel", "mobile", "fax"), 0.1),
+    "phone": (("phone", "telephone", "call", "tel", "mobile", "fax"), 0.1),
     "iban": (("iban", "account", "bank"), 0.05),
-    "local_phone": (("phone", "call", "tel", "mobile", "fax"), 0.4),
+    "local_phone": (("phone", "telephone", "call", "tel", "mobile", "fax"), 0.4),
     "national_id": (("ssn", "social security", "national id", "tax id"), 0.4),
     "secret": (("token", "secret", "api_key", "apikey", "api-key", "password", "passwd"), 0.5),
 }
 #: Scores before context.
 PRIOR = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "local_phone": 0.3, "national_id": 0.3, "secret": 0.3}
 _WINDOW = 40
+_NEAR = {k: re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(map(re.escape, words)) + r")(?![A-Za-z0-9])", re.I | re.A) for k, (words, _) in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -107,9 +120,22 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
+    done = 0
     for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield m.span()
+        n, at = IBAN_LENGTHS.get(m.group(1), 0) - 4, m.end()
+        if n < 0 or m.start() < done:
+            continue
+        spaced, left = text[at] == " ", n
+        while left and at < len(text):  # in groups of four after spaces, or without any
+            if spaced and (n - left) % 4 == 0 and text[at] == " ":
+                at += 1
+            elif text[at].isascii() and (text[at].isdigit() or text[at].isupper()) and not (spaced and (n - left) % 4 == 0 and text[at - 1] != " "):
+                at, left = at + 1, left - 1
+            else:
+                break
+        if not left and not text[at : at + 1].isalnum() and mod97(text[m.start() : at].replace(" ", "")):
+            yield m.start(), at
+            done = at
 
 
 def _secrets(text: str):
@@ -119,10 +145,12 @@ def _secrets(text: str):
             yield m.span(1)
 
 
-def _score(kind: str, text: str, start: int) -> float:
-    words, more = CONTEXT[kind]
-    before = text[max(0, start - _WINDOW) : start].lower()
-    return min(1.0, PRIOR[kind] + more * any(w in before for w in words))
+def _score(kind: str, text: str, start: int, end: int) -> float:
+    """A word counts if all of it is within the window; the characters beyond tell where it ends."""
+    near, upto = _NEAR[kind], end + _WINDOW
+    found = any(m.end() <= start for m in near.finditer(text, max(0, start - _WINDOW), start + 1))
+    found = found or any(m.end() <= upto for m in near.finditer(text, end, upto + 1))
+    return min(1.0, PRIOR[kind] + CONTEXT[kind][1] * found)
 
 
 def find_spans(text: str | None, threshold: float = 0.6) -> list[tuple[str, int, int, float]]:
@@ -140,14 +168,20 @@ def find_spans(text: str | None, threshold: float = 0.6) -> list[tuple[str, int,
         "national_id": ((m.start(), m.end()) for m in _NATIONAL_ID.finditer(text)) if digits and "-" in text else (),
         "secret": _secrets(text) if digits and ("=" in text or ":" in text) else (),
     }
-    out = [(k, a, b, _score(k, text, a)) for k in BASE_KINDS for a, b in found[k]]
-    taken = [(a, b) for _, a, b, _ in out]
+    out = [(k, a, b, _score(k, text, a, b)) for k in BASE_KINDS for a, b in found[k]]
+    taken = None
     for k in ADDED_KINDS:
         for a, b in found[k]:
-            score = _score(k, text, a)
-            if score >= threshold and not any(a < y and x < b for x, y in taken):
+            score = _score(k, text, a, b)
+            if score < threshold:
+                continue
+            if taken is None:  # a mark for each character
+                taken = bytearray(len(text))
+                for _, x, y, _ in out:
+                    taken[x:y] = b"\1" * (y - x)
+            if not any(taken[a:b]):
                 out.append((k, a, b, score))
-                taken.append((a, b))
+                taken[a:b] = b"\1" * (b - a)
     return out
 
 

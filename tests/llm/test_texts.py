@@ -70,6 +70,85 @@ def test_further_kinds():
     assert pii.redact_text("mail a@b.com.") == "mail [EMAIL]."
 
 
+def test_context_is_whole_words_on_both_sides():
+    kinds = lambda t: [s[0] for s in pii.find_spans(t)]
+    assert kinds("our hotel 555-123-4567 room") == [] and kinds("shipped discards 555-123-4567") == []
+    assert kinds("555-123-4567 (phone)") == ["local_phone"] == kinds("Tel.: 555-123-4567") == kinds("TEL 555-123-4567")
+    far = "555-123-4567 " + "x" * 37
+    assert kinds(far + " tel") == [] and kinds("tel " + "x" * 37 + " 555-123-4567") == [] and kinds(far + "otel") == []
+    assert kinds("a" * 100 + "tel " + "555-123-4567") == []
+    assert kinds('my_api_key: "04dbebab91ab85687d33eeaaf9ac699e"') == ["secret"]
+    assert pii.find_spans("ip 10.0.0.1")[0][3] > pii.find_spans("ship 10.0.0.1")[0][3]
+
+
+def test_account_numbers_end_where_their_country_says():
+    found = lambda t: [t[a:b] for k, a, b, _ in pii.find_spans(t) if k == "iban"]
+    at, gb = "AT61 1904 3002 3457 3201", "GB82 WEST 1234 5698 7654 32"
+    for own in (at, gb, at.replace(" ", ""), gb.replace(" ", "")):
+        assert found(own) == found(f"x {own} CODE") == found(f"{own}.") == found(f"({own}) 1234") == [own]
+        assert found(own + "A") == found("A" + own) == found(own[:-1]) == []
+    assert found(f"{at} {gb}, {at}") == [at, gb, at]
+    assert found("ZZ82 WEST 1234 5698 7654 32") == [] and found("AT6 1190 4300 2345 7320 1") == []
+
+
+def plain_added(text):
+    """The further kinds and their context, by trying every place."""
+    def near(kind, a, b):
+        plain = lambda i: 0 <= i < len(text) and text[i].isascii() and text[i].isalnum()
+        for w in pii.CONTEXT[kind][0]:
+            for i in [*range(max(0, a - 40), a), *range(b, b + 40)]:
+                end = i + len(w)
+                if text[i:end].lower() == w and not plain(i - 1) and not plain(end) and (end <= a or b <= i and end <= b + 40):
+                    return True
+        return False
+
+    def ibans():
+        at = 0
+        while at < len(text):
+            for size in range(15, 45):
+                own = text[at : at + size]
+                plain = own.replace(" ", "")
+                spaced = " ".join(plain[i : i + 4] for i in range(0, len(plain), 4))
+                if len(own) == size and own in (plain, spaced) and re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]+", plain) and pii.IBAN_LENGTHS.get(own[:2]) == len(plain) and pii.mod97(plain):
+                    if not (at and re.match("[A-Za-z0-9]", text[at - 1])) and not text[at + size : at + size + 1].isalnum():
+                        yield at, at + size
+                        at += size - 1
+                        break
+            at += 1
+
+    proposed = {
+        "iban": ibans(),
+        "local_phone": (m.span() for m in pii._LOCAL_PHONE.finditer(text)),
+        "national_id": (m.span() for m in pii._NATIONAL_ID.finditer(text)),
+        "secret": (m.span(1) for m in pii._SECRET.finditer(text) if re.search("[0-9]", m.group(1)) and re.search("[A-Za-z]", m.group(1))),
+    }
+    taken, out = [(a, b) for _, a, b in plain_spans(text)], []
+    for k, spans in proposed.items():
+        for a, b in spans:
+            score = pii.PRIOR[k] + pii.CONTEXT[k][1] * near(k, a, b)
+            if score >= 0.6 and not any(a < y and x < b for x, y in taken):
+                taken.append((a, b))
+                out.append((k, a, b))
+    return out
+
+
+def test_added_spans_are_exact():
+    rng = random.Random(11)
+    parts = ["AT61 1904 3002 3457 3201", "GB82WEST12345698765432", "CODE", "(212) 555-0199", "555.123.4567", "123-45-6789", "ssn", "Tel", "hotel", "phone:", "call", "token = \"a1b2c3d4e5f6a7b8c9\"", "api_key=A1b2C3d4E5f6G7h8", "x=abcdefabcdefabcdef12", "a@b.co", "10.0.0.1", "social security", "national  id", "1234", "é", ".", ",", "\n", "fax.", "bank"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) + rng.choice((" ", " ", " ", "", "_", "-")) for _ in range(rng.randrange(12)))
+        assert [s[:3] for s in pii.find_spans(t) if s[0] in pii.ADDED_KINDS] == plain_added(t), t
+
+
+def test_personal_data_edges(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", "x"), (1, "a@b.co", "x"), (None, None, "y")], "doc_id long, text string, kind string")
+    got = docs.select("doc_id", "kind", pii.spans(F.col("text")).alias("s"), pii.redacted(F.col("text")).alias("r")).collect()
+    assert sorted((r.doc_id or 0, r.kind, len(r.s), r.r) for r in got if r.r) == [(1, "x", 1, "[EMAIL]")] * 2
+    assert [(len(r.s), r.r) for r in got if not r.r] == [(0, None)]
+    assert docs.limit(0).select(pii.spans(F.col("text")).alias("s"), pii.redacted(F.col("text"))).count() == 0
+    assert len(pii.find_spans("a@b.co 555-123-4567 tel " * 20_000)) == 40_000
+
+
 def test_personal_data_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in queries.op6_personal_data(spark, DATA).collect():
@@ -396,9 +475,37 @@ def test_sum_of_squares_choice():
 
 
 def test_packing_closes_windows_beyond_its_bound():
-    p = packing.SumOfSquares(16, max_open=2)
-    out = [x for d in range(50) for x in p.add(d, np.full(1 + d % 7, d))] + p.finish()
-    assert Counter(d for d, *_, ids in out for _ in ids) == {d: 1 + d % 7 for d in range(50)}
+    for bound in (1, 2, 5):
+        p, rng, docs, out = packing.SumOfSquares(16, max_open=bound), random.Random(bound), {}, []
+        for d in range(300):
+            ids = np.arange(1 + rng.choice((1, 2, 9, 10, 11, 12, 40)))
+            docs[d] = ids
+            before = p.n_open
+            new = p.add(d, ids)
+            assert p.n_open <= bound  # one window goes, not all of them
+            assert p.n_open >= min(before, bound) - 2
+            out += new
+        whole = len({x[3] for x in out})
+        out += p.finish()
+        filled = Counter()
+        for _, _, n, sequence, offset, _ in out:
+            assert offset == filled[sequence]
+            filled[sequence] += n
+        assert all(filled[x] == 16 for x in range(whole)) and all(x == 16 or x & (x - 1) == 0 for x in filled.values())
+        pieces_of = defaultdict(list)
+        for d, start, n, *_, ids in out:
+            assert len(ids) == n
+            pieces_of[d].append((start, ids.tolist()))
+        assert {d: sum((x for _, x in sorted(ps)), []) for d, ps in pieces_of.items()} == {d: x.tolist() for d, x in docs.items()}
+
+
+def test_packing_edges(spark):
+    tokenizer = queries.tokenizer(queries.WORD_BPE)
+    assert packing.pack(frame(spark, []), **tokenizer).count() == 0
+    rows = [(None, "a b", 1), (4, "a b", 2), (4, "a b", 2), (7, None, 3)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, ids int"), **tokenizer).collect()
+    assert sum(r.length for r in got if r.doc_id == 4) == 2 * sum(r.length for r in got if r.doc_id is None)
+    assert {r.doc_tokens for r in got if r.doc_id == 7} == {1}
 
 
 def test_arrow_store_round_trip(spark, tmp_path):
