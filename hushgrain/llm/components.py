@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushgrain.llm.runtime import table
+from hushgrain.llm.runtime import drop, table
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         others = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = table(own.unionByName(others).where("u <> v").distinct(), "links")
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        drop(edges)
         edges = new
         if mark == before:
             break

@@ -12,10 +12,11 @@ block scheme finds without comparing nearly all pairs; so the rest comes from BA
 named by ROWS MinHash values: a pair at 0.8 shares none with a probability of 4e-7, one at 0.9 with
 5e-16. Buckets whose members the first links have already joined cost nothing more.
 
-In each other bucket the members that are not yet joined with one of them, its pivot, are first
-compared with that one. Where members are then still apart, every member outside the pivot's
-component is compared with all that are in other components, so that a group of near copies costs a
-comparison a member and no pair of a bucket that could join two components is left out.
+Buckets that still hold several components are first thinned: each row is compared with one other, the
+least row of a bucket with which it shares most buckets. What is still mixed is compared whole, in
+cells: a bucket's members are dealt to blocks of BLOCK rows, and each pair of blocks is a task's work,
+which counts common shingles over an index of the cell and returns a spanning forest of its links. So
+no pairs are written or joined, however many members of a bucket are nearly, but not quite, similar.
 
 Only texts of candidates are shuffled. Nulls and ties: texts without words are copies of each other;
 every row counts by itself, whatever its id, and repeated rows are copies. Of a component the row
@@ -40,6 +41,8 @@ SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 48, 6
+#: Rows of a block of a bucket; a cell has two blocks.
+BLOCK = 256
 _PORTION = 1024
 _DRAWN = np.random.default_rng(7).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
 _TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
@@ -123,35 +126,109 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(small_or_not(labels), "row", "left").withColumn("label", F.coalesce("label", "row"))
 
 
+def _sets(text: Column) -> Column:
+    """Sorted hashes of the distinct shingles."""
+
+    @arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        release()
+        found = [np.unique(simhash.shingle_hashes(x.encode().lower().split() if x else [], SHINGLE)) for x in each(texts)]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)))
+
+    return run(text)
+
+
+def cell_links(rows: np.ndarray, label: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links (u, v) that join the components of a cell's similar rows. label: components so far. side:
+    block of each row; rows of different blocks are compared, or all, if there is one block."""
+    size = np.array(list(map(len, sets)), np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    held = owner[order]  # by shingle, who holds it
+    start = np.searchsorted(code[order], np.arange(code.max() + 2 if len(code) else 1))
+    first = np.cumsum(size) - size
+    two = side.min() != side.max()
+    _, parent = np.unique(label, return_inverse=True)
+    most = np.bincount(parent).argmax()  # of two different components one isn't this one
+    less, more = SIMILAR
+    out = []
+    for x in np.flatnonzero(parent != most).tolist():
+        others = parent != parent[x]
+        if two:
+            others &= side != side[x]
+        if not others.any():
+            continue
+        own = code[first[x] : first[x] + size[x]]
+        n = start[own + 1] - start[own]
+        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(held[at], minlength=len(sets))
+        for y in np.flatnonzero(others & (common * more >= (size + size[x] - common) * less)).tolist():
+            if parent[x] != parent[y]:
+                out.append((int(min(rows[x], rows[y])), int(max(rows[x], rows[y]))))
+                parent[parent == parent[y]] = parent[x]
+    return out
+
+
+def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members: (bucket, row, label, rows: how many the bucket has). Links within buckets."""
+    sets = table(texts.join(small_or_not(table(members.select("row").distinct(), "named")), "row", "left_semi").select("row", _sets(F.col("text")).alias("hashes")), "sets")
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    dealt = members.select("bucket", "row", "label", own.alias("side"), F.explode(pairs).alias("cell")).join(sets, "row")
+
+    def run(batches):
+        last, held = None, []
+
+        def done():
+            rows, label, side, sets_ = zip(*held)
+            found = cell_links(np.array(rows), np.array(label), list(sets_), np.array(side))
+            if found:
+                u, v = zip(*found)
+                yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+        for b in batches:
+            bucket, i, j, row, label, side = (b.column(k).to_pylist() for k in range(6))
+            ends, flat = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy(zero_copy_only=False)
+            for k, cell in enumerate(zip(bucket, i, j)):
+                if cell != last and held:
+                    yield from done()
+                    held = []
+                last = cell
+                held.append((row[k], label[k], side[k], flat[ends[k] : ends[k + 1]].copy()))
+        if held:
+            yield from done()
+
+    keys = ["bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j")]
+    cells = dealt.select(*keys, "row", "label", "side", "hashes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return table(cells.mapInArrow(run, "u long, v long").distinct(), "similar")
+
+
 def links(nodes: DataFrame, texts: DataFrame, max_bits: int = 3) -> DataFrame:
     """nodes: (row, fp, n, buckets), a written table, one row for each class; texts: (row, text). Returns
     links (u, v) whose components are those of all similar pairs that a fingerprint or bucket joins."""
     first_of = table(nodes.groupBy("fp").agg(F.min("row").alias("first")), "prints")
-    near = simhash.links(first_of.select("fp"), max_bits)
+    near = table(simhash.links(first_of.select("fp"), max_bits), "near")
     end = lambda x: first_of.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_row"))
     close = near.join(end("u"), "u").join(end("v"), "v").select(F.col("u_row").alias("u"), F.col("v_row").alias("v"))
     same = nodes.join(first_of, "fp").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
     found = _confirmed(close.unionByName(same), texts)
 
-    dealt = _labelled(nodes.select("row", "n", "buckets"), found).select("row", "n", "label", F.explode("buckets").alias("bucket"))
-    ends = [F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.struct("row", "label")).alias("pivot")]
-    mixed = dealt.groupBy("bucket").agg(*ends).where("a <> b").select("bucket", F.col("pivot.row").alias("pivot"), F.col("pivot.label").alias("own"))
-    members = table(dealt.join(small_or_not(table(mixed, "mixed")), "bucket").drop("own", "label"), "members")
-    members = members.join(small_or_not(table(_labelled(members.select("row").distinct(), found), "labelled")), "row")
-    own = members.where("row = pivot").select("bucket", F.col("label").alias("own"))
-    apart = members.join(small_or_not(table(own, "own")), "bucket").where("label <> own")
-    found = found.unionByName(_confirmed(apart.select(F.col("pivot").alias("u"), F.col("row").alias("v")), texts))
-
-    members = _labelled(members.drop("label"), found)
-    ends = [F.min("label").alias("a"), F.max("label").alias("b"), F.max(F.when(F.col("row") == F.col("pivot"), F.col("label"))).alias("own")]
-    mixed = members.groupBy("bucket").agg(*ends).where("a <> b").select("bucket", "own")
-    still = table(members.where("row <> pivot").join(small_or_not(table(mixed, "mixed")), "bucket"), "still")
-    x, y = still.where("label <> own").alias("x"), still.alias("y")
-    less, more = SIMILAR
-    near = (F.least("x.n", "y.n") * more >= F.greatest("x.n", "y.n") * less) & (F.col("x.label") != F.col("y.label"))
-    once = (F.col("y.label") == F.col("y.own")) | (F.col("x.row") < F.col("y.row"))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & near & once)
-    return found.unionByName(_confirmed(rest.select(F.least("x.row", "y.row").alias("u"), F.greatest("x.row", "y.row").alias("v")), texts))
+    dealt = nodes.select("row", F.explode("buckets").alias("bucket"))
+    shared = table(dealt.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("row").alias("pivot")).where("rows > 1"), "shared")
+    members = table(dealt.join(small_or_not(shared), "bucket"), "members")
+    labelled = _labelled(members, found)
+    own = labelled.where("row = pivot").select("bucket", F.col("label").alias("own"))
+    apart = labelled.join(own, "bucket").where("label <> own").groupBy("row", "pivot").agg(F.count("*").alias("common"))
+    best = apart.groupBy("row").agg(F.max_by("pivot", F.struct("common", -F.col("pivot"))).alias("pivot"))
+    found = table(found.unionByName(_confirmed(best.select(F.least("pivot", "row").alias("u"), F.greatest("pivot", "row").alias("v")), texts)), "found")
+
+    labelled = table(_labelled(members, found), "labelled")
+    mixed = table(labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket"), "mixed")
+    still = table(labelled.join(small_or_not(mixed), "bucket", "left_semi").select("bucket", "row", "label", "rows"), "still")
+    return found.unionByName(_compared(still, texts))
 
 
 def without_copies(docs: DataFrame, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,16 +1,15 @@
-"""Helpers that the operators of this subpackage share: the shared folder, tables cut out of
-their lineage, and guards on what is broadcast."""
+"""Helpers that the operators of this subpackage share: written tables, guards on what is broadcast, and
+reads with small Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no folder of its own, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints"
+from hushgrain.sources.shared import drop, new_path, remove, rows_of, shared_dir, written
+
+__all__ = ["bounded", "drop", "new_path", "read", "remove", "shared_dir", "small_or_not", "table"]
+
 #: A side of a join with at most so many rows of a few numbers (16 MB or so) may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -18,56 +17,26 @@ BROADCAST_ROWS = 500_000
 #: texts takes memory in the executor twice and in its Python worker.
 ARROW_ROWS = 1000
 
-_written: list = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can reach."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or LOCAL_SHARED).rstrip("/")
-
 
 def bounded(spark: SparkSession) -> SparkSession:
+    """Plans run after their operator has returned, so the setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(ARROW_ROWS))
     return spark
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/hushgrain-{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended; the folder's owner cleans it
-            return
-
-
 def table(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and returns a read of it: lineage ends there, and lost
     executors cost nothing but the tasks that were running."""
-    path = new_path(df.sparkSession, label)
     bounded(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, label)
 
 
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small; else Spark shuffles the join.
-    df should be a written table, as it is counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, marked for broadcast if its number of rows shows that it is small; else Spark shuffles the
+    join."""
+    return F.broadcast(df) if rows_of(df, rows) <= rows else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -46,6 +46,41 @@ def test_pairs_about_the_threshold(spark):
     assert sorted(r.doc_id for r in stage(spark, rows).collect()) == plain_kept(rows)
 
 
+def test_cells_find_spanning_links():
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        base = rng.integers(0, 1 << 60, 40)
+        sets = [np.unique(np.where(rng.random(40) < rng.choice((0.02, 0.1, 0.2)), rng.integers(0, 1 << 60, 40), base)) for _ in range(25)]
+        sets += [np.empty(0, np.int64), np.empty(0, np.int64), sets[0]]
+        n = len(sets)
+        side = np.array([k % 2 for k in range(n)]) if trial % 2 else np.zeros(n, int)
+        label = np.array([k - k % 3 if trial % 3 == 0 else k for k in range(n)])
+        similar = lambda a, b: len(a & b) * 5 >= len(a | b) * 4
+        own = [set(x.tolist()) for x in sets]
+        true = [(a, b) for a in range(n) for b in range(a) if similar(own[a], own[b])]
+        found = near_copies.cell_links(np.arange(n), label, sets, side)
+        assert {(b, a) for a, b in true} >= set(found)
+
+        def parts(pairs):
+            of = label.copy()
+            for a, b in pairs:
+                of[of == of[a]] = of[b]
+            return of
+
+        want = parts([(a, b) for a, b in true if side[a] != side[b] or not trial % 2])
+        got = parts(found)
+        assert all((want[a] == want[b]) == (got[a] == got[b]) for a in range(n) for b in range(a))
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if rng.random() > share else f"x{rng.randrange(10**6)}" for w in base) for share in (0.01, 0.02, 0.03, 0.04, 0.06) for _ in range(40)]
+    rows = list(enumerate(texts))
+    assert sorted(r.doc_id for r in stage(spark, rows).collect()) == plain_kept(rows)
+
+
 def test_short_texts_are_linked_by_their_shingles_only(spark):
     a = "one two three four five six seven eight nine ten eleven twelve"
     b = a.replace("twelve", "dozen").replace("one", "uno")
