@@ -1,6 +1,7 @@
 """Near copies of the pipeline's third stage against brute force."""
 
 import random
+import re
 
 import numpy as np
 
@@ -11,7 +12,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def plain_shingles(text, k=5):
-    words = (text or "").split()
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
