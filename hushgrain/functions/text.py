@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MARK = "\u0001"
 #: What a mark that is already in a text becomes: one character as well, so that no offset moves.
 _STAND_IN = "\u0002"
+#: Parts of a text that one fold goes over.
+_BLOCK = 256
 FOUND = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -15,22 +19,38 @@ def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use needs it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """All matches of a pattern, leftmost first, as array<struct<start, end, text>>.
 
-    Matches are put between marks, the text is split there, and one fold adds up the lengths. The
-    pattern is read with Unicode classes; it may have no capturing group and may not match nothing.
+    Matches are put between marks and the text is split there, so every second part is a match. Lengths
+    are added up in blocks of _BLOCK parts, which start from the blocks' own sums: a fold that appends to
+    an array copies it each time, so none runs over more than a block. The pattern is read with Unicode
+    classes; it may have no capturing group and may not match nothing.
     """
     marked = F.regexp_replace(F.translate(text, _MARK, _STAND_IN), f"(?U)(?:{pattern})", f"{_MARK}$0{_MARK}")
-    parts = F.split(marked, _MARK, -1)
+    none = F.struct(F.lit(0).cast("int").alias("at"), empty(FOUND).alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = (acc["at"] + F.length(part)).cast("int")
-        found = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("text"))))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], found).otherwise(acc["out"]).alias("out"))
+    def grow(acc: Column, p: Column) -> Column:
+        end = (acc["at"] + F.length(p["text"])).cast("int")
+        found = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), p["text"].alias("text"))))
+        return F.struct(end.alias("at"), F.when(p["hit"], found).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.lit(False).alias("hit"), empty(FOUND).alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def block(parts: Column, start: Column) -> Column:
+        return F.aggregate(parts, F.struct(start.cast("int").alias("at"), empty(FOUND).alias("out")), grow, lambda acc: acc["out"])
+
+    def in_blocks(parts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _BLOCK).cast("int")), lambda k: F.slice(parts, k * _BLOCK + 1, F.lit(_BLOCK)))
+        sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda n, p: n + F.length(p["text"])))
+        begun = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, begun, block))
+
+    parts = F.transform(F.split(marked, _MARK, -1), lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("hit")))
+    return let(parts, lambda x: F.when(F.size(x) <= _BLOCK, F.aggregate(x, none, grow, lambda acc: acc["out"])).otherwise(in_blocks(x)))
 
 
 def strip(text: Column) -> Column:
@@ -62,13 +82,15 @@ def splice(text: Column, spans: Column) -> Column:
     """The text with each span's replacement in its place; a null replacement leaves the span as it
     is. spans: sorted by start, without overlaps."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        own = F.coalesce(s["replacement"], F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, own)).alias("out"))
+    def put(own: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+            return F.concat(F.substring(text, before + 1, s["start"] - before), F.coalesce(s["replacement"], F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+
+        last = F.coalesce(F.get(own, F.size(own) - 1)["end"], F.lit(0))
+        return F.concat(F.array_join(F.transform(own, piece), ""), F.substring(text, last + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).cast("int").alias("at"), empty("array<string>").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("replacement"))), put)
 
 
 def context(text: Column, start: Column, end: Column, width: int = 60) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hushgrain.functions.text import find_all
+from hushgrain.functions.text import find_all, splice
 
 # Honorifics without their full stops.
 HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "prof", "lord", "lady", "sir", "dame", "rev", "fr")
+#: Letters of the greatest long.
+_MOST_LETTERS = 14
 TOKEN = "\\[[A-Z]+_[A-Z]+\\]"
 
 
@@ -24,13 +26,11 @@ def letters_of(index: int) -> str:
 
 
 def letters(index: Column) -> Column:
-    """letters_of as an expression, for indexes below 26 + 26^2 + 26^3 + 26^4."""
-    letter = lambda x: F.chr((F.lit(65) + F.pmod(x, F.lit(26))).cast("long"))
-    last, out = index.cast("long"), F.lit("")
-    for _ in range(4):
-        out = F.when(last >= 0, F.concat(letter(last), out)).otherwise(out)
-        last = F.when(last >= 0, F.floor(last / 26) - 1).otherwise(F.lit(-1))
-    return F.when(index >= 0, out)
+    """letters_of as an expression, for any long; null if the index is null or negative."""
+    step = lambda x: F.struct(F.concat(F.chr((F.lit(65) + F.pmod(x["left"], F.lit(26))).cast("long")), x["out"]).alias("out"), (F.floor(x["left"] / 26) - 1).alias("left"))
+    begun = F.struct(F.lit("").alias("out"), index.cast("long").alias("left"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(_MOST_LETTERS)), begun, lambda acc, _: F.when(acc["left"] >= 0, step(acc)).otherwise(acc), lambda acc: acc["out"])
+    return F.when(index >= 0, done)
 
 
 def without_honorifics(form: Column) -> Column:
@@ -49,11 +49,4 @@ def is_word_part(needle: Column, haystack: Column) -> Column:
 
 def restore(text: Column, vault: Column) -> Column:
     """Each known token becomes its name, once; unknown tokens stay. vault: map<token, name>."""
-    found = find_all(text, TOKEN)
-
-    def step(acc: Column, m: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, m["start"] - acc["at"])
-        return F.struct(m["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.coalesce(F.try_element_at(vault, m["text"]), m["text"]))).alias("out"))
-
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(found, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return splice(text, F.transform(find_all(text, TOKEN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.try_element_at(vault, m["text"]).alias("replacement"))))

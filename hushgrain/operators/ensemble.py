@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hushgrain.sources.shared import rows_of, written
+
+#: Routes that are broadcast (two short strings each).
+BROADCAST_ROUTES = 100_000
+
 
 def check(models: list[str], min_votes: int, tie_break: str) -> None:
     if not models:
@@ -62,8 +67,11 @@ def sweep(spans: DataFrame, models: list[str]) -> DataFrame:
 
 
 def routed(spans: DataFrame, routes: DataFrame) -> DataFrame:
-    """A model's spans of the types it is routed. routes: (entity_type, model), a row for each type."""
-    return spans.join(F.broadcast(routes.limit(64)), ["entity_type", "model"], "left_semi")
+    """A model's spans of the types it is routed. routes: (entity_type, model), a row for each type; they
+    are counted, and broadcast if they are few."""
+    routes = written(routes, "routes")
+    few = rows_of(routes, BROADCAST_ROUTES) <= BROADCAST_ROUTES
+    return spans.join(F.broadcast(routes) if few else routes, ["entity_type", "model"], "left_semi")
 
 
 def collected(spans: DataFrame, *keys: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Scoring of span detectors against gold annotations.
 
-Matching is greedy and one to one, in the order of the predictions, within a document: one fold over
-its arrays, without a shuffle. Counts are then summed in a long table.
+Matching is greedy and one to one, in the order of the predictions, within a document: one Arrow
+function over its arrays, without a shuffle. Counts are then summed in a long table.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from hushgrain.functions.text import empty, overlaps
+from hushgrain.functions.text import apart, empty, overlaps
 from hushgrain.schema import ALL, ENTITY_TYPES, PREDICTED
 
 MODES = ("partial", "exact")
@@ -32,25 +34,54 @@ def scored(predicted: Column) -> Column:
     return F.filter(predicted, lambda p: p["entity_type"].isin(*ENTITY_TYPES))
 
 
-def match(predicted: Column, golden: Column, mode: str) -> Column:
+def greedy(start: list[int], end: list[int], kind: list[str], g_start: list[int], g_end: list[int], g_kind: list[str], exact: bool) -> list[int]:
     """For each prediction, the position in gold that it takes: the first free one of its type that
-    it fits, or -1."""
-    places = F.when(F.size(golden) > 0, F.sequence(F.lit(0), F.size(golden) - 1)).otherwise(empty("array<int>"))
+    it fits, or -1. Gold spans are found by place, or in their order from the first that is free."""
+    by: dict = {}
+    for i, k in enumerate(g_kind):
+        by.setdefault((k, g_start[i], g_end[i]) if exact else k, []).append(i)
+    out = []
+    if exact:
+        for own in by.values():
+            own.reverse()
+        for x in zip(kind, start, end):
+            free = by.get(x)
+            out.append(free.pop() if free else -1)
+        return out
+    for k, a, z in zip(kind, start, end):
+        free = by.get(k, ())
+        n = next((n for n, i in enumerate(free) if g_start[i] < z and g_end[i] > a), -1)
+        out.append(free.pop(n) if n >= 0 else -1)
+    return out
+
+
+def match(predicted: Column, golden: Column, mode: str) -> Column:
+    """greedy for each document: array<int>. One Arrow function over columns of numbers."""
+    slim = lambda spans: apart(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"))))
 
-    def step(taken: Column, p: Column) -> Column:
-        free = F.filter(places, lambda i: (F.get(golden, i)["entity_type"] == p["entity_type"]) & fits(p, F.get(golden, i), mode) & ~F.array_contains(taken, i))
-        return F.concat(taken, F.array(F.coalesce(F.get(free, F.lit(0)), F.lit(-1)).cast("int")))
+    @arrow_udf("array<int>")
+    def run(said: pa.Array, gold_: pa.Array) -> pa.Array:
+        sides = []
+        for lists in (said, gold_):
+            at = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            sides.append((at, *(lists.flatten().field(c).to_pylist() for c in ("start", "end", "entity_type"))))
+        (at, *p), (g_at, *g) = sides
+        out = []
+        for a, z, b, y in zip(at, at[1:], g_at, g_at[1:]):
+            out += greedy(*(c[a:z] for c in p), *(c[b:y] for c in g), mode == "exact")
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.int32()))
 
-    return F.aggregate(predicted, empty("array<int>"), step)
+    return run(slim(predicted), slim(golden))
 
 
 def outcomes(docs: DataFrame, mode: str, *keys: str) -> DataFrame:
-    """docs: keys, predicted, gold. One row (keys, entity_type, outcome tp/fp/fn) for each prediction
-    and each gold span left over."""
+    """docs: keys, predicted, gold. One row (keys, entity_type, outcome tp/fp/fn, start, end) for each
+    prediction and each gold span left over."""
     own = docs.select(*keys, F.coalesce(scored(F.col("predicted")), empty(f"array<{PREDICTED}>")).alias("p"), F.coalesce("gold", empty(f"array<{PREDICTED}>")).alias("g"))
     own = own.withColumn("m", match(F.col("p"), F.col("g"), mode))
     said = F.transform("p", lambda p, i: F.struct(p["entity_type"].alias("entity_type"), F.when(F.get("m", i) >= 0, "tp").otherwise("fp").alias("outcome"), p["start"].alias("start"), p["end"].alias("end")))
-    left = F.filter(F.transform("g", lambda g, i: F.struct(g["entity_type"].alias("entity_type"), F.when(F.array_contains("m", i), "tp").otherwise("fn").alias("outcome"), g["start"].alias("start"), g["end"].alias("end"))), lambda x: x["outcome"] == "fn")
+    missed = F.array_except(F.when(F.size("g") > 0, F.sequence(F.lit(0), F.size("g") - 1)).otherwise(empty("array<int>")), "m")
+    left = F.transform(missed, lambda i: F.struct(F.get("g", i)["entity_type"].alias("entity_type"), F.lit("fn").alias("outcome"), F.get("g", i)["start"].alias("start"), F.get("g", i)["end"].alias("end")))
     return own.select(*keys, F.explode(F.concat(said, left)).alias("o")).select(*keys, "o.*")
 
 
@@ -168,6 +199,12 @@ def top_documents(docs: DataFrame, n: int = 10) -> DataFrame:
     return docs.select("doc_id", F.size("entity_mentions").cast("long").alias("n_mentions")).orderBy(F.desc("n_mentions"), "doc_id").limit(n)
 
 
+def nth_document(docs: DataFrame, nth: int = 3) -> DataFrame:
+    """The row of top_documents that comes nth: to pick one that is rich, but no outlier."""
+    order = Window.orderBy(F.desc("n_mentions"), "doc_id")  # of nth rows at most
+    return top_documents(docs, nth).withColumn("nth", F.row_number().over(order)).where(F.col("nth") == nth).drop("nth")
+
+
 def distinct_direct(docs: DataFrame) -> DataFrame:
     """(doc_id, entity_type, text, first): distinct DIRECT spans with their first position."""
     rows = docs.select("doc_id", F.explode(F.filter("spans", lambda s: s["identifier_role"] == "DIRECT")).alias("s"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from hushgrain.functions.normalise import normalise
 from hushgrain.functions.text import strip
-from hushgrain.sources.shared import written
+from hushgrain.sources.shared import drop, rows_of, written
 
 QUASI_TYPES = ("DEM", "DATETIME", "LOC", "QUANTITY")
 #: A haystack of at most so many fingerprints may be broadcast (about 100 bytes each).
@@ -80,19 +80,29 @@ def seeded(docs: DataFrame, signature: str, copies: int) -> DataFrame:
     return docs.where(F.size(signature) > 0).groupBy(F.col(signature).alias("signature")).agg((F.count("*") * copies).alias("cnt"))
 
 
-def k_for(docs: DataFrame, hay: DataFrame, signature_cols: list[str], k_cols: list[str]) -> DataFrame:
+def k_for(docs: DataFrame, hay: DataFrame, signature_cols: list[str], k_cols: list[str], by: str = "doc_id") -> DataFrame:
     """docs with the k of each signature column: how often the haystack has it, 1 at least; for an
-    empty signature the haystack's size, 1 at least. Null signatures have a null k. Each lookup is a
-    broadcast join while the haystack is small, by count; else Spark shuffles it."""
-    keyed = hay.select(signature_key(F.col("signature")).alias("key"), "cnt").groupBy("key").agg(F.sum("cnt").alias("cnt"))
-    n, total = keyed.agg(F.count("*"), F.coalesce(F.sum("cnt"), F.lit(0))).first()
-    small = n <= BROADCAST_SIGNATURES
+    empty signature the haystack's size, 1 at least. Null signatures have a null k. The haystack is
+    counted: while it is small each lookup is a broadcast join. Beyond that, all columns are looked up
+    together: slim rows (row, column, digest), without empty or null signatures, meet the haystack in
+    one join, are put together by row and joined back; no text is shuffled with the signatures. `by`
+    must not be null there (a row without it finds nothing)."""
+    keyed = written(hay.select(signature_key(F.col("signature")).alias("_key"), "cnt").groupBy("_key").agg(F.sum("cnt").alias("_cnt")), "haystack")
+    total = keyed.agg(F.coalesce(F.sum("_cnt"), F.lit(0))).first()[0]
+    value = lambda sig, cnt: F.when(F.col(sig).isNotNull(), F.when(F.size(sig) == 0, F.lit(max(int(total), 1)).cast("long")).otherwise(F.greatest(F.coalesce(cnt, F.lit(0)), F.lit(1)).cast("long")))
+    if rows_of(keyed, BROADCAST_SIGNATURES) <= BROADCAST_SIGNATURES:
+        for sig, k in zip(signature_cols, k_cols):
+            side = F.broadcast(keyed.select(F.col("_key").alias("_own"), "_cnt"))
+            docs = docs.withColumn("_own", signature_key(F.col(sig))).join(side, "_own", "left").withColumn(k, value(sig, F.col("_cnt"))).drop("_own", "_cnt")
+        return docs
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.size(sig) > 0, signature_key(F.col(sig))).alias("_key")) for i, sig in enumerate(signature_cols)])
+    slim = docs.select(by, F.explode(asked).alias("x")).where("x._key is not null").select(by, "x.i", "x._key").distinct()
+    found = slim.join(keyed, "_key").groupBy(by, "_key").agg(F.first("_cnt").alias("_cnt"))
+    of = found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_key", "_cnt"))).alias("_found"))  # at most one for each column and row of `by`
+    joined = docs.join(of, by, "left")
     for sig, k in zip(signature_cols, k_cols):
-        side = keyed.select(F.col("key").alias("_key"), F.col("cnt").alias("_cnt"))
-        found = docs.withColumn("_own", signature_key(F.col(sig))).join(F.broadcast(side) if small else side, F.col("_own") == F.col("_key"), "left")
-        value = F.when(F.size(sig) == 0, F.lit(max(int(total), 1)).cast("long")).otherwise(F.greatest(F.coalesce("_cnt", F.lit(0)), F.lit(1)).cast("long"))
-        docs = found.withColumn(k, F.when(F.col(sig).isNotNull(), value)).drop("_own", "_key", "_cnt")
-    return docs
+        joined = joined.withColumn(k, value(sig, F.try_element_at("_found", signature_key(F.col(sig)))))
+    return joined.drop("_found")
 
 
 def is_safe(k: Column, k_target: int = 5) -> Column:
