@@ -207,16 +207,24 @@ def located(text: str, needles: list[tuple[str, str]]) -> list[tuple[int, int, s
     return sorted(out)
 
 
-_REGISTRY: dict[str, Callable[[], Detector]] = {"rules": rule_detector}
+_REGISTRY: dict[str, Callable[[str | None], Detector]] = {"rules": lambda _: rule_detector()}
 
 
-def register(name: str, make: Callable[[], Detector]) -> None:
+def register(name: str, make: Callable[[str | None], Detector]) -> None:
+    """make takes a model's name or path, or None."""
     _REGISTRY[name] = make
 
 
-def detector(*names: str) -> Detector:
-    """The first registered detector of some names; raises if none is."""
+def detector(*names: str, model: str | None = None) -> Detector:
+    """The first of some detectors, by name, that is registered and whose library is installed; raises if
+    none is. model: which of the detector's models."""
+    missing = []
     for n in names:
-        if n in _REGISTRY:
-            return _REGISTRY[n]()
-    raise KeyError(f"no detector of {names}; there are {sorted(_REGISTRY)}")
+        if n not in _REGISTRY:
+            missing.append(f"{n}: unknown")
+            continue
+        try:
+            return _REGISTRY[n](model)
+        except ImportError as e:
+            missing.append(f"{n}: {e}")
+    raise KeyError(f"no detector ({'; '.join(missing)}); there are {sorted(_REGISTRY)}")

@@ -71,7 +71,7 @@ def match(predicted: Column, golden: Column, mode: str) -> Column:
             out += greedy(*(c[a:z] for c in p), *(c[b:y] for c in g), mode == "exact")
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.int32()))
 
-    return run(slim(predicted), slim(golden))
+    return apart(run(slim(predicted), slim(golden)))
 
 
 def outcomes(docs: DataFrame, mode: str, *keys: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hushgrain.functions.tokens import letters_of
+from hushgrain.functions.text import find_all, splice
+from hushgrain.functions.tokens import letters, letters_of
 from hushgrain.operators.coref import bare
 
 
@@ -77,3 +78,24 @@ def vault_table(redacted: DataFrame) -> DataFrame:
 def vault_map(vaults: DataFrame) -> DataFrame:
     """(doc_id, vault as a map) of a vault table."""
     return vaults.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "original")))).alias("vault"))
+
+
+def slots(names: Column, vault: Column, kinds: tuple[str, ...] = ("PERSON", "ORG")) -> Column:
+    """map<slot, token> for answers written in slots such as PERSON_A. names: array<struct<text,
+    entity_type>> in order of appearance; the tokens that they have in the vault (array of entries,
+    whatever their case) take a type's letters in the order in which they first appear."""
+    token = lambda n: F.try_element_at(F.transform(F.filter(vault, lambda v: F.lower(v["original"]) == F.lower(n["text"])), lambda v: v["token"]), F.lit(1))
+
+    def of(kind: str) -> Column:
+        found = F.array_distinct(F.array_compact(F.transform(F.filter(names, lambda n: n["entity_type"] == kind), token)))
+        return F.transform(found, lambda t, i: F.struct(F.concat(F.lit(f"{kind}_"), letters(i)).alias("key"), t.alias("value")))
+
+    return F.map_from_entries(F.concat(*map(of, kinds)))
+
+
+def filled(template: Column, slot_map: Column) -> Column:
+    """A template with each {SLOT} replaced by its token, or by the slot in brackets if it has none."""
+    found = find_all(template, "\\{[A-Z]+_[A-Z]+\\}")
+    name = lambda m: F.substring(m["text"], F.lit(2), F.length(m["text"]) - 2)
+    put = lambda m: F.coalesce(F.try_element_at(slot_map, name(m)), F.concat(F.lit("["), name(m), F.lit("]")))
+    return splice(template, F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), put(m).alias("replacement"))))

@@ -50,6 +50,7 @@ def lite_audit(redacted: DataFrame, pseudonymise: bool = False) -> DataFrame:
     rationale, iteration, replacement."""
     s = F.col("s")
     kind = s["entity_type"]
+    # The sentences of the rationales, here and in pro_audit.
     how = (
         F.concat(F.lit("DIRECT identifier ("), kind, F.lit("); pseudonymised to "), s["replacement"], F.lit(" (vault keeps the original)."))
         if pseudonymise
@@ -158,6 +159,14 @@ def pro_audit(redacted: DataFrame, k_target: int = 5, max_iterations: int = 5, p
     )
 
 
+def by_iteration(audit: DataFrame) -> DataFrame:
+    """(doc_id, iteration, entries): each document's audit entries in their order, by iteration."""
+    order = ("phase", "pos") if "phase" in audit.columns else ("seq",)
+    names = [c for c in audit.columns if c not in ("doc_id", "iteration", *order)]
+    entries = audit.groupBy("doc_id", "iteration").agg(F.array_sort(F.collect_list(F.struct(*order, *names))).alias("e"))
+    return entries.select("doc_id", "iteration", F.transform("e", lambda e: F.struct(*[e[n].alias(n) for n in names])).alias("entries"))
+
+
 def first_per_action(audit: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n entries of each document's audit for each action."""
     from pyspark.sql.window import Window

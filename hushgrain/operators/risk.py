@@ -95,10 +95,9 @@ def k_for(docs: DataFrame, hay: DataFrame, signature_cols: list[str], k_cols: li
             side = F.broadcast(keyed.select(F.col("_key").alias("_own"), "_cnt"))
             docs = docs.withColumn("_own", signature_key(F.col(sig))).join(side, "_own", "left").withColumn(k, value(sig, F.col("_cnt"))).drop("_own", "_cnt")
         return docs
-    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.size(sig) > 0, signature_key(F.col(sig))).alias("_key")) for i, sig in enumerate(signature_cols)])
-    slim = docs.select(by, F.explode(asked).alias("x")).where("x._key is not null").select(by, "x.i", "x._key").distinct()
-    found = slim.join(keyed, "_key").groupBy(by, "_key").agg(F.first("_cnt").alias("_cnt"))
-    of = found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_key", "_cnt"))).alias("_found"))  # at most one for each column and row of `by`
+    asked = F.array(*[F.when(F.size(sig) > 0, signature_key(F.col(sig))) for sig in signature_cols])
+    slim = docs.select(by, F.explode(asked).alias("_key")).where("_key is not null").distinct()
+    of = slim.join(keyed, "_key").groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_key", "_cnt"))).alias("_found"))  # at most one for each column and row of `by`
     joined = docs.join(of, by, "left")
     for sig, k in zip(signature_cols, k_cols):
         joined = joined.withColumn(k, value(sig, F.try_element_at("_found", signature_key(F.col(sig)))))

@@ -28,9 +28,9 @@ _PATTERNS = (
 )
 
 
-def _spans(table: str, key: str, text: str) -> str:
+def _spans(table: str, key: str, text: str, more: str = "0") -> str:
     """Tables up to `found`(row, doc_id, s, e, kind, txt): matches by pattern, then by precedence."""
-    out = f"WITH src AS (SELECT row_number() OVER () AS row, {key} AS doc_id, replace({text}, chr(1), chr(2)) AS t FROM {table})"
+    out = f"WITH src AS (SELECT row_number() OVER () AS row, {more} AS more, {key} AS doc_id, replace({text}, chr(1), chr(2)) AS t FROM {table})"
     kept = []
     for i, (pattern, kind) in enumerate(_PATTERNS):
         out += f""",
@@ -50,7 +50,7 @@ k{i} AS (SELECT row, doc_id, CAST(e - length(txt) AS INTEGER) AS s, e, '{kind}'
 _SHOW = "SELECT doc_id, s AS start, e AS \"end\", kind AS entity_type, txt AS text, 'regex' AS source FROM found"
 SQL["detect_spans_documents"] = _spans("documents", "doc_id", "text") + _SHOW
 SQL["detect_spans_pages"] = _spans("pages", "page_id", "html") + _SHOW
-SQL["detect_spans_conversations"] = _spans("conversations", "conv_id", "text") + _SHOW
+SQL["detect_spans_conversations"] = _spans("conversations", "conv_id", "text", "turn") + _SHOW.replace("SELECT doc_id", "SELECT src.doc_id AS conv_id, src.more AS turn").replace("FROM found", "FROM found JOIN src USING (row)")
 SQL["span_type_counts"] = _spans("documents", "doc_id", "text") + "SELECT kind AS entity_type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM found GROUP BY 1"
 SQL["redact_contacts"] = (
     _spans("documents", "doc_id", "text")
@@ -213,6 +213,29 @@ SQL["pro_audit_counts"] = _cases(
   UNION ALL SELECT 'generalize', 3 FROM quasi JOIN fin ON doc = k WHERE safe IS NULL)
 SELECT action, iteration, count(*) AS n FROM e GROUP BY 1, 2"""
 )
+SQL["pro_audit"] = _cases(
+    _pro(1)
+    + f""", steps AS (
+  SELECT q.k, q.i, q.kind, q.txt, f.safe, f.level, a.kk AS k0, b.kk AS k1, s1.shown AS one, fi.shown AS final
+  FROM quasi q JOIN fin f ON f.doc = q.k JOIN ks a ON a.doc = q.k AND a.level = 0 JOIN ks b ON b.doc = q.k AND b.level = 1
+    JOIN shown s1 ON s1.k = q.k AND s1.i = q.i AND s1.level = 1 JOIN shown fi ON fi.k = q.k AND fi.i = q.i AND fi.level = f.level),
+e AS (
+  SELECT k, i, 'redact' AS action, 0 AS iteration, 'DIRECT identifier (' || kind || '); always suppressed.' AS rationale, '[' || kind || ']' AS replacement_step, '[' || kind || ']' AS replacement FROM seg WHERE {_DIRECT}
+  UNION ALL SELECT k, i, 'leave', 0, 'QUASI identifier (' || kind || '); residual k=' || k0 || ' ≥ k_target=5, no generalization needed.', NULL, NULL FROM steps WHERE safe = 0
+  UNION ALL SELECT k, i, 'generalize', 1, 'Generalized to level 1: ''' || txt || ''' → ''' || one || '''. Post-step k=' || k1 || '.', one, final FROM steps WHERE safe IS NULL OR safe > 0
+  UNION ALL SELECT k, i, 'generalize', 3, 'Iterate loop exhausted (k=' || k1 || ' < k_target=5); falling back to full suppression.', '[' || kind || ']', final FROM steps WHERE safe IS NULL)
+SELECT concat('case-', k) AS doc_id, s AS start, action, CAST(iteration AS INTEGER) AS iteration, rationale, replacement_step, replacement FROM e JOIN seg USING (k, i)"""
+)
+SQL["audit_by_iteration"] = _cases(
+    _pro(1)
+    + f""", e AS (
+  SELECT k, i, 0 AS iteration, kind FROM seg WHERE {_DIRECT}
+  UNION ALL SELECT k, i, 0, kind FROM quasi JOIN fin ON doc = k WHERE safe = 0
+  UNION ALL SELECT k, i, 1, kind FROM quasi JOIN fin ON doc = k WHERE safe IS NULL OR safe > 0
+  UNION ALL SELECT k, i, 3, kind FROM quasi JOIN fin ON doc = k WHERE safe IS NULL),
+o AS (SELECT e.*, seg.s, CASE WHEN {_ROLE.replace("kind", "e.kind")} = 'DIRECT' THEN 0 ELSE 1 END AS phase FROM e JOIN seg USING (k, i))
+SELECT concat('case-', k) AS doc_id, CAST(iteration AS INTEGER) AS iteration, count(*) AS n, string_agg(kind, ',' ORDER BY phase, s) AS kinds FROM o GROUP BY k, iteration"""
+)
 SQL["context_windows"] = _cases(" SELECT m.doc_id, CAST(idx AS INTEGER) AS idx, substr(text, greatest(0, s - 40) + 1, e + 40 - greatest(0, s - 40)) AS context FROM men m JOIN doc USING (k)")
 SQL["distinct_direct"] = _cases(f" SELECT doc_id, kind AS entity_type, txt AS text, min(s) AS first FROM gold WHERE {_ROLE} = 'DIRECT' GROUP BY 1, 2, 3")
 
@@ -223,6 +246,12 @@ SQL["pseudonymise"] = _cases(f" SELECT concat('case-', k) AS doc_id, string_agg(
 SQL["vault_entries"] = _cases(_VAULT + " SELECT concat('case-', k) AS doc_id, '[' || kind || '_A]' AS token, original FROM vault")
 SQL["restore_text"] = _cases(_VAULT + " SELECT concat('case-', s.k) AS doc_id, string_agg(coalesce(original, t), '' ORDER BY i) AS restored FROM seg s LEFT JOIN vault v ON v.k = s.k AND v.kind = s.kind GROUP BY s.k")
 
+SQL["slot_round_trip"] = _cases(
+    _VAULT
+    + """, two AS (SELECT k, max(original) FILTER (kind = 'PERSON') AS person, max(original) FILTER (kind = 'ORG') AS org FROM vault GROUP BY k)
+SELECT concat('case-', k) AS doc_id, '[PERSON_A] sued [ORG_A]; see [ORG_B].' AS answer, person || ' sued ' || org || '; see [ORG_B].' AS restored FROM two"""
+)
+
 # Token labels
 SQL["token_windows"] = """WITH n AS (SELECT doc_id, len([x FOR x IN string_split(text, ' ') IF x <> '']) AS n FROM documents),
 w AS (SELECT doc_id, n, unnest(generate_series(0, greatest(1, CAST(ceil((n - 64) / 448.0) AS BIGINT)) - 1)) AS i FROM n WHERE n > 0)
@@ -278,6 +307,25 @@ SQL["mention_recall_by_type"] = _cases(_ENTITIES + f" SELECT model, kind AS enti
 SQL["missed_spans"] = _cases(" SELECT model, kind AS entity_type, count(*) AS n FROM gold g, (VALUES ('a'), ('b'), ('c')) mo(model) WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.model = mo.model AND p.doc_id = g.doc_id AND p.kind = g.kind AND p.s < g.e AND p.e > g.s) GROUP BY 1, 2")
 SQL["false_alarms"] = _cases(" SELECT model, kind AS entity_type, count(*) AS n FROM pred p WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE p.doc_id = g.doc_id AND p.kind = g.kind AND p.s < g.e AND p.e > g.s) GROUP BY 1, 2")
 
+# The rule detector on a case file, segment by segment: what is found of each, by whom.
+_RULES = f""", firm AS (SELECT k, t AS org, regexp_matches(t, '(Ltd|Inc|Corp|plc|GmbH|Court)$') AS known FROM seg WHERE i = 13),
+rule AS (
+  SELECT seg.k, i, CASE
+    WHEN i = 3 THEN 'QUANTITY' WHEN i = 5 AND lower(t) IN ({", ".join(f"'{x}'" for x in DEM_BROADER)}) THEN 'DEM' WHEN i = 7 AND lower(t) IN ({", ".join(f"'{x}'" for x in CITY_COUNTRY)}) THEN 'LOC'
+    WHEN i = 9 THEN 'DATETIME' WHEN i = 11 THEN 'CODE' WHEN i = 13 AND known THEN 'ORG' WHEN i = 15 THEN 'PERSON'
+    WHEN i = 17 AND regexp_matches(t, '^€(1[5-9][0-9][0-9]|20[0-9][0-9])$') THEN 'DATETIME' WHEN i = 17 AND length(t) > 2 THEN 'QUANTITY'
+    WHEN i = 19 AND lower(t) IN ({", ".join(f"'{x}'" for x in CITY_COUNTRY)}) THEN 'LOC' WHEN i = 19 AND known THEN 'ORG' END AS found,
+    CASE WHEN i = 11 THEN 'regex' WHEN i = 19 AND lower(t) NOT IN ({", ".join(f"'{x}'" for x in CITY_COUNTRY)}) THEN 'coref' ELSE 'ner' END AS source
+  FROM seg JOIN firm USING (k))"""
+SQL["rules_detect_counts"] = _cases(_RULES + f" SELECT found AS entity_type, {_ROLE.replace('kind', 'found')} AS identifier_role, source, count(*) AS n FROM rule WHERE found IS NOT NULL GROUP BY 1, 2, 3")
+SQL["mention_recall_coref"] = _cases(
+    _RULES
+    + """, ent AS (
+  SELECT g.k, i, ent, first_value(kind) OVER (PARTITION BY g.k, ent ORDER BY i) AS kind FROM (SELECT k, i, entity AS ent, kind FROM seg WHERE role IN ('DIRECT', 'QUASI')) g),
+lab AS (SELECT label, ent.k, ent.ent, count(*) AS n, count(*) FILTER (found = kind AND (label = 'coref' OR source <> 'coref')) AS f FROM ent JOIN rule USING (k, i), (VALUES ('baseline'), ('coref')) l(label) GROUP BY 1, 2, 3)
+SELECT label, count(*) AS n_entities, CAST(sum(n) AS BIGINT) AS n_mentions, round(avg(f / n), 9) AS macro_recall, round(sum(f) / greatest(1, sum(n)), 9) AS micro_recall FROM lab GROUP BY 1"""
+)
+
 # Ensembles
 _GROUPS = """, ord0 AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e, model, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM pred),
 grp AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e, model, ord) AS grp FROM ord0),
@@ -293,6 +341,31 @@ SQL["ensemble_union"] = _cases(_GROUPS + f" SELECT {_SPAN} FROM kept WHERE longe
 SQL["ensemble_consensus"] = _cases(_GROUPS + f" SELECT {_SPAN} FROM kept WHERE shortest = 1 AND n_voters >= 2")
 SQL["vote_sweep"] = _cases(_GROUPS + " SELECT CAST(v AS INTEGER) AS min_votes, kind AS entity_type, count(*) AS n FROM kept, (VALUES (1), (2), (3)) x(v) WHERE longest = 1 AND n_voters >= v GROUP BY 1, 2")
 _ROUTES = ", routes AS (SELECT entity_type, model FROM tidy WHERE entity_type <> '_ALL' QUALIFY row_number() OVER (PARTITION BY entity_type ORDER BY f1 DESC, model) = 1)"
+_STRATEGIES = "(VALUES ('a_alone'), ('b_alone'), ('c_alone'), ('min1'), ('min2'), ('min3'), ('routed')) mo(strategy)"
+_COMBINED = (
+    _GROUPS
+    + ", routes AS (SELECT entity_type, model FROM (WITH "
+    + _scores("exact", _EXACT).lstrip(", ")
+    + """ SELECT * FROM tidy) WHERE entity_type <> '_ALL' QUALIFY row_number() OVER (PARTITION BY entity_type ORDER BY f1 DESC, model) = 1),
+every AS (
+  SELECT model || '_alone' AS strategy, doc_id, s, e, kind, txt FROM pred
+  UNION ALL SELECT 'min' || v, doc_id, s, e, kind, txt FROM kept, (VALUES (1), (2), (3)) x(v) WHERE longest = 1 AND n_voters >= v
+  UNION ALL SELECT 'routed', doc_id, s, e, kind, txt FROM pred p JOIN routes r ON r.entity_type = p.kind AND r.model = p.model)"""
+)
+_SAID = "(SELECT *, row_number() OVER (PARTITION BY strategy, doc_id ORDER BY s, e, kind, txt) AS ord FROM every)"
+
+
+def _by_strategy(sql: str) -> str:
+    return sql.replace("model", "strategy").replace("FROM pred)", f"FROM {_SAID})")
+
+
+SQL["combiner_comparison"] = _cases(
+    _COMBINED
+    + ", in_both AS ("
+    + " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_scores(mode, _by_strategy(taken), 'strategy', _STRATEGIES).lstrip(', ')} SELECT * FROM tidy WHERE entity_type = '_ALL')" for mode, taken in (("partial", _PARTIAL), ("exact", _EXACT)))
+    + ") SELECT strategy, mode, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, tp, fp, fn FROM in_both"
+)
+SQL["third_document"] = _cases(" SELECT doc_id, n_mentions FROM (SELECT doc_id, count(*) AS n_mentions FROM ann WHERE annotator = '2' GROUP BY 1 ORDER BY n_mentions DESC, doc_id LIMIT 1 OFFSET 2)")
 SQL["routed_spans"] = _cases(_scores("exact", _EXACT) + _ROUTES + f" SELECT {_SPAN} FROM pred p JOIN routes r ON r.entity_type = p.kind AND r.model = p.model")
 
 # Summaries
@@ -326,3 +399,14 @@ SELECT doc_id, start, "end", entity_type, substr(text, start + 1, "end" - start)
 SQL["analyser_spans"] = _cases(' SELECT doc_id, s AS start, e AS "end", kind AS entity_type, txt AS text FROM men WHERE kind = \'CODE\'')
 SQL["simple_redact"] = _cases(" SELECT concat('case-', k) AS doc_id, string_agg(CASE WHEN role IN ('DIRECT', 'QUASI') THEN CASE kind WHEN 'DEM' THEN '[RAW_DEM]' ELSE '[' || kind || ']' END ELSE t END, '' ORDER BY i) AS redacted_text FROM seg GROUP BY k")
 SQL["seeded_sample"] = "SELECT doc_id FROM documents ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 20"
+SQL["token_scores"] = _cases(
+    _WORDS
+    + """, said AS (
+  SELECT *, CASE WHEN kind IS NULL OR (k + j) % 9 = 0 THEN NULL ELSE kind END AS p FROM w3),
+p3 AS (SELECT *, p IS DISTINCT FROM lag(p) OVER (PARTITION BY k ORDER BY j) AS pb FROM said),
+p4 AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY j) AS gi, sum(CASE WHEN pb THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY j) AS pi FROM p3),
+g AS (SELECT k, min(j) AS a, max(j) AS z, any_value(kind) AS kind FROM p4 WHERE kind IS NOT NULL GROUP BY k, gi),
+q AS (SELECT k, min(j) AS a, max(j) AS z, any_value(p) AS kind FROM p4 WHERE p IS NOT NULL GROUP BY k, pi),
+n AS (SELECT (SELECT count(*) FROM g JOIN q USING (k, a, z, kind)) AS tp, (SELECT count(*) FROM q) AS np, (SELECT count(*) FROM g) AS ng)
+SELECT round(tp / np, 9) AS precision, round(tp / ng, 9) AS recall, round(2 * tp / (np + ng), 9) AS f1, tp, np - tp AS fp, ng - tp AS fn FROM n"""
+)

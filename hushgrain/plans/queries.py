@@ -32,7 +32,9 @@ def detect_spans_pages(spark, sf_dir):
 
 
 def detect_spans_conversations(spark, sf_dir):
-    return _found(_docs(spark, sf_dir, "conversations", "conv_id"))
+    """Turns share their conversation's id, so a turn is told by both."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    return _found(turns).select("doc_id.*", "start", "end", "entity_type", "text", "source")
 
 
 def span_type_counts(spark, sf_dir):
@@ -215,6 +217,16 @@ def pro_audit_counts(spark, sf_dir):
     return redact.pro_audit(_pro(spark, sf_dir, 1), K_TARGET, 1).groupBy("action", "iteration").agg(F.count("*").alias("n"))
 
 
+def pro_audit(spark, sf_dir):
+    """Every decision with its reason."""
+    return redact.pro_audit(_pro(spark, sf_dir, 1), K_TARGET, 1).select("doc_id", "start", "action", "iteration", "rationale", "replacement_step", "replacement")
+
+
+def audit_by_iteration(spark, sf_dir):
+    grouped = redact.by_iteration(redact.pro_audit(_pro(spark, sf_dir, 1), K_TARGET, 1))
+    return grouped.select("doc_id", "iteration", F.size("entries").cast("long").alias("n"), F.array_join(F.transform("entries", lambda e: e["entity_type"]), ",").alias("kinds"))
+
+
 def context_windows(spark, sf_dir):
     rows = cases(spark, sf_dir).select("doc_id", "text", F.posexplode("entity_mentions").alias("idx", "m"))
     return rows.select("doc_id", "idx", context(F.col("text"), F.col("m.start_offset"), F.col("m.end_offset"), 40).alias("context"))
@@ -245,6 +257,17 @@ def restore_text(spark, sf_dir):
     return docs.select("doc_id", tokens.restore(F.col("redacted_text"), vault).alias("restored"))
 
 
+def slot_round_trip(spark, sf_dir):
+    """An answer made of the document's tokens, and restored."""
+    named = F.filter("spans", lambda s: s["entity_type"].isin("PERSON", "ORG"))
+    docs = _with_spans(spark, sf_dir).select("doc_id", F.transform(named, lambda s: F.struct(s["text"], s["entity_type"])).alias("names"))
+    rows = _pseudonymised(spark, sf_dir).select("doc_id", "vault").join(docs, "doc_id")
+    answer = pseudonym.filled(F.lit("{PERSON_A} sued {ORG_A}; see {ORG_B}."), pseudonym.slots(F.col("names"), F.col("vault")))
+    vault = F.map_from_entries(F.transform("vault", lambda v: F.struct(v["token"], v["original"])))
+    rows = rows.select("doc_id", answer.alias("answer"), vault.alias("vault"))
+    return rows.select("doc_id", "answer", tokens.restore(F.col("answer"), F.col("vault")).alias("restored"))
+
+
 def coref_spans(spark, sf_dir):
     """Mentions that short forms add to each case's full names."""
     full = F.filter(as_spans(F.col("entity_mentions")), lambda s: s["entity_type"].isin("PERSON", "ORG") & ~s["text"].startswith("Mrs ") & s["text"].contains(" "))
@@ -268,6 +291,14 @@ def bio_decode(spark, sf_dir):
     return rows.select("doc_id", "s.start", "s.end", "s.entity_type", "s.text")
 
 
+def token_scores(spark, sf_dir):
+    """Scores of a labeller that misses every ninth word or so."""
+    docs = cases(spark, sf_dir).select("k", bio.words(F.col("text")).alias("t"), evaluate.gold(F.col("entity_mentions")).alias("g"))
+    docs = docs.select("k", bio.encode(F.col("t"), F.col("g")).alias("golden"))
+    missing = F.transform("golden", lambda x, i: F.when((F.col("k") + i + 1) % 9 == 0, 0).otherwise(x))
+    return _rounded(bio.token_scores(docs.withColumn("said", missing), "said", "golden"))
+
+
 def token_windows(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", F.filter(F.split("text", " "), lambda x: x != "").alias("t"))
     return bio.windows(docs, "t", 512, 64).select("doc_id", "window", "first", F.size("tokens").alias("n_tokens"))
@@ -387,6 +418,10 @@ def top_documents(spark, sf_dir):
     return evaluate.top_documents(annotated(spark, sf_dir).where("annotator_id = '2'"), 10)
 
 
+def third_document(spark, sf_dir):
+    return evaluate.nth_document(annotated(spark, sf_dir).where("annotator_id = '2'"), 3)
+
+
 def examples_by_role(spark, sf_dir):
     return evaluate.examples(annotated(spark, sf_dir), 3)
 
@@ -395,11 +430,11 @@ _FUNCTIONS = (
     detect_spans_documents, detect_spans_pages, detect_spans_conversations, span_type_counts, role_counts, redact_contacts,
     rules_detect_counts, analyser_spans, simple_redact, seeded_sample, mention_recall_coref, label_mapping, normalise_facts, token_letters, bare_names, signatures, k_anonymity, k_distribution,
     haystack_k, min_facts_smart, min_facts_doc_order, reid_cdf, reid_threshold, reid_summary, reid_histogram, rarest_fact,
-    lite_redact, lite_audit, audit_first, pro_redact, pro_redact_short, pro_risk_summary, pro_audit_counts, context_windows,
-    distinct_direct, pseudonymise, vault_entries, restore_text, coref_spans, bio_encode, bio_decode, token_windows, eval_exact,
+    lite_redact, lite_audit, audit_first, pro_redact, pro_redact_short, pro_risk_summary, pro_audit_counts, pro_audit, audit_by_iteration, context_windows,
+    distinct_direct, pseudonymise, vault_entries, restore_text, slot_round_trip, coref_spans, bio_encode, bio_decode, token_scores, token_windows, eval_exact,
     eval_partial, mention_recall, mention_recall_by_type, missed_spans, false_alarms, f1_pivot, routing_table, ensemble_union,
     ensemble_consensus, vote_sweep, routed_spans, combiner_comparison, best_strategy, dataset_summary, annotator_disagreement,
-    top_documents, examples_by_role,
+    top_documents, third_document, examples_by_role,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
     "generalise_dates": _ladder("DATETIME"),

@@ -121,11 +121,14 @@ def test_pro_without_quasi_spans(spark):
     assert (r.mosaic_risk_final, r.iterations_used, r.converged) == (7, 0, True)
 
 
-def test_k_for(spark):
+def test_k_for(spark, monkeypatch):
     hay = haystack(spark, (RAW, 2), (ONE, 1))
     docs = spark.createDataFrame([(0, list(RAW)), (1, list(ONE)), (2, list(TWO)), (3, []), (4, None)], "i int, s array<struct<entity_type:string,value:string>>")
-    for h, want in ((hay, [2, 1, 1, 3, None]), (haystack(spark), [1, 1, 1, 1, None])):
-        assert [r.k for r in risk.k_for(docs, h, ["s"], ["k"]).orderBy("i").collect()] == want
+    for most in (200_000, 0):  # broadcast, and one shuffled join
+        monkeypatch.setattr(risk, "BROADCAST_SIGNATURES", most)
+        for h, want in ((hay, [2, 1, 1, 3, None]), (haystack(spark), [1, 1, 1, 1, None])):
+            found = risk.k_for(docs.withColumn("t", F.col("s")), h, ["s", "t"], ["k", "k2"], by="i").orderBy("i").collect()
+            assert [r.k for r in found] == want == [r.k2 for r in found]
 
 
 def test_pseudonyms():
@@ -193,6 +196,21 @@ def test_matching_conserves_counts(spark):
         assert totals(frame, mode) == tuple(map(sum, zip(*(greedy(p, g, fits) for _, p, g in rows))))
 
 
+def test_greedy_takes_the_first_free_span():
+    rng = random.Random(9)
+    for _ in range(3000):
+        spans = lambda n: [(a := rng.randrange(12), a + rng.randrange(0, 5), rng.choice("xy")) for _ in range(n)]
+        p, g = spans(rng.randrange(6)), spans(rng.randrange(6))
+        for exact in (True, False):
+            free, want = list(range(len(g))), []
+            for a, z, k in p:
+                hit = next((i for i in free if g[i][2] == k and (g[i][:2] == (a, z) if exact else g[i][0] < z and g[i][1] > a)), -1)
+                want.append(hit)
+                free = [i for i in free if i != hit]
+            columns = lambda x: [list(c) for c in zip(*x)] or [[], [], []]
+            assert evaluate.greedy(*columns(p), *columns(g), exact) == want
+
+
 def test_gold_leaves_out_unmasked(spark):
     docs = spark.createDataFrame([("d", "1", "train", "t", [mention(0, 1, "LOC"), mention(2, 3, "ORG", "NO_MASK"), mention(4, 5, "CODE", "DIRECT")])], ANNOTATED)
     assert [s.entity_type for s in docs.select(evaluate.gold(F.col("entity_mentions"))).first()[0]] == ["LOC", "CODE"]
@@ -280,6 +298,72 @@ def test_windows(spark, n, want):
     assert got == want
 
 
+def test_bio_against_plain_rules(spark):
+    rng, kinds = random.Random(4), ["ORG", "LOC", "PERSON", "NEW"]
+    rows = []
+    for d in range(120):
+        tokens, at = [], 0
+        for i in range(rng.randrange(14)):
+            if rng.random() < 0.15:
+                tokens.append((0, 0, None))
+            at += rng.randrange(3)
+            tokens.append((at, at + rng.randrange(1, 4), rng.choice((i, i, max(i - 1, 0), None))))
+            at = tokens[-1][1]
+        golden = [(a := rng.randrange(20), a + rng.randrange(8), rng.choice(kinds), "") for _ in range(rng.randrange(5))]
+        rows.append((d, "x" * 80, tokens, golden, [rng.choice((-100, 0, 99, None, *range(17))) for _ in tokens]))
+    frame = spark.createDataFrame(rows, f"d int, text string, t array<struct<start:int,end:int,word_id:int>>, g array<{PREDICTED}>, ids array<int>")
+    labelled = F.zip_with("t", "ids", lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), i.alias("label_id")))
+    got = frame.select("d", bio.encode(F.col("t"), F.col("g")).alias("e"), bio.decode(F.col("text"), labelled).alias("s")).collect()
+    for (_, _, tokens, golden, ids), r in zip(rows, sorted(got, key=lambda r: r.d)):
+        want, last, word = [], "O", None
+        for a, z, w in tokens:
+            if (a, z) == (0, 0):
+                want.append(-100)
+                word = None
+                continue
+            if w is not None and w == word:
+                want.append(-100)
+                continue
+            word = w
+            kind = next((k for s, e, k, _ in golden if s <= a and z <= e and k != "NEW"), None)
+            label = "O" if kind is None else ("I-" if last[2:] == kind else "B-") + kind
+            want.append(bio.LABEL_ID[label])
+            last = label
+        assert r.e == want
+        spans, open_ = [], None
+        for (a, z, _), i in zip(tokens, ids):
+            if (a, z) == (0, 0):
+                continue
+            label = bio.LABELS[i] if i is not None and 0 < i < 17 else "O"
+            if label[0] == "I" and open_ and open_[2] == label[2:]:
+                open_[1] = z
+            else:
+                open_ = [a, z, label[2:]] if label != "O" else None
+                spans += [open_] if open_ else []
+        assert [[s.start, s.end, s.entity_type] for s in r.s] == spans
+
+
+def test_a_long_document_is_labelled_in_linear_time(spark):
+    import time
+
+    text = "word " * 20_000
+    golden = [(a, a + 14, "ORG", "") for a in range(0, 100_000, 250)]
+    docs = spark.createDataFrame([(text, golden)], f"text string, g array<{PREDICTED}>").cache()
+    docs.count()
+    docs = docs.select("text", "g", bio.words(F.col("text")).alias("t"))
+    docs = docs.withColumn("t", F.zip_with("t", bio.encode(F.col("t"), F.col("g")), lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), i.alias("label_id"))))
+    began = time.time()
+    found = docs.select(F.size(bio.decode(F.col("text"), F.col("t")))).first()[0]
+    assert found == 400 and time.time() - began < 15  # 66 s when it was quadratic
+
+
+def test_token_scores(spark):
+    b, i, o = bio.LABEL_ID["B-ORG"], bio.LABEL_ID["I-ORG"], bio.LABEL_ID["B-LOC"]
+    rows = [([b, i, 0, o, b, 3], [b, i, 0, b, -100, 0])]
+    r = bio.token_scores(spark.createDataFrame(rows, "said array<int>, golden array<int>"), "said", "golden").first()
+    assert (r.tp, r.fp, r.fn) == (1, 2, 1)
+
+
 def test_windows_are_united(spark):
     rows = [("d", 0, 0, 3, "ORG", "abc"), ("d", 1, 0, 3, "ORG", "abc"), ("d", 1, 0, 3, "LOC", "abc")]
     frame = spark.createDataFrame(rows, "doc_id string, window int, start int, end int, entity_type string, text string")
@@ -317,6 +401,52 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.annotated(spark, f"{tmp_path}/ann").count() == 2
 
 
+def test_adapters(spark):
+    from types import SimpleNamespace as O
+
+    from hushgrain.operators import adapters
+
+    docs = docs_of(spark, "Ann of Paris", " \n")
+    said = lambda make: [[tuple(s) for s in r[0]] for r in docs.orderBy("doc_id").select(make(F.col("text"))).collect()]
+    grouped = adapters.token_pipeline(lambda: lambda t: [{"entity_group": "PER", "start": 0, "end": 3, "word": "ann"}, {"entity": "LOC", "start": 7, "end": 12}, {"entity": "NO", "start": 0, "end": 1}])
+    assert said(grouped) == [[(0, 3, "PERSON", "Ann"), (7, 12, "LOC", "Paris")], []]
+    parsed = adapters.entity_parser(lambda: lambda t: O(ents=[O(start_char=7, end_char=12, label_="GPE"), O(start_char=0, end_char=3, label_="ODD")]))
+    assert said(parsed) == [[(7, 12, "LOC", "Paris")], []]
+    analyser = adapters.scoring_analyser(lambda: O(analyze=lambda text, language: [O(start=0, end=3, entity_type="PERSON", score=0.4), O(start=7, end=12, entity_type="LOCATION", score=0.39)]))
+    assert said(analyser) == [[(0, 3, "PERSON", "Ann")], []]
+    person, place = bio.LABEL_ID["B-PERSON"], bio.LABEL_ID["I-LOC"]
+    windows = {"input_ids": [[1, 2], [2, 3]], "attention_mask": [[1, 1], [1, 1]], "offset_mapping": [[(0, 0), (0, 3)], [(0, 3), (7, 12)]]}
+    labels = {1: 0, 2: person, 3: place}
+    tuned = adapters.token_classifier(lambda: (lambda text, **options: windows, lambda ids, mask: [labels[i] for i in ids]))
+    assert said(tuned) == [[(0, 3, "PERSON", "Ann"), (7, 12, "LOC", "Paris")], []]
+    assert adapters.labelled_spans([person, person + 1, 0, place, person], [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]) == [(0, 2, "PERSON"), (3, 4, "LOC"), (4, 5, "PERSON")]
+
+
+def test_detectors_fall_back(spark):
+    def absent(model):
+        raise ImportError("no such library")
+
+    detect.register("absent", absent)
+    assert len(docs_of(spark, "in 1999").select(detect.detector("absent", "unknown", "rules")(F.col("text"))).first()[0]) == 1
+    with pytest.raises(KeyError, match="no such library"):
+        detect.detector("absent")
+
+
+def test_slots(spark):
+    vault = [("[PERSON_A]", "Ann Lee"), ("[PERSON_B]", "Bo"), ("[ORG_A]", "Acme")]
+    names = [("bo", "PERSON"), ("Paris", "LOC"), ("ANN LEE", "PERSON"), ("Bo", "PERSON"), ("Nobody", "PERSON")]
+    row = spark.createDataFrame([(names, vault)], "n array<struct<text:string,entity_type:string>>, v array<struct<token:string,original:string>>")
+    slots = pseudonym.slots(F.col("n"), F.col("v"))
+    got = row.select(slots.alias("s"), pseudonym.filled(F.lit("{PERSON_A} and {PERSON_B} of {ORG_A}"), slots).alias("t")).first()
+    assert got.s == {"PERSON_A": "[PERSON_B]", "PERSON_B": "[PERSON_A]"} and got.t == "[PERSON_B] and [PERSON_A] of [ORG_A]"
+
+
+def test_all_routes_count(spark):
+    spans = spark.createDataFrame([("d", "m", 0, 1, f"T{i}", "x") for i in range(200)], "doc_id string, model string, start int, end int, entity_type string, text string")
+    routes = spark.createDataFrame([(f"T{i}", "m") for i in range(150)], "entity_type string, model string")
+    assert ensemble.routed(spans, routes).count() == 150
+
+
 def test_failing_model_has_no_spans(spark):
     def load():
         def model(text):
@@ -350,3 +480,10 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["redact", str(source), "--variant", "pro", "--json"], spark)
     said = json.loads(capsys.readouterr().out)
     assert said["converged"] is False and said["iterations_used"] == 3 and {a["action"] for a in said["audit"]} == {"redact", "generalize"}
+    (tmp_path / "more").mkdir()
+    for name in "ab":
+        (tmp_path / "more" / f"{name}.txt").write_text(f"Mr {name.upper()}nn Lee", encoding="utf-8")
+    cli.main(["redact", str(tmp_path / "more"), "--ner", "absent-one,rules", "--vault-out", str(tmp_path / "vs.json")], spark)
+    assert json.loads((tmp_path / "vs.json").read_text()) == {"a": {"[PERSON_A]": "Mr Ann Lee"}, "b": {"[PERSON_A]": "Mr Bnn Lee"}}
+    with pytest.raises(SystemExit):
+        cli.main(["redact", str(source), "--variant", "pro", "--mosaic-haystack", "tab"], spark)
