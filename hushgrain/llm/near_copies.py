@@ -34,7 +34,7 @@ from pyspark.sql.functions import arrow_udf
 
 from hushgrain.llm import simhash
 from hushgrain.llm.components import components
-from hushgrain.llm.runtime import small_or_not, table
+from hushgrain.llm.runtime import drop, small_or_not, table
 from hushgrain.llm.worker import each, release
 
 SHINGLE = 5
@@ -113,11 +113,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.array(out, pa.bool_())
 
     pairs = table(pairs.distinct(), "pairs")
-    named = small_or_not(table(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "named"))
-    texts = table(texts.join(named, "row", "left_semi"), "texts")
+    named = table(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "named")
+    texts = table(texts.join(small_or_not(named), "row", "left_semi"), "texts")
     side = lambda name: texts.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return table(both.where(run("text_u", "text_v")).select("u", "v"), "similar")
+    out = table(both.where(run("text_u", "text_v")).select("u", "v"), "similar")
+    drop(pairs, named, texts)
+    return out
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -173,7 +175,8 @@ def cell_links(rows: np.ndarray, label: np.ndarray, sets: list[np.ndarray], side
 
 def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
     """members: (bucket, row, label, rows: how many the bucket has). Links within buckets."""
-    sets = table(texts.join(small_or_not(table(members.select("row").distinct(), "named")), "row", "left_semi").select("row", _sets(F.col("text")).alias("hashes")), "sets")
+    named = table(members.select("row").distinct(), "named")
+    sets = table(texts.join(small_or_not(named), "row", "left_semi").select("row", _sets(F.col("text")).alias("hashes")), "sets")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("row"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
@@ -203,7 +206,9 @@ def _compared(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     keys = ["bucket", F.col("cell.i").alias("i"), F.col("cell.j").alias("j")]
     cells = dealt.select(*keys, "row", "label", "side", "hashes").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return table(cells.mapInArrow(run, "u long, v long").distinct(), "similar")
+    out = table(cells.mapInArrow(run, "u long, v long").distinct(), "similar")
+    drop(named, sets)
+    return out
 
 
 def links(nodes: DataFrame, texts: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -228,7 +233,9 @@ def links(nodes: DataFrame, texts: DataFrame, max_bits: int = 3) -> DataFrame:
     labelled = table(_labelled(members, found), "labelled")
     mixed = table(labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket"), "mixed")
     still = table(labelled.join(small_or_not(mixed), "bucket", "left_semi").select("bucket", "row", "label", "rows"), "still")
-    return found.unionByName(_compared(still, texts))
+    out = table(found.unionByName(_compared(still, texts)), "found")
+    drop(first_of, near, shared, members, found, labelled, mixed, still)
+    return out
 
 
 def without_copies(docs: DataFrame, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hushgrain.llm.runtime import small_or_not, table
+from hushgrain.llm.runtime import drop, small_or_not, table
 from hushgrain.llm.worker import each, release
 
 # Fixed values of the base limits.
@@ -103,7 +103,7 @@ def stats(text: Column) -> Column:
         cols = list(zip(*map(text_stats, each(texts)))) or [()] * len(STATS)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=list(kind))
 
-    return run(text)
+    return run.asNondeterministic()(text)  # so that Spark doesn't run it again for a filter
 
 
 def base_failed(s: Column) -> Column:
@@ -251,7 +251,8 @@ def fit(rows: DataFrame, coverage: float = 0.75, steps: int = 4, prior_rows: flo
     for _ in range(steps):
         cell = F.least(F.floor(F.log2(1.0 + _distance()) * grid), F.lit(_DOUBLINGS * grid)).cast("int").alias("cell")
         cells = levels.join(small_or_not(model.select("g", "start", "center", "whitening")), "g").groupBy("g", "start", cell).agg(*sums)
-        model = table(cells.groupBy("g", "start").applyInPandas(concentrate, _MODEL), "mcd")
+        before, model = model, table(cells.groupBy("g", "start").applyInPandas(concentrate, _MODEL), "mcd")
+        drop(before)
     best = model.groupBy("g").agg(F.min_by(F.struct("n", "center", "cov"), F.struct("logdet", "start")).alias("m"))
     best = table(best, "mcd")
     of = rows.select("g_lang", "g_source").distinct()
@@ -271,7 +272,9 @@ def fit(rows: DataFrame, coverage: float = 0.75, steps: int = 4, prior_rows: flo
                 out.append((r["g_lang"], r["g_source"], own[0], center.tolist(), _whitening(regularised(cov, coverage))))
             yield pd.DataFrame(out, columns=["g_lang", "g_source", "n", "center", "whitening"])
 
-    return table(three.select("g_lang", "g_source", "own", "lang", "every").mapInPandas(shrunk, "g_lang string, g_source string, n double, center array<double>, whitening array<double>"), "mcd")
+    out = table(three.select("g_lang", "g_source", "own", "lang", "every").mapInPandas(shrunk, "g_lang string, g_source string, n double, center array<double>, whitening array<double>"), "mcd")
+    drop(levels, model, best)
+    return out
 
 
 def judged(rows: DataFrame, model: DataFrame, stat: Column, tail: float) -> DataFrame:
@@ -293,9 +296,11 @@ def assess(docs: DataFrame, coverage: float = 0.75, tail: float = TAIL, prior_ro
 
 
 def keep(docs: DataFrame, coverage: float = 0.75, tail: float = TAIL, prior_rows: float = 200, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their columns. Statistics are counted once and written
-    beside the rows; texts are not shuffled."""
+    """The rows of docs that are kept, with their columns. Statistics are counted twice, once to fit
+    and once to judge, so that no text is shuffled or stored."""
     own = [F.col("doc").getField(c).alias(c) for c in docs.columns]
-    counted = table(docs.select(F.struct("*").alias("doc"), "lang", "source", stats(F.col(text_col)).alias("s")), "stats")
-    model = fit(grouped(counted.select("lang", "source", "s"), F.col("s")), coverage, prior_rows=prior_rows)
+    slim = table(docs.select("lang", "source", stats(F.col(text_col)).alias("s")), "stats")
+    model = fit(grouped(slim, F.col("s")), coverage, prior_rows=prior_rows)
+    drop(slim)
+    counted = docs.select(F.struct("*").alias("doc"), "lang", "source", stats(F.col(text_col)).alias("s"))
     return judged(grouped(counted, F.col("s")), model, F.col("s"), tail).where("kept").select(*own)

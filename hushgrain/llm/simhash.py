@@ -6,7 +6,7 @@ error whenever the two sides take different branches, and drops the pair once th
 the budget. To spread the work, fingerprints are dealt out by each of budget + 1 blocks of bits
 (two that link agree on one block at least) and one trie is built for each block's value. A value
 with very many fingerprints is split into pairs of its next trie nodes, those within the budget
-only. Only distinct fingerprints are joined, and a task returns a spanning forest of its links, so
+only, and so on until no pair has many. Only distinct fingerprints are joined, and a task returns a spanning forest of its links, so
 nothing grows with the square of a group.
 
 Nulls and ties: a null text or one without words has fingerprint 0; rows with a null doc_id get a
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -158,35 +159,46 @@ def trie_forest(values: np.ndarray, roots: list[np.ndarray], depth: int, budget:
     return forest.label
 
 
-def _join_groups(group: np.ndarray, value: np.ndarray, width: int, cell: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (value, value) of whole groups, given with all their rows."""
-    order = np.lexsort((value, group))
-    group, value = group[order], value[order]
+def _join_groups(group: np.ndarray, side: np.ndarray, depth: np.ndarray, used: np.ndarray, value: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (value, value) of whole groups, given with all their rows. A group is a trie node
+    with itself (side 2) or a pair of nodes (sides 0 and 1), at a depth, with the bits that differ."""
+    order = np.lexsort((value, side, group))
+    group, side, depth, used, value = (x[order] for x in (group, side, depth, used, value))
     lo = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     hi = np.append(lo[1:], len(group))
-    c1, c2 = (group[lo] >> np.int64(8)) & 255, group[lo] & 255  # 255: the group isn't split
-    label = np.arange(len(value))
-    whole = c1 == 255
-    if whole.any():
-        a, b = lo[whole], hi[whole]
-        label = trie_forest(value, [a, b, a, b, np.zeros(len(a), np.int64)], width, budget)
-    i = np.flatnonzero(label != np.arange(len(value)))
-    out = [(value[i], value[label[i]])]
-    for a, b, x, y in zip(lo[~whole], hi[~whole], c1[~whole], c2[~whole]):
-        part = value[a:b]
-        cells = (part >> np.uint64(64 - width - cell)) & np.uint64((1 << cell) - 1)
-        end = int(np.searchsorted(cells, np.uint64(x), "right"))
-        second = (0, end) if x == y else (end, len(part))
-        root = [np.array([k], np.int64) for k in (0, end, *second, int(x ^ y).bit_count())]
-        own = trie_forest(part, root, width + cell, budget)
-        k = np.flatnonzero(own != np.arange(len(own)))
-        out.append((part[k], part[own[k]]))
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+    middle = lo + np.add.reduceat(side == 0, lo) if len(lo) else lo
+    own = side[lo] == 2
+    roots = [lo, np.where(own, hi, middle), np.where(own, lo, middle), hi, used[lo]]
+    u, v = [], []
+    for d in np.unique(depth[lo]).tolist():
+        label = trie_forest(value, [x[depth[lo] == d] for x in roots], d, budget)
+        i = np.flatnonzero(label != np.arange(len(label)))
+        u.append(value[i])
+        v.append(value[label[i]])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def _split(rows: DataFrame, max_bits: int, cell: int) -> DataFrame:
+    """Rows of groups, dealt to the pairs of child nodes within the budget, `cell` bits deeper."""
+    own = F.shiftrightunsigned(F.expr("shiftleft(value, depth)"), 64 - cell).bitwiseAND(F.lit((1 << cell) - 1)).cast("int")
+    masks = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(m.bit_count()).alias("bits")) for m in range(1 << cell) if m.bit_count() <= max_bits])
+
+    def child(x: Column) -> Column:
+        other = own.bitwiseXOR(x["m"])
+        right = (F.col("side") == 1) | ((F.col("side") == 2) & (own > other))  # of a node with itself, the lesser child is on the left
+        side = F.when((F.col("side") == 2) & (x["m"] == 0), 2).when(right, 1).otherwise(0)
+        pair = F.concat_ws(".", F.when(right, other).otherwise(own), F.when(right, own).otherwise(other))
+        return F.struct(F.concat_ws("/", "path", pair).alias("path"), side.alias("side"), (F.col("used") + x["bits"]).alias("used"))
+
+    children = F.transform(F.filter(masks, lambda x: F.col("used") + x["bits"] <= max_bits), child)
+    dealt = rows.withColumn("x", F.explode(children))
+    return dealt.select("bucket", F.col("x.path").alias("path"), (F.col("depth") + cell).alias("depth"), F.col("x.side").alias("side"), F.col("x.used").alias("used"), "value", "block")
 
 
 def links(classes: DataFrame, max_bits: int = 3, hot_rows: int = 20_000, cell: int = 6, batch_rows: int = 200_000) -> DataFrame:
     """classes: distinct fingerprints (fp long). Returns links (u, v) whose components are those of
-    all pairs at max_bits or fewer differing bits."""
+    all pairs at max_bits or fewer differing bits. No task gets a group of more than hot_rows
+    fingerprints, unless they can't be told apart."""
     blocks = max_bits + 1
     width = min(16, 64 // blocks)
     step = 64 // blocks
@@ -196,39 +208,47 @@ def links(classes: DataFrame, max_bits: int = 3, hot_rows: int = 20_000, cell: i
         return fp if not k else F.shiftleft(fp, k * step).bitwiseOR(F.shiftrightunsigned(fp, 64 - k * step))
 
     dealt = classes.select(F.explode(F.array(*[F.struct(F.lit(k).alias("block"), rotated(k).alias("value")) for k in range(blocks)])).alias("x")).select("x.*")
-    top = F.shiftrightunsigned("value", 64 - width)
-    dealt = dealt.withColumn("bucket", F.col("block").cast("long") * (1 << width) + top)
-    hot = table(dealt.groupBy("bucket").count().where(F.col("count") > hot_rows).select("bucket", F.lit(True).alias("hot")), "hot")
-    if hot.isEmpty():
-        keyed = dealt.withColumn("group", F.col("bucket") * 65536 + 65535)
-    else:  # each row meets the cells that differ from its own in max_bits or fewer bits
-        masks = [m for m in range(1 << cell) if m.bit_count() <= max_bits]
-        own = F.shiftrightunsigned("value", 64 - width - cell).bitwiseAND(F.lit((1 << cell) - 1))
-        pairs = F.transform(F.array(*map(F.lit, masks)), lambda m: F.least(own, own.bitwiseXOR(m)) * 256 + F.greatest(own, own.bitwiseXOR(m)))
-        marked = dealt.join(small_or_not(hot), "bucket", "left")  # rows(hot) <= rows(dealt) / hot_rows
-        keyed = marked.withColumn("pair", F.explode(F.when(F.col("hot"), pairs).otherwise(F.array(F.lit(65535).cast("long"))))).withColumn("group", F.col("bucket") * 65536 + F.col("pair"))
+    bucket = F.col("block").cast("long") * (1 << width) + F.shiftrightunsigned("value", 64 - width)
+    rows = dealt.select(bucket.alias("bucket"), F.lit("").alias("path"), F.lit(width).alias("depth"), F.lit(2).alias("side"), F.lit(0).alias("used"), "value", "block")
+    keyed = None
+    for depth in range(width, 65, cell):
+        sizes = rows.groupBy("bucket", "path").agg(F.count("*").alias("n"), F.min("side").alias("a"), F.max("side").alias("z"))
+        lone = (F.col("a") == F.col("z")) & (F.col("a") < 2)  # a pair of which one node is empty
+        hot = table(sizes.where(lone | (F.col("n") > hot_rows)).select("bucket", "path", lone.alias("lone")), "hot")
+        if hot.isEmpty() or depth + cell > 64:
+            break
+        marked = rows.join(small_or_not(hot), ["bucket", "path"], "left")  # rows(hot) <= rows / hot_rows, and pairs
+        cold = marked.where("lone is null").drop("lone")
+        keyed = cold if keyed is None else keyed.unionByName(cold)
+        rows = table(_split(marked.where("not lone"), max_bits, cell), "split")
+    keyed = rows if keyed is None else keyed.unionByName(rows)
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+            held.append(batch)
             n += batch.num_rows
             if n >= batch_rows:
-                group, value, block = (np.concatenate(x) for x in zip(*held))
-                whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
-                if whole:
-                    yield from done(group[:whole], value[:whole], block[:whole])
-                    held, n = [(group[whole:], value[whole:], block[whole:])], len(group) - whole
-                else:
-                    held = [(group, value, block)]
+                whole = pa.Table.from_batches(held)
+                key = whole.select(["bucket", "path"])
+                last = key.slice(n - 1).to_pylist()[0]
+                same = pc.and_(pc.equal(key["bucket"], last["bucket"]), pc.equal(key["path"], last["path"]))
+                first = pc.index(same, True).as_py()  # the last group may go on
+                if first:
+                    yield from done(whole.slice(0, first))
+                held, n = whole.slice(first).combine_chunks().to_batches(), n - first
         if n:
-            yield from done(*(np.concatenate(x) for x in zip(*held)))
+            yield from done(pa.Table.from_batches(held))
 
-    def done(group, value, block):
+    def done(rows_: pa.Table):
+        number = lambda c: rows_[c].to_numpy().astype(np.int64)
+        path = pa.concat_arrays(rows_["path"].chunks).dictionary_encode()
+        _, group = np.unique(np.stack([number("bucket"), path.indices.to_numpy().astype(np.int64)]), axis=1, return_inverse=True)
+        value, block = number("value").view(np.uint64), number("block")
         u, v = [], []
         for k in np.unique(block).tolist():
             of = block == k
-            x, y = _join_groups(group[of], value[of].view(np.uint64), width, cell, max_bits)
+            x, y = _join_groups(group.ravel()[of], *(number(c)[of] for c in ("side", "depth", "used")), value[of], max_bits)
             back = np.uint64(k * step % 64), np.uint64((64 - k * step) % 64)
             u += [(x >> back[0]) | (x << back[1]) if k else x]
             v += [(y >> back[0]) | (y << back[1]) if k else y]
@@ -236,7 +256,7 @@ def links(classes: DataFrame, max_bits: int = 3, hot_rows: int = 20_000, cell: i
         if len(u):
             yield pa.record_batch({"u": u, "v": v})
 
-    return keyed.select("group", "value", "block").repartition("group").sortWithinPartitions("group").mapInArrow(run, "u long, v long")
+    return keyed.repartition("bucket", "path").sortWithinPartitions("bucket", "path").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 20_000) -> DataFrame:

@@ -57,7 +57,7 @@ def test_near_duplicates_query(spark):
     assert {d: r.component_id for d, r in got.items()} == plain_components(want)
 
 
-@pytest.mark.parametrize("hot_rows", [20_000, 5])
+@pytest.mark.parametrize("hot_rows", [20_000, 30, 5, 1])
 def test_links_with_and_without_hot_buckets(spark, hot_rows):
     rng = random.Random(3)
     centres = [rng.getrandbits(64) for _ in range(6)]
@@ -70,6 +70,17 @@ def test_links_with_and_without_hot_buckets(spark, hot_rows):
     assert {v: got.get(v, v) for v in signed} == want
 
 
+def test_a_hot_block_is_split_until_it_is_small(spark):
+    """Many fingerprints of one block value, whose next bits are alike as well."""
+    rng = random.Random(8)
+    values = {0xABCD << 48 | (0b110011 << 42) | rng.getrandbits(30) for _ in range(400)}
+    values |= {v ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for v in list(values)[:150]}
+    signed = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long")
+    got = {r.node: r.label for r in components.components(simhash.links(frame, 3, 20, batch_rows=50)).collect()}
+    assert {v: got.get(v, v) for v in signed} == plain_components([(v, v % (1 << 64)) for v in sorted(signed)])
+
+
 def test_near_duplicates_edges(spark):
     empty = simhash.near_duplicates(spark.createDataFrame([], DOCS))
     assert empty.count() == 0
