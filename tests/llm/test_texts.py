@@ -419,6 +419,14 @@ def test_token_counts_are_greedy(spark):
     assert auto.count(b" the") == 1
 
 
+def test_token_count_edges(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "the cat", 5), (1, "the cat", 5), (None, None, 6)], "doc_id long, text string, n_words int")
+    got = docs.select("doc_id", docs.n_words.alias("other"), token_counts.counts(F.col("text"), path).alias("c")).collect()
+    assert sorted((r.doc_id or 0, r.other, r.c.n_words, r.c.n_tokens) for r in got) == [(0, 6, 0, 0), (1, 5, 2, 2), (1, 5, 2, 2)]
+    assert docs.limit(0).select(token_counts.counts(F.col("text"), path)).count() == 0
+
+
 @pytest.mark.parametrize("spec", [queries.WORD_BPE, queries.BYTE_BPE])
 def test_chunks_encode_as_whole_texts(spec):
     path = public_tokenizers.path(spec["name"])
@@ -529,6 +537,13 @@ def test_arrow_store_round_trip(spark, tmp_path):
     assert arrow_store.read_documents(spark, []).count() == 0
 
 
+def test_arrow_store_with_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "b", "x", 1), (1, "a", "y", 2), (1, "a", "y", 2)], "doc_id long, text string, ids string, start int")
+    parts = arrow_store.write(docs, f"file://{tmp_path}", **queries.tokenizer(queries.BYTE_BPE))
+    got = sorted(arrow_store.read_documents(spark, parts).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(1, 0, 2), (1, 2, 2), (2, 4, 2)]
+
+
 def test_arrow_query(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in queries.op9_arrow_sequences(spark, DATA).collect()}
@@ -642,6 +657,15 @@ print(time.process_time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_
     assert seconds < 60 and mb < 1000
 
 
+def test_pieces_edges(spark):
+    path = public_tokenizers.path(queries.PIECES)
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, "y"), (2, "", "z")], "doc_id long, text string, ids string")
+    got = docs.select("doc_id", "ids", pieces.encoded(F.col("text"), path).alias("e")).collect()
+    assert len({bytes(r.e.ids) for r in got if r.ids == "x"}) == 1 and [r.e.nbest for r in got if r.ids == "y"] == [None]
+    assert [(bytes(r.e.ids), len(r.e.nbest), r.e.nbest[0].n_pieces) for r in got if r.ids == "z"] == [(b"", 1, 0)]
+    assert docs.limit(0).select(pieces.encoded(F.col("text"), path)).count() == 0
+
+
 def test_pieces_query(spark):
     got = queries.op8_nbest_pieces(spark, DATA).collect()
     assert all(r.round_trip for r in got) and all(len(r.nbest.split(",")) == 4 for r in got)
