@@ -127,7 +127,7 @@ def facts_needed(rows: DataFrame, order: str = "rarest") -> DataFrame:
     told = written(ranked.select("doc_id", fact.alias("f"), "rk", "n_facts"), "told")
     targets = told.where("rk = 1").select("doc_id", F.col("f").alias("node"), "n_facts")
     members = told.select("doc_id", F.col("f").alias("node")).join(targets.select("node").distinct(), "node", "left_semi")
-    depth, out = 1, None
+    depth, out, old = 1, None, []
     while True:
         sizes = members.groupBy("node").agg(F.count("*").alias("size"))
         state = targets.join(sizes, "node")
@@ -137,11 +137,14 @@ def facts_needed(rows: DataFrame, order: str = "rarest") -> DataFrame:
         out = done if out is None else out.unionByName(done)
         after = told.where(F.col("rk") == depth + 1).select("doc_id", "f")
         live = written(state.where(~single & ~told_all).select("doc_id", "node", "n_facts").join(after, "doc_id"), "live")
-        if live.isEmpty():
+        if not rows_of(live, 0):
+            drop(told, live, *old)
             return out
         deeper = F.md5(F.concat("node", "f")).alias("node")
         wanted = live.select("node", "f").distinct()
         members = written(members.join(told.select("doc_id", "f"), "doc_id").join(wanted, ["node", "f"], "left_semi").select("doc_id", deeper), "members")
+        drop(*old)
+        old = [live, members]
         targets = live.select("doc_id", deeper, "n_facts")
         depth += 1
 
