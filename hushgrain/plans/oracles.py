@@ -5,6 +5,7 @@ from __future__ import annotations
 from hushgrain.functions.generalise import CITY_COUNTRY, COUNTRY_CONTINENT, DEM_BROADER
 from hushgrain.functions.labels import CONLL, ONTONOTES, PRESIDIO
 from hushgrain.plans.casefiles import CASES_SQL
+from hushgrain.plans.wordfiles import WORDS_SQL
 
 SQL: dict[str, str] = {}
 
@@ -410,3 +411,35 @@ q AS (SELECT k, min(j) AS a, max(j) AS z, any_value(p) AS kind FROM p4 WHERE p I
 n AS (SELECT (SELECT count(*) FROM g JOIN q USING (k, a, z, kind)) AS tp, (SELECT count(*) FROM q) AS np, (SELECT count(*) FROM g) AS ng)
 SELECT round(tp / np, 9) AS precision, round(tp / ng, 9) AS recall, round(2 * tp / (np + ng), 9) AS f1, tp, np - tp AS fp, ng - tp AS fn FROM n"""
 )
+
+
+# Whole texts of `documents`. Repeated ids are told apart by row.
+def _words(body: str) -> str:
+    return "WITH " + WORDS_SQL + body
+
+
+_WORD_MODELS = "(VALUES ('x'), ('y')) mo(model)"
+_WORD_EXACT = _EXACT.replace("g.doc_id = p.doc_id", "g.row = p.row").replace("p.doc_id, ord", "p.row AS doc_id, ord").replace("SELECT * FROM pred", "SELECT * REPLACE (row AS doc_id) FROM pred")
+SQL["words_eval_exact"] = _words(_scores("exact", _WORD_EXACT, names=_WORD_MODELS).replace("FROM gold g,", "FROM (SELECT * REPLACE (row AS doc_id) FROM gold) g,") + _TIDY)
+SQL["words_missed"] = _words(f" SELECT model, kind AS entity_type, count(*) AS n FROM gold g, {_WORD_MODELS} WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.model = mo.model AND p.row = g.row AND p.kind = g.kind AND p.s < g.e AND p.e > g.s) GROUP BY 1, 2")
+SQL["words_ensemble_union"] = _words(
+    _GROUPS.replace("doc_id", "row")
+    + " SELECT doc_id, count(*) AS n, CAST(sum(s * 3 + e) AS BIGINT) AS places, CAST(sum(length(txt)) AS BIGINT) AS length FROM kept JOIN src USING (row) WHERE longest = 1 GROUP BY doc_id"
+)
+SQL["words_redact"] = _words(
+    f""", cut AS (SELECT row, s, e, kind, coalesce(lag(e) OVER (PARTITION BY row ORDER BY s), 0) AS before, row_number() OVER (PARTITION BY row ORDER BY s DESC) AS from_end FROM gold),
+made AS (
+  SELECT c.row, string_agg(substr(t, before + 1, s - before) || CASE WHEN {_ROLE} = 'DIRECT' THEN '[' || kind || ']' ELSE substr(t, s + 1, e - s) END || CASE WHEN from_end = 1 THEN substr(t, e + 1) ELSE '' END, '' ORDER BY s) AS text
+  FROM cut c JOIN src ON src.row = c.row GROUP BY c.row)
+SELECT doc_id, length(coalesce(text, t)) AS n_chars, md5(coalesce(text, t)) AS md5 FROM src LEFT JOIN made ON made.row = src.row"""
+)
+SQL["words_bio_decode"] = _words(
+    """, piece AS (SELECT row, unnest(string_split(m, chr(1))) AS p, generate_subscripts(string_split(m, chr(1)), 1) AS n FROM (
+  SELECT row, regexp_replace(t, '([^\\s\\x0b\x85\xa0]+)', chr(1) || '\\1' || chr(1), 'g') AS m FROM src)),
+token AS (SELECT row, n, CAST(e - length(p) AS INTEGER) AS s, e FROM (SELECT row, n, p, CAST(sum(length(p)) OVER (PARTITION BY row ORDER BY n) AS INTEGER) AS e FROM piece) WHERE n % 2 = 0),
+held AS (SELECT token.row, n, token.s, token.e, kind FROM token LEFT JOIN gold ON gold.row = token.row AND token.s = gold.s AND token.e <= gold.e),
+begun AS (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY row ORDER BY n) AS b FROM held),
+isle AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY n) AS isle FROM begun),
+span AS (SELECT row, isle, min(s) AS s, max(e) AS e, any_value(kind) AS kind FROM isle WHERE kind IS NOT NULL GROUP BY 1, 2)
+SELECT doc_id, kind AS entity_type, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM span JOIN src USING (row) GROUP BY 1, 2"""
+)

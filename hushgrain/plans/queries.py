@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from hushgrain.functions import labels, tokens
 from hushgrain.functions.generalise import generalise
 from hushgrain.functions.normalise import normalise
-from hushgrain.functions.text import context
+from hushgrain.functions.text import apart, context
 from hushgrain.operators import bio, coref, detect, ensemble, evaluate, pseudonym, redact, risk
+from hushgrain.plans import wordfiles
 from hushgrain.plans.casefiles import MODELS, annotated, as_spans, cases, predicted
 
 
@@ -426,6 +427,45 @@ def examples_by_role(spark, sf_dir):
     return evaluate.examples(annotated(spark, sf_dir), 3)
 
 
+# The same operators over whole texts of `documents`
+
+
+def _word_scored(spark, sf_dir):
+    return wordfiles.predicted(spark, sf_dir).select("doc_id", "model", "gold", F.col("spans").alias("predicted"))
+
+
+def words_eval_exact(spark, sf_dir):
+    return _rounded(evaluate.results(_word_scored(spark, sf_dir), "model", modes=("exact",)))
+
+
+def words_missed(spark, sf_dir):
+    missed, _ = evaluate.unmatched(_word_scored(spark, sf_dir), "model")
+    return missed.groupBy("model", "entity_type").agg(F.count("*").alias("n"))
+
+
+def words_ensemble_union(spark, sf_dir):
+    """Votes of overlapping groups, summed up by document."""
+    cache = wordfiles.predicted(spark, sf_dir).select("doc_id", "model", "spans")
+    kept = ensemble.vote(ensemble.exploded(cache), list(wordfiles.MODELS), 1)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long") * 3 + F.col("end")).alias("places"), F.sum(F.length("text").cast("long")).alias("length"))
+
+
+def words_redact(spark, sf_dir):
+    """Every gold span suppressed by its role, in texts of up to 20,000 words."""
+    docs = wordfiles.gold(wordfiles.word_docs(spark, sf_dir))
+    spans = F.transform(detect.as_pipeline(F.col("gold"), "manual"), lambda s: s.withField("identifier_role", labels.role(s["entity_type"])))
+    done = redact.lite(docs.select("doc_id", "text", apart(spans).alias("spans")))
+    return done.select("doc_id", F.length("redacted_text").cast("long").alias("n_chars"), F.md5("redacted_text").alias("md5"))
+
+
+def words_bio_decode(spark, sf_dir):
+    """Encoded and decoded again: the spans that the labels hold, by document."""
+    docs = wordfiles.gold(wordfiles.word_docs(spark, sf_dir)).select("doc_id", "text", "gold", bio.words(F.col("text")).alias("t"))
+    docs = docs.withColumn("t", F.zip_with("t", bio.encode(F.col("t"), F.col("gold")), lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), i.alias("label_id"))))
+    rows = docs.select("doc_id", F.explode(bio.decode(F.col("text"), F.col("t"))).alias("s"))
+    return rows.groupBy("doc_id", "s.entity_type").agg(F.count("*").alias("n"), F.sum(F.col("s.start").cast("long")).alias("starts"), F.sum(F.col("s.end").cast("long")).alias("ends"))
+
+
 _FUNCTIONS = (
     detect_spans_documents, detect_spans_pages, detect_spans_conversations, span_type_counts, role_counts, redact_contacts,
     rules_detect_counts, analyser_spans, simple_redact, seeded_sample, mention_recall_coref, label_mapping, normalise_facts, token_letters, bare_names, signatures, k_anonymity, k_distribution,
@@ -434,7 +474,8 @@ _FUNCTIONS = (
     distinct_direct, pseudonymise, vault_entries, restore_text, slot_round_trip, coref_spans, bio_encode, bio_decode, token_scores, token_windows, eval_exact,
     eval_partial, mention_recall, mention_recall_by_type, missed_spans, false_alarms, f1_pivot, routing_table, ensemble_union,
     ensemble_consensus, vote_sweep, routed_spans, combiner_comparison, best_strategy, dataset_summary, annotator_disagreement,
-    top_documents, third_document, examples_by_role,
+    top_documents, third_document, examples_by_role, words_eval_exact, words_missed, words_ensemble_union, words_redact,
+    words_bio_decode,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
     "generalise_dates": _ladder("DATETIME"),
