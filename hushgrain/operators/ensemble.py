@@ -45,13 +45,13 @@ def voted(spans: DataFrame, models: list[str], tie_break: str = "longest", *keys
     grouped = groups(spans.where(F.col("model").isin(*models)), *keys)
     place = {m: i for i, m in enumerate(models)}
     nth = F.create_map(*[x for m, i in place.items() for x in (F.lit(m), F.lit(i))])[F.col("model")]
-    voters = grouped.groupBy(*own).agg(F.count_distinct("model").alias("n_voters"))
     first = F.struct("start", "end", nth.alias("m"), "ord")
     best = F.struct(F.length("text").alias("len"), "text", (-F.col("start")).alias("s"), (-F.col("end")).alias("e"))
-    by_type = grouped.groupBy(*own, "entity_type").agg(F.count("*").alias("n"), F.min(first).alias("first"), (F.max(best) if tie_break == "longest" else F.min(best)).alias("b"))
-    w = Window.partitionBy(*own).orderBy(F.desc("n"), "first")
-    won = by_type.withColumn("nth", F.row_number().over(w)).where("nth = 1")
-    return won.join(voters, own).select(*own, "n_voters", (-F.col("b.s")).alias("start"), (-F.col("b.e")).alias("end"), "entity_type", F.col("b.text").alias("text"))
+    by_type = grouped.groupBy(*own, "entity_type").agg(F.count("*").alias("n"), F.collect_set("model").alias("models"), F.min(first).alias("first"), (F.max(best) if tie_break == "longest" else F.min(best)).alias("b"))
+    w = Window.partitionBy(*own)
+    voters = F.size(F.array_distinct(F.flatten(F.collect_list("models").over(w)))).cast("long")  # of the models at most
+    won = by_type.withColumn("n_voters", voters).withColumn("nth", F.row_number().over(w.orderBy(F.desc("n"), "first"))).where("nth = 1")
+    return won.select(*own, "n_voters", (-F.col("b.s")).alias("start"), (-F.col("b.e")).alias("end"), "entity_type", F.col("b.text").alias("text"))
 
 
 def vote(spans: DataFrame, models: list[str], min_votes: int = 1, tie_break: str = "longest") -> DataFrame:

@@ -77,24 +77,32 @@ def match(predicted: Column, golden: Column, mode: str) -> Column:
 def outcomes(docs: DataFrame, mode: str, *keys: str) -> DataFrame:
     """docs: keys, predicted, gold. One row (keys, entity_type, outcome tp/fp/fn, start, end) for each
     prediction and each gold span left over."""
+    return _outcomes(docs, mode, *keys).where(F.col("outcome").isNotNull())
+
+
+def _outcomes(docs: DataFrame, mode: str, *keys: str) -> DataFrame:
+    """outcomes, and for each document a row without one, so that its keys occur."""
     own = docs.select(*keys, F.coalesce(scored(F.col("predicted")), empty(f"array<{PREDICTED}>")).alias("p"), F.coalesce("gold", empty(f"array<{PREDICTED}>")).alias("g"))
     own = own.withColumn("m", match(F.col("p"), F.col("g"), mode))
     said = F.transform("p", lambda p, i: F.struct(p["entity_type"].alias("entity_type"), F.when(F.get("m", i) >= 0, "tp").otherwise("fp").alias("outcome"), p["start"].alias("start"), p["end"].alias("end")))
     missed = F.array_except(F.when(F.size("g") > 0, F.sequence(F.lit(0), F.size("g") - 1)).otherwise(empty("array<int>")), "m")
     left = F.transform(missed, lambda i: F.struct(F.get("g", i)["entity_type"].alias("entity_type"), F.lit("fn").alias("outcome"), F.get("g", i)["start"].alias("start"), F.get("g", i)["end"].alias("end")))
-    return own.select(*keys, F.explode(F.concat(said, left)).alias("o")).select(*keys, "o.*")
+    mark = F.expr("array(struct(cast(null as string) as entity_type, cast(null as string) as outcome, cast(null as int) as start, cast(null as int) as end))")
+    return own.select(*keys, F.explode(F.concat(said, left, mark)).alias("o")).select(*keys, "o.*")
 
 
 def counts(docs: DataFrame, mode: str, *keys: str) -> DataFrame:
-    """(keys, mode, entity_type, tp, fp, fn) for all entity types and the total."""
-    spark = docs.sparkSession
-    rows = outcomes(docs, mode, *keys)
-    each = rows.select(*keys, F.explode(F.array("entity_type", F.lit(ALL))).alias("entity_type"), "outcome")
-    summed = each.groupBy(*keys, "entity_type").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("tp", "fp", "fn")])
-    types = spark.createDataFrame([(t,) for t in (*ENTITY_TYPES, ALL)], "entity_type string")
-    wanted = docs.select(*keys).distinct().crossJoin(F.broadcast(types)) if keys else types
-    zero = [F.coalesce(o, F.lit(0)).cast("long").alias(o) for o in ("tp", "fp", "fn")]
-    return wanted.join(summed, [*keys, "entity_type"], "left").select(*keys, F.lit(mode).alias("mode"), "entity_type", *zero)
+    """(keys, mode, entity_type, tp, fp, fn) for all entity types and the total. Documents are matched
+    once: their keys come from the same sums as the counts."""
+    summed = _outcomes(docs, mode, *keys).groupBy(*keys, "entity_type").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("tp", "fp", "fn")])
+    entry = F.struct("entity_type", "tp", "fp", "fn")
+    by_key = summed.groupBy(*keys).agg(F.collect_list(entry).alias("e"))  # at most one for each entity type
+    types = F.array(*[F.lit(t) for t in (*ENTITY_TYPES, ALL)])
+    of = lambda t, o: F.aggregate(F.filter("e", lambda x: (t == ALL) | (x["entity_type"] == t)), F.lit(0).cast("long"), lambda n, x: n + x[o])
+    if not keys:  # a table without documents has rows, too
+        by_key = summed.agg(F.collect_list(entry).alias("e"))
+    filled = by_key.select(*keys, F.explode(F.transform(types, lambda t: F.struct(t.alias("entity_type"), *[of(t, o).alias(o) for o in ("tp", "fp", "fn")]))).alias("x"))
+    return filled.select(*keys, F.lit(mode).alias("mode"), "x.entity_type", "x.tp", "x.fp", "x.fn")
 
 
 def with_scores(table: DataFrame) -> DataFrame:
