@@ -203,6 +203,11 @@ FROM fin JOIN ks a ON a.doc = fin.doc AND a.level = 0 JOIN ks b ON b.doc = fin.d
   SELECT s.k, concat('case-', s.k) AS doc_id, string_agg(CASE WHEN """ + _DIRECT.replace("role", "s.role").replace("kind", "s.kind") + """ THEN '[' || s.kind || ']' ELSE coalesce(sh.shown, s.t) END, '' ORDER BY s.i) AS redacted_text
   FROM seg s JOIN fin f ON f.doc = s.k LEFT JOIN shown sh ON sh.k = s.k AND sh.i = s.i AND sh.level = f.level GROUP BY s.k) x ON x.k = fin.doc"""
 SQL["pro_redact"] = _cases(_pro(5) + _PRO)
+SQL["html_articles"] = _cases(
+    _pro(1)
+    + f""" SELECT doc_id, '<article><h2>' || doc_id || '</h2><p>k ' || mosaic_risk_initial || ' → ' || mosaic_risk_final || ', ' || iterations_used || ' iterations, ' || CASE WHEN converged THEN 'converged' ELSE 'not converged' END
+  || '</p><pre>' || regexp_replace(replace(replace(replace(redacted_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(\\[[A-Z]+\\])', '<mark>\\1</mark>', 'g') || '</pre></article>' AS html FROM ({_PRO})"""
+)
 SQL["pro_redact_short"] = _cases(_pro(1) + _PRO)
 SQL["pro_risk_summary"] = _cases(_pro(5) + " SELECT iterations_used, converged, count(*) AS n_docs, CAST(min(kk) AS BIGINT) AS least_k FROM fin JOIN ks ON ks.doc = fin.doc AND ks.level = fin.level GROUP BY 1, 2")
 SQL["pro_audit_counts"] = _cases(

@@ -12,6 +12,7 @@ from hushgrain.functions.text import apart, context
 from hushgrain.operators import bio, coref, detect, ensemble, evaluate, pseudonym, redact, risk
 from hushgrain.plans import wordfiles
 from hushgrain.plans.casefiles import MODELS, annotated, as_spans, cases, predicted
+from hushgrain.sources import writers
 
 
 def _docs(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,6 +207,10 @@ def pro_redact(spark, sf_dir):
     return _pro(spark, sf_dir, 5).select("doc_id", "redacted_text", "mosaic_risk_initial", "mosaic_risk_final", "iterations_used", "converged")
 
 
+def html_articles(spark, sf_dir):
+    return _pro(spark, sf_dir, 1).select("doc_id", writers.as_html().alias("html"))
+
+
 def pro_redact_short(spark, sf_dir):
     return _pro(spark, sf_dir, 1).select("doc_id", "redacted_text", "mosaic_risk_initial", "mosaic_risk_final", "iterations_used", "converged")
 
@@ -470,7 +475,7 @@ _FUNCTIONS = (
     detect_spans_documents, detect_spans_pages, detect_spans_conversations, span_type_counts, role_counts, redact_contacts,
     rules_detect_counts, analyser_spans, simple_redact, seeded_sample, mention_recall_coref, label_mapping, normalise_facts, token_letters, bare_names, signatures, k_anonymity, k_distribution,
     haystack_k, min_facts_smart, min_facts_doc_order, reid_cdf, reid_threshold, reid_summary, reid_histogram, rarest_fact,
-    lite_redact, lite_audit, audit_first, pro_redact, pro_redact_short, pro_risk_summary, pro_audit_counts, pro_audit, audit_by_iteration, context_windows,
+    lite_redact, lite_audit, audit_first, pro_redact, html_articles, pro_redact_short, pro_risk_summary, pro_audit_counts, pro_audit, audit_by_iteration, context_windows,
     distinct_direct, pseudonymise, vault_entries, restore_text, slot_round_trip, coref_spans, bio_encode, bio_decode, token_scores, token_windows, eval_exact,
     eval_partial, mention_recall, mention_recall_by_type, missed_spans, false_alarms, f1_pivot, routing_table, ensemble_union,
     ensemble_consensus, vote_sweep, routed_spans, combiner_comparison, best_strategy, dataset_summary, annotator_disagreement,

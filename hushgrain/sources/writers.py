@@ -34,6 +34,19 @@ def redacted_json(redacted: DataFrame, path: str) -> None:
     redacted.select(as_json().alias("value")).write.mode("overwrite").text(path)
 
 
+def as_html() -> Column:
+    """A redacted document as a part of an HTML page: its risk, and its text with what was put in marked."""
+    text = F.regexp_replace(F.replace(F.replace(F.replace("redacted_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), "\\[[A-Z]+(?:_[A-Z]+)?\\]", "<mark>$0</mark>")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    risk = F.concat(F.lit("k "), shown("mosaic_risk_initial"), F.lit(" → "), shown("mosaic_risk_final"), F.lit(", "), shown("iterations_used"), F.lit(" iterations, "), F.when(F.col("converged"), "converged").otherwise("not converged"))
+    return F.concat(F.lit("<article><h2>"), F.col("doc_id").cast("string"), F.lit("</h2><p>"), risk, F.lit("</p><pre>"), text, F.lit("</pre></article>"))
+
+
+def html_pages(redacted: DataFrame, path: str) -> None:
+    """Files of articles, to be put between an HTML page's head and end."""
+    redacted.select(as_html().alias("value")).write.mode("overwrite").text(path)
+
+
 def redacted_texts(redacted: DataFrame, path: str) -> None:
     redacted.select("doc_id", "redacted_text").write.mode("overwrite").parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hushgrain import cli
 from hushgrain.operators import bio, coref, detect, ensemble, evaluate, pseudonym, redact, risk
-from hushgrain.schema import ANNOTATED, CACHE, PREDICTED, SPANS
+from hushgrain.schema import ANNOTATED, CACHE, MENTION, PREDICTED, SPANS
 from hushgrain.sources import readers, writers
 from hushgrain.streaming.redact import redacted_stream, write_redacted
 
@@ -18,6 +18,9 @@ def docs_of(spark, *texts):
     return spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
 
 
+SLIM = f"doc_id string, entity_mentions array<{MENTION}>"
+
+
 def spans_of(spark, text, found):
     """A document with given spans (needle, type), by their first occurrence."""
     rows = [(text.index(n), text.index(n) + len(n), k, n) for n, k in found]
@@ -447,6 +450,38 @@ def test_all_routes_count(spark):
     assert ensemble.routed(spans, routes).count() == 150
 
 
+def test_unmapped_spans(spark):
+    spans = [(0, 1, "ORG", "a"), (2, 3, None, "b"), (4, 5, "LOC", "c")]
+    row = spark.createDataFrame([(spans,)], f"s array<{PREDICTED}>")
+    known, unknown = detect.unmapped(F.col("s"))
+    got = row.select(known.alias("k"), unknown.alias("u")).first()
+    assert [s.text for s in got.k] == ["a", "c"] and [s.text for s in got.u] == ["b"]
+
+
+def test_first_and_third_documents(spark):
+    docs = spark.createDataFrame([(f"d{i}", [(0, 1, "ORG", "x", "DIRECT", "e")] * n) for i, n in enumerate((2, 5, 2, 9))], SLIM)
+    assert [r.doc_id for r in evaluate.first_rows(docs, 2).collect()] == ["d0", "d1"]
+    assert [r.doc_id for r in evaluate.top_documents(docs, 4).collect()] == ["d3", "d1", "d0", "d2"]
+    assert [r.doc_id for r in evaluate.nth_document(docs, 3).collect()] == ["d0"] and evaluate.nth_document(docs, 9).count() == 0
+
+
+def test_recall_report(spark, tmp_path):
+    docs = spark.createDataFrame([("d", [(0, 3, "ORG", "abc", "DIRECT", "e"), (5, 7, "ORG", "ab", "DIRECT", "e")], [(0, 2, "ORG", "ab")])], f"{SLIM}, predicted array<{PREDICTED}>")
+    entities = evaluate.entity_recall(docs)
+    writers.recall_report(entities, evaluate.recall_summary(entities), f"{tmp_path}/r")
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/r/entities", header=True).collect()] == [("d", "e", "ORG", "2", "1")]
+    summary = spark.read.json(f"{tmp_path}/r/summary").first()
+    assert (summary.n_entities, summary.n_mentions, summary.macro_recall, summary.micro_recall) == (1, 2, 0.5, 0.5)
+
+
+def test_html(spark, tmp_path):
+    done = redact.lite(spans_of(spark, "Ann <a@b> & co", [("Ann", "PERSON")]))
+    html = done.select(writers.as_html()).first()[0]
+    assert "<pre><mark>[PERSON]</mark> &lt;a@b&gt; &amp; co</pre>" in html and "k - → -, 0 iterations, converged" in html
+    writers.html_pages(done, f"{tmp_path}/h")
+    assert spark.read.text(f"{tmp_path}/h").count() == 1
+
+
 def test_failing_model_has_no_spans(spark):
     def load():
         def model(text):
