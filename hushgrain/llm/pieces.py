@@ -26,7 +26,6 @@ import heapq
 import math
 import re
 from array import array
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +49,8 @@ _FAR, _MOST = 1 << 62, 1 << 56
 _SHORT = 32
 #: Longer chunks aren't kept.
 _LONGEST = 64
-
-
-_IDS = itemgetter(0)
+#: Chunks whose n best are kept (about 1 KB each).
+_SEARCHED = 20_000
 
 
 def zipf(ranks: list[float], of: set[int]) -> list[float]:
@@ -64,29 +62,26 @@ def zipf(ranks: list[float], of: set[int]) -> list[float]:
 
 
 class Pieces:
-    """A SentencePiece model's vocabulary. known: most chunks kept (about 400 bytes each)."""
+    """A SentencePiece model's vocabulary. cached: most chunks kept (about 400 bytes each). with_merged:
+    whether the library's ids are wanted."""
 
-    def __init__(self, path: str, cached: int = 200_000):
+    def __init__(self, path: str, cached: int = 300_000, with_merged: bool = True):
         import sentencepiece
 
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         cost: list[float] = []
         merges = True
-        self.bytes_of: list[bytes] = []
+        self.bytes_of = piece_bytes(model)
         self.byte_id: dict[int, int] = {}
         for i in range(model.get_piece_size()):
             piece, special = model.id_to_piece(i), model.is_control(i) or model.is_unknown(i)
             cost.append(-model.get_score(i))
             merges = merges and (special or model.is_byte(i) or cost[i] >= 1e8 or cost[i] == int(cost[i]))
             if model.is_byte(i):
-                value = int(piece[3:5], 16)
-                self.byte_id[value] = i
-                self.bytes_of.append(bytes([value]))
-            else:
-                self.bytes_of.append(b"" if special else piece.replace(SPACE, " ").encode())
-                if not special:
-                    self.ids[piece] = i
+                self.byte_id[int(piece[3:5], 16)] = i
+            elif not special:
+                self.ids[piece] = i
         self.longest = max(map(len, self.ids))
         if merges:
             cost = zipf(cost, set(self.ids.values()))
@@ -99,7 +94,8 @@ class Pieces:
         if any("\n" in p or SPACE in p.strip(SPACE) or (p[-1:] == SPACE and p.strip(SPACE)) for p in self.ids):
             raise ValueError("a piece reaches over the start of a word or a line")
         self.known: dict[str, tuple] = {}
-        self.cached = cached
+        self.searched: dict[tuple[str, int], list] = {}
+        self.cached, self.with_merged = cached, with_merged
         self._tables()
 
     def _tables(self) -> None:
@@ -332,8 +328,10 @@ class Pieces:
         return [array("I", own(c, x)).tobytes() for c, x in zip(chunks, found)]
 
     def solved(self, keys: list[str]) -> dict[str, tuple[bytes, int, int, bytes]]:
-        """best() and merged() of many chunks."""
+        """best() and, if wanted, merged() of many chunks."""
         best = self.best_many(keys)
+        if not self.with_merged:
+            return {k: (*x, b"") for k, x in best.items()}
         return {k: (*best[k], best[k][0] if m == best[k][0] else m) for k, m in zip(keys, self.merged(keys))}
 
     # Texts
@@ -347,39 +345,46 @@ class Pieces:
         new ids). The chunks that are new to all of them are solved together."""
         keys = [self.keys(x) for x in texts]
         found = [list(map(self.known.get, ks)) for ks in keys]
-        holes = []
+        missing: set[str] = set()
         for ks, xs in zip(keys, found):
-            at = -1
-            for _ in range(xs.count(None)):
-                at = xs.index(None, at + 1)
-                holes.append((xs, at, ks[at]))
-        if holes:
-            new = self.solved(list({k for _, _, k in holes}))
-            for xs, at, k in holes:
-                xs[at] = new[k]
+            if None in xs:
+                missing.update([k for k, x in zip(ks, xs) if x is None])
+        if missing:
+            new = self.solved(list(missing))
+            found = [[new[k] if x is None else x for k, x in zip(ks, xs)] if None in xs else xs for ks, xs in zip(keys, found)]
             room = self.cached - len(self.known)
             if room > 0:
                 self.known.update([x for x in new.items() if len(x[0]) <= _LONGEST][:room])
         return [self.combined(ks, xs, n) for ks, xs in zip(keys, found)]
 
+    def options(self, key: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The n best of a chunk. The chunks that cost least to change are often the same."""
+        if (kept := self.searched.get((key, n))) is None:
+            kept = self.search(self.chunk(key), n)
+            if len(key) <= _LONGEST:
+                if len(self.searched) >= _SEARCHED:
+                    self.searched.clear()
+                self.searched[key, n] = kept
+        return kept
+
     def combined(self, keys: list[str], found: list[tuple[bytes, int, int, bytes]], n: int) -> tuple:
         """The n best of a text, of its chunks' best."""
-        ids = b"".join([x[0] for x in found])
+        best, weights, more, merged = zip(*found) if found else ((), (), (), ())
+        ids = b"".join(best)
         pieces = len(ids) // 4
-        cost = (sum([x[1] for x in found]) - pieces) >> _BITS
-        more = [x[2] for x in found]
+        cost = (sum(weights) - pieces) >> _BITS
         least = [x for x in sorted(more)[: n - 1] if x < _INF]
         most = least[-1] if least else -1
         places = sorted([(x, -i) for i, x in enumerate(more) if x <= most])[: n - 1]
         front: list[tuple] = [(0, ())]  # (added weight, choice of each place so far)
         order = sorted(-i for _, i in places)
-        options = [self.search(self.chunk(keys[i]), n) for i in order]
+        options = [self.options(keys[i], n) for i in order]
         for option in options:
             grown = [(x + o[0] - option[0][0], (*chosen, r)) for x, chosen in front for r, o in enumerate(option)]
             front = heapq.nsmallest(n, grown)
         starts, at, before = [], 0, 0
         for i in order:
-            at += sum(map(len, map(_IDS, found[before:i]))) // 4
+            at += sum(map(len, best[before:i])) // 4
             starts.append(at)
             before = i
         out = []
@@ -387,16 +392,28 @@ class Pieces:
             fewer = (x + (1 << _BITS - 1)) >> _BITS  # the added cost; what is left are added pieces
             changes = [(s, len(option[0][1]), option[r][1]) for s, option, r in zip(starts, options, chosen) if r]
             out.append(((cost + fewer) / self.unit, pieces + x - (fewer << _BITS), changes))
-        return ids, b"".join([x[3] for x in found]), out
+        return ids, b"".join(merged), out
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+        return joined(self.bytes_of, ids)
+
 
+def joined(bytes_of: list[bytes], ids) -> str:
+    return b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
-def model(path: str) -> Pieces:
+
+def piece_bytes(model) -> list[bytes]:
+    """What each piece of a library's model stands for."""
+    out = []
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        out.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(SPACE, " ").encode())
+    return out
+
+
+def model(path: str, with_merged: bool) -> Pieces:
     """One for each Python worker and file."""
-    return held(("pieces", path), lambda: Pieces(path))
+    return held(("pieces", path, with_merged), lambda: Pieces(path, with_merged=with_merged))
 
 
 NBEST = "struct<ids:binary,merged:binary,nbest:array<struct<score:double,n_pieces:long,changes:array<struct<start:long,length:long,ids:array<int>>>>>>"
@@ -404,13 +421,13 @@ _CHANGES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("
 _BEST = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("changes", _CHANGES)]))
 
 
-def encoded(text: Column, path: str, n: int = 4) -> Column:
-    """Struct column: the best segmentation's ids, those of the library's encoder (merged), and the n best
-    as changes to the first."""
+def encoded(text: Column, path: str, n: int = 4, with_merged: bool = False) -> Column:
+    """Struct column: the best segmentation's ids, with_merged those of the library's encoder (else
+    null), and the n best as changes to the first."""
 
     @arrow_udf(NBEST)
     def run(texts: pa.Array) -> pa.Array:
-        p, rows = model(path), []
+        p, rows = model(path, with_merged), []
         for a, z in in_portions([x or 0 for x in pc.binary_length(texts).to_pylist()], 1_000_000):
             part = texts.slice(a, z - a).to_pylist()
             with no_collector():
@@ -418,7 +435,7 @@ def encoded(text: Column, path: str, n: int = 4) -> Column:
             for x in part:
                 ids, merged, found = next(solved) if x is not None else (None, None, None)
                 best = found and [{"score": -c, "n_pieces": k, "changes": [{"start": s, "length": m, "ids": list(new)} for s, m, new in changes]} for c, k, changes in found]
-                rows.append((ids, merged, best))
+                rows.append((ids, merged if with_merged else None, best))
         ids, merged, best = zip(*rows) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(merged, pa.binary()), pa.array(best, _BEST)], names=["ids", "merged", "nbest"])
 
@@ -430,7 +447,9 @@ def decoded(ids: Column, path: str) -> Column:
 
     @arrow_udf("string")
     def run(raws: pa.Array) -> pa.Array:
-        p = model(path)
-        return pa.array([None if x is None else p.decode(array("I", x)) for x in each(raws)], pa.string())
+        import sentencepiece
+
+        bytes_of = held(("bytes", path), lambda: piece_bytes(sentencepiece.SentencePieceProcessor(model_file=path)))
+        return pa.array([None if x is None else joined(bytes_of, array("I", x)) for x in each(raws)], pa.string())
 
     return run(ids)

@@ -664,6 +664,8 @@ def test_pieces_edges(spark):
     assert len({bytes(r.e.ids) for r in got if r.ids == "x"}) == 1 and [r.e.nbest for r in got if r.ids == "y"] == [None]
     assert [(bytes(r.e.ids), len(r.e.nbest), r.e.nbest[0].n_pieces) for r in got if r.ids == "z"] == [(b"", 1, 0)]
     assert docs.limit(0).select(pieces.encoded(F.col("text"), path)).count() == 0
+    both = docs.where("doc_id = 1").select(pieces.encoded(F.col("text"), path, with_merged=True).alias("e"), pieces.encoded(F.col("text"), path).alias("f")).first()
+    assert np.frombuffer(both.e.merged, "<u4").tolist() == pieces.Pieces(path).model.encode("a b") and both.f.merged is None and both.e.ids == both.f.ids
 
 
 def test_pieces_query(spark):
