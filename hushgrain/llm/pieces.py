@@ -195,14 +195,19 @@ class Pieces:
         wanted can matter: the others are dropped. They are kept in the order of their ids from the
         end, which breaks ties. A node links to the one it came from, so it takes little memory in a
         chunk of any length."""
-        best, _, _ = self.forward(chunk)
+        if len(chunk) <= _LONGEST:
+            best, into = self._short(chunk)
+            into = into.__getitem__
+        else:
+            best, into = self.forward(chunk)[0], lambda b: self.edges_into(chunk, b)
         waiting: list[tuple] = [(best[-1], len(chunk), 0, None)]  # (total, place, done, (ids from the end, link))
         out: list = []
         while waiting and len(out) < n:
-            k = min(range(len(waiting)), key=[x[0] for x in waiting].__getitem__)
+            totals = [x[0] for x in waiting]
+            k = totals.index(min(totals))
             total, at, done, link = waiting[k]
             if at:
-                waiting[k : k + 1] = [(done + x + best[a], a, done + x, (ids, link)) for ids, x, a in self.edges_into(chunk, at)]
+                waiting[k : k + 1] = [(done + x + best[a], a, done + x, (ids, link)) for ids, x, a in into(at)]
             else:
                 del waiting[k]
                 ids = array("I")
@@ -210,11 +215,38 @@ class Pieces:
                     back, link = link
                     ids.extend(back[::-1])
                 out.append((total, tuple(ids)))
-            if len(waiting) > n - len(out):
-                kept = heapq.nsmallest(n - len(out), range(len(waiting)), key=lambda i: (waiting[i][0], i))
-                waiting = [waiting[i] for i in sorted(kept)]
+            left = n - len(out)
+            if len(waiting) > left:
+                totals = [x[0] for x in waiting]
+                waiting = [waiting[i] for i in sorted(sorted(range(len(totals)), key=totals.__getitem__)[:left])]
         return out
 
+    def _short(self, chunk: str) -> tuple[list[int], list[list]]:
+        """forward's weights, and edges_into every place, of a short chunk, in one go."""
+        n, get, weight = len(chunk), self.prefixes.get, self.weight
+        best, into = [_INF] * (n + 1), [[] for _ in range(n + 1)]
+        best[0] = 0
+        for a in range(n):
+            base, single = best[a], False
+            for b in range(a + 1, min(n, a + self.longest) + 1):
+                i = get(chunk[a:b])
+                if i is None:
+                    break
+                if i >= 0:
+                    x = weight[i]
+                    into[b].append(((i,), x, a))
+                    single = single or b == a + 1
+                    if base + x < best[b]:
+                        best[b] = base + x
+            if not single:
+                x = self.unknown + len(chunk[a].encode())
+                into[a + 1].append((self.spelt(chunk[a])[::-1], x, a))
+                if base + x < best[a + 1]:
+                    best[a + 1] = base + x
+        for own in into:
+            own.sort()
+        return best, into
+
     def best(self, key: str) -> tuple[bytes, int, int]:
         """(ids as bytes, weight, what the second best adds) of a chunk. The second best takes some
         edge off the best path, so it is the least sum of forward score, edge and backward score."""

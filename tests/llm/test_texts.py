@@ -622,7 +622,7 @@ def test_best_pieces_are_like_the_encoders(model):
     assert len(ids) <= len(merged) and len(set(np.frombuffer(ids, "<u4")) & set(np.frombuffer(merged, "<u4"))) * 4 >= 0.8 * len(merged)
 
 
-def test_search_of_a_chunk_finds_all_in_order(model):
+def test_search_of_a_chunk_finds_all_in_order(model, monkeypatch):
     rng = random.Random(14)
     for _ in range(200):
         chunk = pieces.SPACE + "".join(rng.choice("aeth") for _ in range(rng.randint(1, 7)))
@@ -638,6 +638,9 @@ def test_search_of_a_chunk_finds_all_in_order(model):
         want = [(w, b[::-1]) for w, b in sorted(want)]
         for n in (1, 3, 10_000):
             assert model.search(chunk, n) == want[:n]
+        with monkeypatch.context() as m:  # as a long chunk
+            m.setattr(pieces, "_LONGEST", 0)
+            assert model.search(chunk, 5) == want[:5]
 
 
 def test_a_chunk_of_a_million_characters():
