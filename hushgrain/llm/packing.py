@@ -137,7 +137,7 @@ class SumOfSquares:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", max_open: int = 4096, cached: int = 400_000, portion: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, drops_space: bool, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", max_open: int = 4096, cached: int = 700_000, portion: int = 4_000_000) -> DataFrame:
     """One row for each piece of each document: where it lies in its document and in its sequence,
     and its ids (little-endian, 32 bits). tokenizer: a file of the tokenizers library. cached, portion:
     chunks that a worker keeps, and characters that it encodes at once."""
