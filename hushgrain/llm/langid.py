@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hushgrain.llm.runtime import table
+from hushgrain.llm.runtime import drop, table, tidy
 from hushgrain.llm.worker import each, release
 
 UNKNOWN = "und"
@@ -147,8 +147,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     counted = table(count_grams(labelled.where(drawn), text_col, label_col), "grams")
     if (n := counted.count()) > MAX_GRAMS:
         raise ValueError(f"{n} n-grams to learn from; at most {MAX_GRAMS} are: fewer train_docs or languages")
-    counted = counted.toPandas()
-    return build(counted["label"].to_numpy(), counted["gram"].to_numpy(), counted["n"].to_numpy(), sorted(sizes))
+    got = counted.toPandas()
+    drop(counted)
+    model = build(got["label"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy(), sorted(sizes))
+    del got
+    tidy(docs.sparkSession)
+    return model
 
 
 def _below(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:

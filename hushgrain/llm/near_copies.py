@@ -34,7 +34,7 @@ from pyspark.sql.functions import arrow_udf
 
 from hushgrain.llm import simhash
 from hushgrain.llm.components import components
-from hushgrain.llm.runtime import drop, small_or_not, table
+from hushgrain.llm.runtime import drop, small_or_not, table, tidy
 from hushgrain.llm.worker import each, release
 
 SHINGLE = 5
@@ -221,6 +221,7 @@ def links(nodes: DataFrame, texts: DataFrame, max_bits: int = 3) -> DataFrame:
     same = nodes.join(first_of, "fp").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
     found = _confirmed(close.unionByName(same), texts)
 
+    tidy(nodes.sparkSession)
     dealt = nodes.select("row", F.explode("buckets").alias("bucket"))
     shared = table(dealt.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("row").alias("pivot")).where("rows > 1"), "shared")
     members = table(dealt.join(small_or_not(shared), "bucket"), "members")
@@ -230,6 +231,7 @@ def links(nodes: DataFrame, texts: DataFrame, max_bits: int = 3) -> DataFrame:
     best = apart.groupBy("row").agg(F.max_by("pivot", F.struct("common", -F.col("pivot"))).alias("pivot"))
     found = table(found.unionByName(_confirmed(best.select(F.least("pivot", "row").alias("u"), F.greatest("pivot", "row").alias("v")), texts)), "found")
 
+    tidy(nodes.sparkSession)
     labelled = table(_labelled(members, found), "labelled")
     mixed = table(labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket"), "mixed")
     still = table(labelled.join(small_or_not(mixed), "bucket", "left_semi").select("bucket", "row", "label", "rows"), "still")
@@ -240,6 +242,7 @@ def links(nodes: DataFrame, texts: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def without_copies(docs: DataFrame, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each component of near copies."""
+    tidy(docs.sparkSession)
     own = table(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     text, key = F.col("doc").getField(text_col), F.col("doc").getField(id_col)
     rows = table(own.select("row", key.alias("id"), F.xxhash64(text).alias("hash"), sketches(text).alias("s")).select("row", "id", "hash", "s.*"), "sketches")
@@ -247,6 +250,7 @@ def without_copies(docs: DataFrame, max_bits: int = 3, id_col: str = "doc_id", t
     classes = rows.groupBy("high", "low").agg(F.min("row").alias("row"), *same)
     nodes = table(classes, "classes")
     joined = links(nodes.select("row", "fp", "n", "buckets"), own.select("row", text.alias("text")), max_bits)
+    tidy(docs.sparkSession)
     label_of = table(_labelled(nodes.select("high", "low", "row"), joined).select("high", "low", "label"), "labels")
     of = rows.select("row", "id", "hash", "high", "low").join(label_of, ["high", "low"])
     of = table(of.select("row", "id", "hash", "label"), "copies")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hushgrain.llm.runtime import drop, small_or_not, table
+from hushgrain.llm.runtime import drop, small_or_not, table, tidy
 from hushgrain.llm.worker import each, release
 
 # Fixed values of the base limits.
@@ -231,6 +231,7 @@ def fit(rows: DataFrame, coverage: float = 0.75, steps: int = 4, prior_rows: flo
     """rows: FEATURES with g_lang, g_source. Returns the table of models (g_lang, g_source, n, center,
     whitening), one small row for each language and source; n: documents in the estimate's core."""
     p = len(FEATURES)
+    tidy(rows.sparkSession)
     levels = table(_levels(rows), "levels")
     model = _starts(levels, coverage)
     sums = [F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]]

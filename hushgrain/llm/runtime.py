@@ -3,12 +3,16 @@ reads with small Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgrain.sources.shared import drop, new_path, remove, rows_of, shared_dir, written
 
-__all__ = ["bounded", "drop", "new_path", "read", "remove", "shared_dir", "small_or_not", "table"]
+__all__ = ["bounded", "drop", "new_path", "read", "remove", "shared_dir", "small_or_not", "table", "tidy"]
 
 #: A side of a join with at most so many rows of a few numbers (16 MB or so) may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -41,3 +45,17 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier steps have left on the driver, for operators of many steps: plans and
+    broadcasts that nothing refers to any more, and with them their blocks and shuffle files on the
+    executors. Java's and Python's memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    spark._jvm.java.lang.System.gc()
