@@ -28,7 +28,7 @@ def duck():
 
 def shown(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    text = lambda v: "NULL" if v is None or v is pd.NaT or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    text = lambda v: "NULL" if v is None or v is pd.NaT or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame.itertuples(index=False))
 
 
